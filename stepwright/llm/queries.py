@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwright.llm.exact_dedup import exact_groups
+from stepwright.llm.line_dedup import dedup_lines
+from stepwright.llm.mixing import mix_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +18,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+        WITH sized AS (
+            SELECT doc_id, source, md5('7:' || doc_id) AS spot,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents
+        ), totals AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   row_number() OVER (ORDER BY source NULLS LAST) AS source_no
+            FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, CAST([3, 1, 2][(source_no - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap,
+                   CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total
+            FROM totals
+        ), filled AS (
+            SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM weighed
+        ), targets AS (
+            SELECT source, source_no, source_size, CASE WHEN cap / weight <= level THEN cap ELSE
+                   least(weight * max(CASE WHEN cap / weight > level THEN level END) OVER (), cap) END AS target
+            FROM filled
+        ), ends AS (
+            SELECT *, CAST(floor(sum(target) OVER (ORDER BY source_no) / sum(target) OVER () * 4611686018427387904::DOUBLE) AS BIGINT) AS to_point,
+                   sum(target) OVER () AS wanted
+            FROM targets WHERE target > 0
+        ), stretches AS (
+            SELECT *, coalesce(lag(to_point) OVER (ORDER BY source_no), 0) AS from_point,
+                   CAST(greatest(1, least(1024, floor(floor(wanted) / 4096))) AS BIGINT) AS block
+            FROM ends
+        ), slots AS (
+            SELECT source_no, row_number() OVER (PARTITION BY source_no ORDER BY k) - 1 AS block_no
+            FROM (SELECT unnest(range(CAST(ceil(max(wanted) / max(block)) AS BIGINT))) AS k FROM stretches) AS n
+            JOIN stretches ON CAST((k::HUGEINT * 2850178704830799621) % 4611686018427387904 AS BIGINT) >= from_point
+                          AND CAST((k::HUGEINT * 2850178704830799621) % 4611686018427387904 AS BIGINT) < to_point
+        ), given AS (
+            SELECT source_no, count(*) AS n_blocks FROM slots GROUP BY source_no
+        ), lines AS (
+            SELECT doc_id, size, source_size, target, coalesce(n_blocks * block, 0) AS reach,
+                   sum(size) OVER (PARTITION BY targets.source_no ORDER BY spot, doc_id) - size AS start
+            FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+            LEFT JOIN given USING (source_no)
+            CROSS JOIN (SELECT max(block) AS block FROM stretches)
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(greatest(0, least(size, reach - start)) + greatest(0, least(size, reach - start - source_size)) AS BIGINT) AS taken
+        FROM lines
+    """,
+    "op3_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+        ), keyed AS (
+            SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), shared AS (
+            SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+        ), marked AS (
+            SELECT doc_id, pos, line, shared.key IS NOT NULL AND doc_id <> first AS gone FROM keyed LEFT JOIN shared USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
