@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from stepwright.llm.common import materialise, scratch_path, text_or_empty, without_white
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without fallocate, which sets 4 MB aside for each of many small stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_bytes(text: Column) -> Column:
@@ -52,8 +55,9 @@ def keeper_state(records: DataFrame) -> DataFrame:
 def run_state(spark: SparkSession, folder: str, schema, files_per_batch: int) -> DataFrame:
     """Stream the record files of folder through keeper_state and read the final state back."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    place, before = scratch_path(spark, "dedup-state"), spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    place, before = scratch_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keeper_state(stream)
@@ -74,7 +78,8 @@ def run_state(spark: SparkSession, folder: str, schema, files_per_batch: int) ->
             "dedup-groups",
         )
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_groups(
