@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepwright.llm.ann import search
 from stepwright.llm.bpe import round_trip
+from stepwright.llm.chat import format_chats
 from stepwright.llm.exact_dedup import exact_groups
 from stepwright.llm.line_dedup import dedup_lines
 from stepwright.llm.mixing import mix_counts
@@ -37,6 +38,10 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_multi_index": op4_multi_index,
+    "op5_chat_format": op5_chat_format,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
