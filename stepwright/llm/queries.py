@@ -15,6 +15,7 @@ from stepwright.llm.exact_dedup import exact_groups
 from stepwright.llm.line_dedup import dedup_lines
 from stepwright.llm.mixing import mix_counts
 from stepwright.llm.simhash import near_duplicates
+from stepwright.llm.suffix_dedup import remove_repeats
 from stepwright.llm.toxicity import held_out, score_documents, train
 from stepwright.llm.warc import archive_round_trip
 
@@ -29,6 +30,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
@@ -70,6 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_repeated_substrings": op2_repeated_substrings,
     "op3_line_dedup": op3_line_dedup,
     "op4_multi_index": op4_multi_index,
     "op5_chat_format": op5_chat_format,
