@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import materialise, text_or_empty
+from stepwright.llm.common import materialise, release, text_or_empty
 
 K = 64
-BLOCK = 32
+BLOCK = 64
 STRETCH = 1 << 20
 #: A hash of K bytes is a polynomial in BASE modulo 2**64 over random values of the bytes.
 BASE = 0x9E3779B97F4A7C15
@@ -125,11 +125,23 @@ def same_text(left: str, right: str):
     return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.body") == F.col(f"{right}.body"))
 
 
-def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, body, anchors: the places, with their windows, whose anchor occurs twice."""
+def texts_with_anchors(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, body, n_bytes of every document; for those with an anchor that occurs twice text
+    and anchors (places with their windows), for the others sha256."""
     records = materialise(anchor_records(docs, length), "repeats-anchors")
     twice = records.groupBy("name").count().where("count > 1").select("name")
-    return records.join(twice, "name", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("place", "first", "last")).alias("anchors"))
+    anchors = records.join(twice, "name", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("place", "first", "last")).alias("anchors"))
+    at_hand = docs.alias("s").join(anchors.alias("a"), same_text("s", "a"), "left")
+    active = F.col("anchors").isNotNull()
+    texts = materialise(
+        at_hand.select(
+            "s.doc_id", "s.body", F.when(active, F.col("text")).alias("text"), "anchors",
+            F.octet_length("text").cast("long").alias("n_bytes"), F.when(~active, F.sha2("text", 256)).alias("sha256"),
+        ),
+        "repeats-texts",
+    )
+    release(records)
+    return texts
 
 
 def block_records(texts: DataFrame, length: int) -> DataFrame:
@@ -199,33 +211,46 @@ def merged_runs(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """texts (doc_id, body, text, n_bytes, sha256) with text only where runs may follow, and
-    runs (doc_id, body, runs): the windows first..last that repeat."""
-    text = text_or_empty(F.col("text"))
-    sources = docs.select("doc_id", F.xxhash64(text).alias("body"), text.alias("text"))
-    anchors = repeated_anchors(sources, length)
-    at_hand = sources.alias("s").join(anchors.alias("a"), same_text("s", "a"), "left")
-    active = F.col("anchors").isNotNull()
-    texts = materialise(
-        at_hand.select(
-            "s.doc_id", "s.body", F.when(active, F.col("text")).alias("text"), "anchors",
-            F.octet_length("text").cast("long").alias("n_bytes"), F.when(~active, F.sha2("text", 256)).alias("sha256"),
-        ),
-        "repeats-texts",
-    )
+def compared_blocks(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """whole (doc_id, body, first, last: blocks whose windows all repeat) and open (doc_id, body,
+    blocks: those whose windows have to be compared)."""
     blocks = materialise(block_records(texts.where("anchors is not null"), length), "repeats-blocks")
     reaches = materialise(
         blocks.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "body", "first", "last")).alias("one")),
         "repeats-reaches",
     )
-    whole = blocks.join(reaches.where("n > 1").select("core", "reach"), ["core", "reach"], "left_semi").select("doc_id", "body", "first", "last")
+    whole = materialise(
+        blocks.join(reaches.where("n > 1").select("reach"), "reach", "left_semi").select("doc_id", "body", "first", "last"), "repeats-whole"
+    )
+    release(blocks)
     mixed = reaches.groupBy("core").count().where("count > 1").select("core")
-    open_blocks = reaches.join(mixed, "core", "left_semi").select("one.*").groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "last")).alias("blocks"))
-    asked = texts.alias("t").join(open_blocks.alias("b"), same_text("t", "b")).select("t.doc_id", "t.body", "t.text", "blocks")
-    windows = materialise(window_records(asked, length), "repeats-windows")
+    asked = materialise(
+        reaches.join(mixed, "core", "left_semi").select("one.*").groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "last")).alias("blocks")),
+        "repeats-open",
+    )
+    release(reaches)
+    return whole, asked
+
+
+def compared_windows(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """doc_id, body, first, last (the same): single windows that repeat."""
+    at_hand = texts.alias("t").join(asked.alias("b"), same_text("t", "b")).select("t.doc_id", "t.body", "t.text", "blocks")
+    windows = materialise(window_records(at_hand, length), "repeats-windows")
     twice = windows.groupBy("digest").count().where("count > 1").select("digest")
-    single = windows.join(twice, "digest", "left_semi").select("doc_id", "body", "first", F.col("first").alias("last"))
+    single = materialise(
+        windows.join(twice, "digest", "left_semi").select("doc_id", "body", "first", F.col("first").alias("last")), "repeats-single"
+    )
+    release(windows, asked)
+    return single
+
+
+def repeated_runs(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """texts (doc_id, body, text, n_bytes, sha256) with text only where runs may follow, and
+    runs (doc_id, body, runs): the windows first..last that repeat."""
+    text = text_or_empty(F.col("text"))
+    texts = texts_with_anchors(docs.select("doc_id", F.xxhash64(text).alias("body"), text.alias("text")), length)
+    whole, asked = compared_blocks(texts, length)
+    single = compared_windows(texts, asked, length)
     runs = whole.unionByName(single).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return texts.drop("anchors"), runs
 
