@@ -129,7 +129,8 @@ def texts_with_anchors(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, body, n_bytes of every document; for those with an anchor that occurs twice text
     and anchors (places with their windows), for the others sha256."""
     records = materialise(anchor_records(docs, length), "repeats-anchors")
-    twice = records.groupBy("name").count().where("count > 1").select("name")
+    # a table of its own, so that the join below has two plain shuffles and can split a hot name
+    twice = materialise(records.groupBy("name").count().where("count > 1").select("name"), "repeats-names")
     anchors = records.join(twice, "name", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("place", "first", "last")).alias("anchors"))
     at_hand = docs.alias("s").join(anchors.alias("a"), same_text("s", "a"), "left")
     active = F.col("anchors").isNotNull()
@@ -140,7 +141,7 @@ def texts_with_anchors(docs: DataFrame, length: int) -> DataFrame:
         ),
         "repeats-texts",
     )
-    release(records)
+    release(records, twice)
     return texts
 
 
@@ -223,12 +224,12 @@ def compared_blocks(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame
         blocks.join(reaches.where("n > 1").select("reach"), "reach", "left_semi").select("doc_id", "body", "first", "last"), "repeats-whole"
     )
     release(blocks)
-    mixed = reaches.groupBy("core").count().where("count > 1").select("core")
+    mixed = materialise(reaches.groupBy("core").count().where("count > 1").select("core"), "repeats-cores")
     asked = materialise(
         reaches.join(mixed, "core", "left_semi").select("one.*").groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "last")).alias("blocks")),
         "repeats-open",
     )
-    release(reaches)
+    release(reaches, mixed)
     return whole, asked
 
 
@@ -236,11 +237,11 @@ def compared_windows(texts: DataFrame, asked: DataFrame, length: int) -> DataFra
     """doc_id, body, first, last (the same): single windows that repeat."""
     at_hand = texts.alias("t").join(asked.alias("b"), same_text("t", "b")).select("t.doc_id", "t.body", "t.text", "blocks")
     windows = materialise(window_records(at_hand, length), "repeats-windows")
-    twice = windows.groupBy("digest").count().where("count > 1").select("digest")
+    twice = materialise(windows.groupBy("digest").count().where("count > 1").select("digest"), "repeats-digests")
     single = materialise(
         windows.join(twice, "digest", "left_semi").select("doc_id", "body", "first", F.col("first").alias("last")), "repeats-single"
     )
-    release(windows, asked)
+    release(windows, asked, twice)
     return single
 
 
