@@ -52,6 +52,8 @@ def shared_line_positions(docs: DataFrame, min_chars: int, min_docs: int) -> Dat
         .where(F.col("n_docs") >= min_docs)
         .select("hash", "first")
     )
+    # a table of its own, so that the join has two plain shuffles and can split a hot hash
+    shared = materialise(shared, "line-shared")
     return (
         lines.join(shared, "hash")
         .where("doc != first")
