@@ -116,16 +116,12 @@ def unequal_digests(docs: DataFrame, groups: DataFrame, digest: Callable[[Column
     members = docs.select("doc_id", F.length(text).alias("n_chars"), without_white(text).alias("squeezed")).withColumn(
         "digest", digest(F.col("squeezed"))
     )
-    members = members.join(hits, "digest")
-    keepers = (
-        members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-        .select("digest", F.col("squeezed").alias("kept_text"))
-        .dropDuplicates(["digest"])
-    )
-    return materialise(
-        members.select("digest", "squeezed").join(keepers, "digest").where("squeezed != kept_text").select("digest").distinct(),
-        "dedup-unequal",
-    )
+    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    keepers = members.join(hits, "digest").where(is_keeper).select("digest", F.col("squeezed").alias("kept_text")).dropDuplicates(["digest"])
+    # a table of its own, so that the join has two plain shuffles and can split a hot digest
+    keepers = materialise(keepers, "dedup-keepers")
+    unequal = members.select("digest", "squeezed").join(keepers, "digest").where("squeezed != kept_text")
+    return materialise(unequal.select("digest").distinct(), "dedup-unequal")
 
 
 def grouped_by_text(docs: DataFrame, wrong: DataFrame, digest: Callable[[Column], Column], columns: list[str]) -> DataFrame:
