@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import batched
 
@@ -29,9 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from stepwright.llm.common import kept_in_worker
+
 ROOT = 0
 #: In a reading: whatever token came before, those ahead fit it.
 ANY = -1
+#: The next state, with the tokens that are emitted if there are any.
+Move = int | tuple[int, tuple[int, ...]]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +74,7 @@ class Transducer:
     small: a reading with at most so many tokens ahead is settled at once, see ahead().
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 150_000, small: int = 1):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 60_000, small: int = 1):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.max_states, self.max_pieces = max_states, max_pieces
@@ -104,7 +109,7 @@ class Transducer:
         start = ((ROOT, None, ()),)
         self.readings = [start]
         self.numbers = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: list[dict[int, Move]] = [{}]
 
     def spine(self, token: int, side: int) -> tuple[int, ...]:
         """The parts at one end of a token while it is merged, from its byte to the whole; () if
@@ -146,7 +151,7 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        if len(self.adjacent) > 10 * self.max_states:
+        if len(self.adjacent) > self.max_states:
             self.adjacent.clear()
         self.adjacent[last, token] = known
         return known
@@ -163,7 +168,7 @@ class Transducer:
         fitting = sum(self.fits(last, t) for t in tokens)
         return fitting > 0, ANY if fitting == len(tokens) else last
 
-    def determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def determinise(self, state: int, byte: int) -> Move:
         """The state after byte and the tokens that have become certain."""
         follow = []
         for node, last, open_tokens in self.readings[state]:
@@ -188,7 +193,7 @@ class Transducer:
             number = self.numbers[key] = len(self.readings)
             self.readings.append(key)
             self.moves.append({})
-        move = self.moves[state][byte] = (number, emitted)
+        move = self.moves[state][byte] = (number, emitted) if emitted else number
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -212,8 +217,10 @@ class Transducer:
                         self.readings.append(here)
                         moves.append({})
                 move = self.determinise(state, byte)
-            state, emitted = move
-            if emitted:
+            if move.__class__ is int:
+                state = move
+            else:
+                state, emitted = move
                 out += emitted
         for node, _, open_tokens in self.readings[state]:
             if node == ROOT:
@@ -312,24 +319,17 @@ class Codec:
         return n, shown.hexdigest(), decoded.hexdigest()
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
-def codec_of(broadcast, pattern: str) -> Codec:
-    """The worker's codec for a broadcast vocabulary, built once per process."""
-    key = (broadcast.id if hasattr(broadcast, "id") else id(broadcast), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(broadcast.value, pattern)
-    return _codecs[key]
+def codec_of(call: str, broadcast, pattern: str) -> Codec:
+    """The worker's codec for one call of an operator, built once per process."""
+    return kept_in_worker(("bpe", call), lambda: Codec(broadcast.value, pattern))
 
 
 def map_texts(docs: DataFrame, path: str, pattern: str, per_text: Callable[[Codec, str], tuple], names: list[str], types: list[str]) -> DataFrame:
     """doc_id and what per_text(codec, text) gives, for every document."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks, call = docs.sparkSession.sparkContext.broadcast(load_ranks(path)), uuid.uuid4().hex
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(ranks, pattern)
+        codec = codec_of(call, ranks, pattern)
         for batch in found:
             rows = [per_text(codec, text or "") for text in batch.column("text").to_pylist()]
             columns = [pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(types)]
@@ -348,10 +348,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text from doc_id and ids; null ids give the empty text."""
-    ranks = tokens.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks, call = tokens.sparkSession.sparkContext.broadcast(load_ranks(path)), uuid.uuid4().hex
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(ranks, pattern)
+        codec = codec_of(call, ranks, pattern)
         for batch in found:
             texts = ["".join(codec.decode(ids or [])) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+_kept: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, build: Callable[[], object]) -> object:
+    """What build() gives, kept in this Python worker for the key's next task.
+
+    Workers outlive stages, so only the last key's tables are kept: a worker never holds the
+    tables of two operators.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing needs any more.
 

@@ -21,6 +21,7 @@ empty result; columns beside doc_id and text are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import materialise
+from stepwright.llm.common import kept_in_worker, materialise
 
 WORD = re.compile(r"\w+")
 #: Names of groups, by kind; within a kind any may stand for any other.
@@ -89,6 +90,7 @@ def associated_features(sample: DataFrame, max_features: int, least: float, leas
     """Features whose presence goes with the label, by the likelihood ratio of their counts."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("toxicity-features", dict)
         for batch in found:
             names, toxic = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -208,7 +210,7 @@ def score_text(text: str | None, model: Model, known: dict[str, tuple[str, ...]]
         own = known.get(word)
         if own is None:
             own = tuple(f for f in features_of(word) if f in model.weights)
-            if len(known) < 200_000:
+            if len(known) < 100_000:
                 known[word] = own
         if own:
             present.update(own)
@@ -218,10 +220,10 @@ def score_text(text: str | None, model: Model, known: dict[str, tuple[str, ...]]
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if the score is 0.5 or more) for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, call = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
+        known = kept_in_worker(("toxicity", call), dict)
         for batch in found:
             scores = [score_text(t, shared.value, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -236,11 +238,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     The decision is a function of the text, applied to the rows as they stream by: no join.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    shared, call = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options)), uuid.uuid4().hex
     place = docs.columns.index("text")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
+        known = kept_in_worker(("toxicity", call), dict)
         for batch in found:
             yield batch.filter(pa.array([score_text(t, shared.value, known) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
 
