@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 
 from stepwright.llm.common import materialise, scratch_path, text_or_empty, without_white
 
-#: State on disk; without fallocate, which sets 4 MB aside for each of many small stores.
+#: State on disk; without fallocate, which sets 4 MB aside for each of many small stores. All
+#: stores of an executor share one bounded cache, and a store is closed when its batch is written.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
