@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stepwright.llm.common import kept_in_worker
+from stepwright.llm.common import kept_in_worker, map_texts_in_batches
 
 ROOT = 0
 #: In a reading: whatever token came before, those ahead fit it.
@@ -338,7 +338,7 @@ def map_texts(docs: DataFrame, path: str, pattern: str, per_text: Callable[[Code
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join(["doc_id " + kind, *(f"{n} {t}" for n, t in zip(names, types))])
-    return docs.select("doc_id", "text").mapInArrow(batches, schema)
+    return map_texts_in_batches(docs.select("doc_id", "text"), batches, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -357,7 +357,7 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(batches, f"doc_id {kind}, text string")
+    return map_texts_in_batches(tokens.select("doc_id", "ids"), batches, f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -71,6 +71,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+#: Texts in one Arrow batch: bounds what a task holds twice, in the JVM's buffers and in Python.
+ROWS_IN_BATCH = "500"
+
+
+def map_texts_in_batches(rows: DataFrame, batches: Callable, schema) -> DataFrame:
+    """rows.mapInArrow(batches, schema) with small batches; a size that the session sets stays."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":  # Spark's own default
+        conf.set(name, ROWS_IN_BATCH)
+    return rows.mapInArrow(batches, schema)
+
+
 _kept: dict[object, object] = {}
 
 

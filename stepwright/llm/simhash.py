@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import materialise
+from stepwright.llm.common import map_texts_in_batches, materialise
 from stepwright.llm.components import connected_components
 
 #: A-Z to a-z; bytes.split() splits at just the white space of the contract.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, fp long")
+    return map_texts_in_batches(docs.select("doc_id", "text"), batches, f"doc_id {kind}, fp long")
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import kept_in_worker, materialise
+from stepwright.llm.common import kept_in_worker, map_texts_in_batches, materialise
 
 WORD = re.compile(r"\w+")
 #: Names of groups, by kind; within a kind any may stand for any other.
@@ -99,7 +99,7 @@ def associated_features(sample: DataFrame, max_features: int, least: float, leas
                 toxic += [int(label == 1)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int64())], ["feature", "toxic"])
 
-    counts = sample.select("text", "toxic").mapInArrow(batches, "feature string, toxic long").groupBy("feature")
+    counts = map_texts_in_batches(sample.select("text", "toxic"), batches, "feature string, toxic long").groupBy("feature")
     counts = counts.agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
     totals = sample.agg(F.sum((F.col("toxic") == 1).cast("double")), F.count(F.lit(1)).cast("double")).first()
     with_label, rows = totals[0] or 0.0, totals[1]
@@ -146,7 +146,7 @@ def encoded_sample(sample: DataFrame, chosen: list[str], groups) -> list:
             )
 
     schema = "toxic int, own array<int>, gone array<array<int>>, come array<array<int>>"
-    return sample.select("text", "toxic").mapInArrow(batches, schema).collect()
+    return map_texts_in_batches(sample.select("text", "toxic"), batches, schema).collect()
 
 
 def fit(rows: list, n: int, l2: float, fairness: float, steps: int = 400) -> tuple[float, np.ndarray]:
@@ -229,7 +229,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, score double")
+    scored = map_texts_in_batches(docs.select("doc_id", "text"), batches, f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -246,4 +246,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         for batch in found:
             yield batch.filter(pa.array([score_text(t, shared.value, known) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return map_texts_in_batches(docs, batches, docs.schema)
