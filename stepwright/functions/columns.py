@@ -21,7 +21,8 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x cut to [low, high]; null stays null, which greatest() alone would turn into low."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -102,7 +102,8 @@ def mask_numbers(text: Column, mask: str = "[MASKED]") -> Column:
 def judge_score(text: Column) -> Column:
     """The number after 'SCORE:', cut to [0, 1]; 0.5 if there is none."""
     found = F.nullif(F.regexp_extract(text, r"(?i)score\s*[:=]\s*(-?\d*\.?\d+)", 1), F.lit(""))
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), found.try_cast("double"))), F.lit(0.5))
+    number = F.coalesce(found.try_cast("double"), F.lit(0.5))  # greatest() would take 0.0 for a null
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))
 
 
 def next_step_of(text: Column) -> Column:

@@ -29,7 +29,7 @@ def running(df: DataFrame, order: str, sums: list[str], buckets: int = 64) -> Da
     totals = df.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums], F.min(order).alias("__low"))
     earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
-        "__bucket",
+        F.col("__bucket").alias("__part"),
         F.lead("__low").over(Window.orderBy("__bucket")).alias("__next"),
         *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__b_{c}") for c in sums],
     )
@@ -37,7 +37,8 @@ def running(df: DataFrame, order: str, sums: list[str], buckets: int = 64) -> Da
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         df.withColumns({f"__s_{c}": F.sum(c).over(upto) for c in sums} | {"__lead": F.lead(order).over(within)})
-        .join(F.broadcast(bases), "__bucket")  # one row per bucket
+        # one row per bucket; a null-safe key, as the planner would carry the bucket's expression over
+        .join(F.broadcast(bases), F.col("__bucket").eqNullSafe(F.col("__part")))
         .withColumns({f"cum_{c}": F.col(f"__b_{c}") + F.col(f"__s_{c}") for c in sums} | {"next_value": F.coalesce("__lead", "__next")})
-        .drop("__bucket", "__lead", "__next", *[f"__{p}_{c}" for p in "sb" for c in sums])
+        .drop("__bucket", "__part", "__lead", "__next", *[f"__{p}_{c}" for p in "sb" for c in sums])
     )
