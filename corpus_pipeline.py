@@ -16,7 +16,7 @@ from stepwright.llm.bpe import round_trip
 from stepwright.llm.common import materialise
 from stepwright.llm.exact_dedup import drop_exact_duplicates
 from stepwright.llm.mixing import mix_documents
-from stepwright.llm.simhash import drop_near_duplicates
+from stepwright.llm.near_copies import drop_near_copies
 from stepwright.llm.toxicity import drop_toxic
 
 
@@ -31,8 +31,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies stays."""
-    return drop_near_duplicates(docs)
+    """The smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8 at least) stays."""
+    return drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
