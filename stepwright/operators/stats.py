@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,32 +98,42 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.join(rx, "x").join(ry, "y").agg(pearson(F.col("rx"), F.col("ry")).alias("rho"))
 
 
-def kendall_of(x: np.ndarray, y: np.ndarray) -> float:
-    """Kendall's tau-b of two short arrays, from all pairs in blocks."""
-    concordant = ties_x = ties_y = 0
-    n = len(x)
-    for i in range(0, n, 512):
-        a = np.sign(x[i : i + 512, None] - x[None, :])
-        b = np.sign(y[i : i + 512, None] - y[None, :])
-        later = np.arange(n)[None, :] > np.arange(i, min(i + 512, n))[:, None]
-        concordant += (a * b)[later].sum()
-        ties_x += ((a == 0) & later).sum()
-        ties_y += ((b == 0) & later).sum()
-    pairs = n * (n - 1) / 2
-    base = np.sqrt((pairs - ties_x) * (pairs - ties_y))
-    return float(concordant / base) if base > 0 else float("nan")
-
-
-def kendall(df: DataFrame, x: str, y: str, sample: int = 4000) -> DataFrame:
-    """tau of at most sample rows, the first by hash: a sampling statistic, quadratic in sample."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    some = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample)
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: Kendall's tau-b and n over all rows that have both; tau is NaN where one is constant.
 
-    def tau(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(found))
-        yield pd.DataFrame({"tau": [kendall_of(frame["x"].to_numpy(), frame["y"].to_numpy())], "n": [len(frame)]})
+    Rows are counted per (x, y). y becomes its place among the different values, and each pair of
+    unlike places is met once: at the highest bit where they differ, among the rows that share the
+    bits above. There x's running sums of zeros and ones count concordant and discordant pairs.
+    """
+    from stepwright.operators.ordered import bucket_of, quantile_bounds, running
 
-    return some.coalesce(1).mapInPandas(tau, "tau double, n long")
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    values = cells.select("y").distinct().withColumn("one", F.lit(1).cast("long"))
+    levels = max(1, (values.count() - 1).bit_length())
+    placed = cells.join(running(values, "y", ["one"]).select("y", (F.col("cum_one") - 1).alias("place")), "y")
+    at = lambda n: F.call_function("shiftright", F.col("place"), n)
+    bits = placed.select("x", "c", "place", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    bit = at(F.col("level")).bitwiseAND(F.lit(1).cast("long"))
+    sums = bits.groupBy("level", at(F.col("level") + 1).alias("above"), "x").agg(F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).alias("lo"), F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("hi"))
+    keys = ["level", "above"]
+    sums = sums.withColumn("part", bucket_of(F.col("x"), quantile_bounds(cells, "x", 64)))
+    bases = sums.groupBy(*keys, "part").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = bases.select(*keys, "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"base_{c}") for c in ("lo", "hi")])
+    within = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: (F.col(f"base_{c}") + F.col(f"in_{c}")).cast("decimal(19,0)")
+    sums = sums.withColumns({f"in_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in ("lo", "hi")}).join(bases, [*keys, "part"])
+    gain = F.col("hi").cast("decimal(18,0)") * before("lo") - F.col("lo").cast("decimal(18,0)") * before("hi")
+    score = sums.agg(F.coalesce(F.sum(gain).cast("double"), F.lit(0.0)).alias("score"))
+
+    c = F.col("c").cast("decimal(18,0)")
+    tied = F.coalesce(F.sum(c * (c - 1)).cast("double") / 2, F.lit(0.0))
+    ties = [cells.groupBy(v).agg(F.sum("c").alias("c")).agg(tied.alias(f"ties_{v}")) for v in "xy"]
+    n = F.col("n").cast("double")
+    base = F.sqrt((n * (n - 1) / 2 - F.col("ties_x")) * (n * (n - 1) / 2 - F.col("ties_y")))
+    one = score.crossJoin(cells.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"))).crossJoin(ties[0]).crossJoin(ties[1])
+    return one.select(F.when(base > 0, F.try_divide(F.col("score"), base)).otherwise(F.lit(float("nan"))).alias("tau"), "n")
 
 
 def flat_info(df: DataFrame, value: str = "value", keys: list[str] = []) -> DataFrame:  # noqa: B006

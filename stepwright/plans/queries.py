@@ -154,7 +154,9 @@ def spearman(spark, sf_dir):
     return rounded(stats.spearman(V.line_steps(spark, sf_dir), "price", "quantity"))
 
 
-@query()
+@query("""WITH r AS (SELECT row_number() OVER () AS i, score, label FROM lab WHERE score IS NOT NULL AND label IS NOT NULL),
+    s AS (SELECT sum(sign(p.score - q.score) * sign(p.label - q.label)) AS s, count(*) AS pairs, count(*) FILTER (p.score = q.score) AS tx, count(*) FILTER (p.label = q.label) AS ty FROM r p JOIN r q ON p.i < q.i)
+    SELECT round(s / sqrt((pairs - tx)::DOUBLE * (pairs - ty)), 6) AS tau, (SELECT count(*) FROM r) AS n FROM s""", "lab")
 def kendall(spark, sf_dir):
     return rounded(stats.kendall(V.labelled(spark, sf_dir), "score", "label"))
 
