@@ -82,9 +82,9 @@ def greedy_balance(counts: DataFrame, group: str, record: str, plus: str, minus:
     """Up to size records per group so that signs stay balanced.
 
     Records are in classes by their dominant sign; each next record is the first, in the order of
-    |plus - minus| and record, of the class that works against the running imbalance. The choice
-    depends on the one before, so each group's (record, plus, minus) rows run through one task;
-    groups are few and rows are three numbers.
+    |plus - minus| and record, of the class that works against the running imbalance. A class is
+    only read from its front, so its first size records are all that the choice can need: they are
+    cut in Spark, and one task sees 3 * size rows of a group at most.
     """
     kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
 
@@ -100,7 +100,11 @@ def greedy_balance(counts: DataFrame, group: str, record: str, plus: str, minus:
             taken.append((row[group], row[record], len(taken), int(balance)))
         return pd.DataFrame(taken, columns=[group, record, "pick", "balance"])
 
-    rows = counts.select(group, record, plus, minus).sortWithinPartitions(group, record)
+    gap = F.col(plus) - F.col(minus)
+    side = F.when(gap > 0, 1).when(gap < 0, -1).otherwise(0)
+    place = F.row_number().over(Window.partitionBy(group, "__side").orderBy(F.abs(gap).asc_nulls_last(), record))
+    rows = counts.select(group, record, plus, minus, side.alias("__side")).withColumn("__place", place)
+    rows = rows.where(F.col("__place") <= size).select(group, record, plus, minus)
     sorted_pick = lambda frame: pick(frame.sort_values(record, kind="stable"))
     return rows.groupBy(group).applyInPandas(sorted_pick, f"{group} {kinds[group]}, {record} {kinds[record]}, pick long, balance long")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from stepwright.operators import stats
+from stepwright.operators import select, stats
 
 
 def tau_b(x, y):
@@ -25,3 +25,25 @@ def test_kendall_of_constants(spark):
     got = stats.kendall(spark.createDataFrame([(1, 2), (1, 3)], "x long, y long"), "x", "y").first()
     assert got["n"] == 2 and np.isnan(got["tau"])
     assert stats.kendall(spark.createDataFrame([], "x long, y long"), "x", "y").first()["n"] == 0
+
+
+def greedy(rows, size):
+    left = {s: sorted((abs(p - m), r, p - m) for r, p, m in rows if (p > m) - (p < m) == s) for s in (1, 0, -1)}
+    taken, balance = [], 0
+    while len(taken) < size and any(left.values()):
+        order = (-1, 0, 1) if balance > 0 else (1, 0, -1) if balance < 0 else (0, 1, -1)
+        _, r, gap = next(left[s] for s in order if left[s]).pop(0)
+        balance += gap
+        taken.append((r, len(taken), balance))
+    return taken
+
+
+def test_greedy_balance_hands_few_rows_to_a_task(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 10 else "b", i, int(p), int(m)) for i, (p, m) in enumerate(rng.integers(0, 6, (3000, 2)))]
+    rows += [("few", 5000, 2, 0), ("few", 5001, 1, 1)]
+    picked = select.greedy_balance(spark.createDataFrame(rows, "g string, r long, p long, m long"), "g", "r", "p", "m", 20)
+    for g in ("hot", "b", "few"):
+        got = sorted((r["r"], r["pick"], r["balance"]) for r in picked.where(f"g = '{g}'").collect())
+        assert got == sorted(greedy([r[1:] for r in rows if r[0] == g], 20))
+    assert "WindowGroupLimit" in picked._jdf.queryExecution().toString()
