@@ -72,15 +72,16 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 def split_steps(text: Column, marker: str = "<extra_0>") -> Column:
     """Steps of a generated solution by the first rule that applies: the marker; 'Step k:' lines;
-    paragraphs; lines before the answer; the whole text."""
-    text = F.trim(F.regexp_replace(text, "\\r\\n?", "\n"))
+    paragraphs; lines. An answer line ends the steps unless there are markers; null has no steps."""
+    text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\r\\n?", "\n"))
+    body = F.regexp_replace(F.regexp_replace(text, r"(?ims)^\s*(?:answer\s*:|the\s+answer\s+is)\b.*", ""), r"\A\s+|\s+\z", "")
     kept = lambda parts: F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
-    steps = kept(F.transform(F.split(text, r"(?im)(?=^\s*step\s*\d+\s*:)"), lambda p: F.regexp_replace(p, r"(?i)^\s*step\s*\d+\s*:\s*", "")))
+    steps = kept(F.transform(F.split(body, r"(?im)(?=^\s*step\s*\d+\s*:)"), lambda p: F.regexp_replace(p, r"(?i)^\s*step\s*\d+\s*:\s*", "")))
     return (
         F.when(F.contains(text, F.lit(marker)), kept(F.split(text, f"\\Q{marker}\\E")))
-        .when(F.regexp_like(text, F.lit(r"(?im)^\s*step\s*\d+\s*:")), steps)
-        .when(F.regexp_like(text, F.lit(r"\n\s*\n")), kept(F.split(text, r"\n\s*\n")))
-        .otherwise(kept(F.split(text, "\n")))
+        .when(F.regexp_like(body, F.lit(r"(?im)^\s*step\s*\d+\s*:")), steps)
+        .when(F.regexp_like(body, F.lit(r"\n\s*\n")), kept(F.split(body, r"\n\s*\n")))
+        .otherwise(kept(F.split(body, "\n")))
     )
 
 

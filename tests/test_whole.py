@@ -1,9 +1,12 @@
 """Operators that must do the whole job: all rows, all rules, all groups."""
 
+import re
+
 import numpy as np
 import pytest
 
 from stepwright.operators import select, stats
+from stepwright.plans import queries
 
 
 def tau_b(x, y):
@@ -47,3 +50,30 @@ def test_greedy_balance_hands_few_rows_to_a_task(spark):
         got = sorted((r["r"], r["pick"], r["balance"]) for r in picked.where(f"g = '{g}'").collect())
         assert got == sorted(greedy([r[1:] for r in rows if r[0] == g], 20))
     assert "WindowGroupLimit" in picked._jdf.queryExecution().toString()
+
+
+def steps_of(text):
+    """The rules by plain reading of lines."""
+    text = (text or "").replace("\r\n", "\n").replace("\r", "\n").strip()
+    if "<extra_0>" in text:
+        return [p.strip() for p in text.split("<extra_0>") if p.strip()]
+    lines = []
+    for line in text.split("\n"):
+        if re.match(r"(?i)\s*(?:answer\s*:|the\s+answer\s+is)\b", line):
+            break
+        lines.append(line)
+    if any(re.match(r"(?i)\s*step\s*\d+\s*:", x) for x in lines):
+        parts = [[]]
+        for x in lines:
+            tag = re.match(r"(?i)\s*step\s*\d+\s*:", x)
+            parts = [*parts, [x[tag.end() :]]] if tag else [*parts[:-1], parts[-1] + [x]]
+        return [p for p in ("\n".join(q).strip() for q in parts) if p]
+    body = "\n".join(lines).strip()
+    return [p.strip() for p in (re.split(r"\n\s*\n", body) if re.search(r"\n\s*\n", body) else lines) if p.strip()]
+
+
+def test_split_steps_of_all_documents(spark, tmp_path):
+    texts = [None, "", " \n ", "a\nb", "a\n\nb\nc\n \nd", "Step 1: x\nmore\n\nstep 2 : y\nThe answer is: 4\nz", "intro\nStep 1: x", "p\r\n\r\nq", "a <extra_0> b\n\nc", "one\nAnswer:5\ntwo", "see Step 1: here\nb", "a\nb\n\n", "a\nb\n\nThe answer is 3"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n"] for r in queries.QUERIES["split_steps"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(steps_of(t)) for i, t in enumerate(texts)}
