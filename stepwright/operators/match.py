@@ -81,22 +81,63 @@ def best_similar(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
     return pairs.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def attach_gold(records: DataFrame, index: DataFrame, routes: dict[str, list[str]], otherwise: list[str]) -> DataFrame:
+def fuzzy_questions(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """__q, match_source, __hit and similarity: questions and those of the index that reach the ratio.
+
+    Texts that reach it differ by at most (1 - least) * (sum of lengths) inserted or deleted
+    characters. So a question of the index, cut into one piece more than that, has a piece that
+    stands unchanged in the other text: pieces are the blocks, and no match is lost.
+    """
+    if not 2 / 3 < least <= 1:
+        raise ValueError("pieces need a ratio above 2/3")
+    length = F.length("__hit")
+    pieces = F.floor(F.lit(2 * (1 - least) / least) * length + 1e-9).cast("int") + 1
+    cut = lambda i: F.floor(length * i / pieces).cast("int")
+    piece = lambda i: F.substr(F.col("__hit"), cut(i) + 1, cut(i + 1) - cut(i))
+    index = known.select("match_source", F.col("__q").alias("__hit")).distinct()
+    # with one piece only equal texts are near enough
+    blocks = index.where(pieces > 1).select("*", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), piece)).alias("__piece")).distinct()
+    widths = sorted(r[0] for r in blocks.select(F.length("__piece")).distinct().collect())
+    if not widths:
+        return index.join(asked.select("__q"), F.lit(False)).withColumn("similarity", F.lit(0.0))
+    places = lambda w: F.sequence(F.lit(1), F.greatest(F.length("__q") - w + 1, F.lit(1)))
+    parts_of = lambda w: F.transform(places(w), lambda i: F.substr(F.col("__q"), i, F.lit(w)))
+    parts = F.flatten(F.array(*[parts_of(w) for w in widths]))
+    spots = asked.select("__q").distinct().select("__q", F.explode(F.array_distinct(parts)).alias("__piece"))
+    a, b = F.length("__q"), length
+    pairs = spots.join(blocks, "__piece").where(2 * F.least(a, b) >= F.lit(least) * (a + b)).select("__q", "match_source", "__hit").distinct()
+    return pairs.withColumn("similarity", similarity_udf()("__q", "__hit")).where(F.col("similarity") >= least)
+
+
+def attach_gold(records: DataFrame, index: DataFrame, routes: dict[str, list[str]], otherwise: list[str], least: float = 0.95) -> DataFrame:
     """records (record_id, task, question) with gold_answer, match_source and match_type.
 
     index: source, question, answer. routes: lower-case task to the sources that may answer it,
-    best first. Questions match exactly once white space is squeezed; unmatched rows get none.
+    best first. Questions are compared once white space is squeezed. A routed task asks each
+    source in turn, exactly and then for the most similar question of at least that ratio; other
+    tasks ask all sources exactly before any of them is asked so. The smallest question wins ties.
     """
     tasks = F.create_map(*[F.lit(x) for t, s in routes.items() for x in (t, ",".join(s))]) if routes else F.create_map().cast("map<string,string>")
-    allowed = F.split(F.coalesce(F.element_at(tasks, F.lower(F.trim("task"))), F.lit(",".join(otherwise))), ",")
-    asked = records.withColumns({"__q": squeeze_spaces(F.col("question")), "__allowed": allowed})
+    routed = F.element_at(tasks, F.lower(F.trim("task")))
+    allowed = F.split(F.coalesce(routed, F.lit(",".join(otherwise))), ",")
+    asked = records.withColumns({"__q": squeeze_spaces(F.col("question")), "__allowed": allowed, "__routed": routed.isNotNull()})
     known = index.select(F.col("source").alias("match_source"), squeeze_spaces(F.col("question")).alias("__q"), F.col("answer").alias("gold_answer"))
     known = unique_by(known, ["match_source", "__q"], [F.col("gold_answer")], "first")
-    hits = asked.select("record_id", "__q", "__allowed").join(known, "__q").withColumn("__place", F.array_position("__allowed", F.col("match_source")))
-    best = hits.where("__place > 0").groupBy("record_id").agg(F.min(F.struct("__place", "match_source", "gold_answer")).alias("b"))
-    return asked.join(best.select("record_id", "b.match_source", "b.gold_answer"), "record_id", "left").select(
-        *records.columns, "gold_answer", F.coalesce("match_source", F.lit("none")).alias("match_source"),
-        F.when(F.col("match_source").isNull(), "none").otherwise("exact").alias("match_type"),
+    place, fuzzy = F.array_position("__allowed", F.col("match_source")), F.col("match_type") == "fuzzy"
+    most = len(otherwise) + 1
+    order = F.when(F.col("__routed"), 2 * place + fuzzy.cast("int")).otherwise(place + most * fuzzy.cast("int")).alias("__order")
+
+    who = asked.select("record_id", "__q", "__allowed", "__routed")
+    exact = who.join(known, "__q").withColumns({"match_type": F.lit("exact"), "similarity": F.lit(1.0), "__hit": F.col("__q")})
+    # an exact match of the first source, or any for a task without a route, can't be bettered
+    final = exact.where((place == 1) | (~F.col("__routed") & (place > 0)))
+    unmatched = who.join(final.select("record_id"), "record_id", "left_anti").where("__q != ''")
+    similar = fuzzy_questions(unmatched, known, least).join(known.withColumnRenamed("__q", "__hit"), ["match_source", "__hit"])
+    similar = unmatched.join(similar.where("__q != __hit"), "__q").withColumn("match_type", F.lit("fuzzy")).select(*exact.columns)
+    row = F.struct(order, (-F.col("similarity")).alias("__less"), "__hit", "match_source", "gold_answer", "match_type")
+    found = exact.unionByName(similar).where(place > 0).groupBy("record_id").agg(F.min(row).alias("b")).select("record_id", "b.match_source", "b.gold_answer", "b.match_type")
+    return asked.join(found, "record_id", "left").select(
+        *records.columns, "gold_answer", F.coalesce("match_source", F.lit("none")).alias("match_source"), F.coalesce("match_type", F.lit("none")).alias("match_type")
     )
 
 

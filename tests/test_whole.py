@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from stepwright.operators import select, stats
+from stepwright.operators import match, select, stats
 from stepwright.plans import queries
 
 
@@ -77,3 +77,35 @@ def test_split_steps_of_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["n"] for r in queries.QUERIES["split_steps"](spark, str(tmp_path)).collect()}
     assert got == {i: len(steps_of(t)) for i, t in enumerate(texts)}
+
+
+def test_gold_is_attached_by_similar_questions(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcde "), int(n))).strip() for n in rng.integers(9, 120, 60)]
+    index = [("abc"[i % 3], " ".join(t.split()), f"g{i}") for i, t in enumerate(texts)]
+    index += [("b", index[0][1] + "x", "near"), ("a", index[1][1] + "y", "near too")]
+    records = []
+    for i, (_, q, _) in enumerate(index * 3):
+        at = rng.integers(0, len(q), int(rng.integers(0, 5)))
+        q = "".join("" if k in at and rng.random() < 0.5 else c + ("z" if k in at else "") for k, c in enumerate(q))
+        records.append((i, ["m", "other", None][i % 3], q))
+    records += [(900, "m", ""), (901, "m", None), (902, "m", index[1][1])]
+
+    def answer(task, q):
+        q = " ".join((q or "").split())
+        exact = {s: sorted((k, g) for t, k, g in index if t == s and k == q) for s in "abc"}
+        ratios = {s: sorted((-match.indel_ratio(q, k), k, g) for t, k, g in index if t == s and q and match.indel_ratio(q, k) >= 0.95) for s in "abc"}
+        asks = [(s, kind) for s in "ab" for kind in ("exact", "fuzzy")] if task == "m" else [(s, kind) for kind in ("exact", "fuzzy") for s in "cab"]
+        for s, kind in asks:
+            hits = (exact if kind == "exact" else ratios)[s]
+            if hits:
+                return hits[0][-1], s, kind
+        return None, "none", "none"
+
+    got = match.attach_gold(
+        spark.createDataFrame(records, "record_id long, task string, question string"),
+        spark.createDataFrame(index, "source string, question string, answer string"), {"m": ["a", "b"]}, ["c", "a", "b"],
+    )
+    found = {r["record_id"]: (r["gold_answer"], r["match_source"], r["match_type"]) for r in got.collect()}
+    assert found == {i: answer(t, q) for i, t, q in records}
+    assert {t for _, _, t in found.values()} == {"exact", "fuzzy", "none"}
