@@ -36,8 +36,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often and as far as the mix takes them."""
-    return mix_documents(docs)
+    """Documents as often and as far as the mix takes them; every source ends at its target."""
+    return mix_documents(docs, exact=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

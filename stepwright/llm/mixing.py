@@ -134,15 +134,20 @@ def token_lines(sizes: DataFrame, targets: DataFrame, seed: int, n_docs: int) ->
     return running_sum(line, "source_no", "bucket", "spot", F.col("size"), "start").drop("bucket", "spot")
 
 
-def filled_slots(line: DataFrame, slots: DataFrame, block: int, max_epochs: float) -> DataFrame:
+def filled_slots(line: DataFrame, slots: DataFrame, block: int, max_epochs: float, exact: bool = False) -> DataFrame:
     """line's documents with one row per block they touch in each run through their source.
 
     slot is null where the schedule does not take the block; the row's stretch of the document
-    is from_word to to_word. A source's last run ends where max_epochs does.
+    is from_word to to_word. A source's last run ends where max_epochs does; with exact it ends at
+    its rounded target (one word at least), and blocks before that which the schedule leaves out
+    get slots after all others.
     """
     epochs = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(max_epochs) - 1))).alias("epoch")
     at = (F.col("start") + F.col("epoch") * F.col("source_size")).alias("at")
-    end = F.least(F.col("at") + F.col("size"), F.floor(F.col("source_size") * F.lit(float(max_epochs))))
+    last = F.floor(F.col("source_size") * F.lit(float(max_epochs)))
+    if exact:
+        last = F.when(F.col("target") > 0, F.least(last, F.greatest(F.lit(1).cast("long"), F.round("target").cast("long")))).otherwise(0)
+    end = F.least(F.col("at") + F.col("size"), last)
     touched = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))
     return (
         line.select("*", epochs)
@@ -150,6 +155,7 @@ def filled_slots(line: DataFrame, slots: DataFrame, block: int, max_epochs: floa
         .withColumn("end", end)
         .withColumn("block_no", F.explode_outer(F.when(F.col("end") > F.col("at"), touched)))
         .join(slots, ["source_no", "block_no"], "left")
+        .withColumn("slot", F.coalesce("slot", F.when(F.col("block_no").isNotNull(), F.lit(2**40) + F.col("block_no"))) if exact else F.col("slot"))
         .withColumns(
             {
                 "from_word": F.greatest(F.lit(0), F.col("block_no") * block - F.col("at")),
@@ -166,12 +172,14 @@ def mix_slots(
     weights: tuple[float, ...] = CYCLE,
     block_words: int = 1024,
     seed: int = 7,
+    exact: bool = False,
 ) -> DataFrame:
     """The mix: per document and touched block row_id, doc_id, body, size, source_size, target,
     epoch, slot, from_word and to_word; slot, null where the block is not taken, orders the mix.
 
     block_words: words of a slot; less for small inputs, so that the schedule has some 4096 slots
-    at least. share: words of the mix over words of the input. seed: of the shuffle.
+    at least. share: words of the mix over words of the input. seed: of the shuffle. exact: each
+    source's words end at its target; otherwise it has its scheduled blocks whole, as op1's SQL.
     """
     sizes = sized_documents(docs)
     order = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
@@ -180,7 +188,7 @@ def mix_slots(
     wanted = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = max(1, min(block_words, int(wanted) // 4096))
     slots = schedule(targets, math.ceil(wanted / block))
-    return filled_slots(token_lines(sizes, targets, seed, sizes.count()), slots, block, max_epochs)
+    return filled_slots(token_lines(sizes, targets, seed, sizes.count()), slots, block, max_epochs, exact)
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
