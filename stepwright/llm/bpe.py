@@ -35,8 +35,8 @@ from stepwright.llm.common import kept_in_worker, map_texts_in_batches
 ROOT = 0
 #: In a reading: whatever token came before, those ahead fit it.
 ANY = -1
-#: The next state, with the tokens that are emitted if there are any.
-Move = int | tuple[int, tuple[int, ...]]
+#: The next state (its number times 256), with the ids that are emitted, as text, if there are any.
+Move = int | tuple[int, str]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,14 +70,18 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Bytes of one piece to token ids; see the module's text.
 
-    max_states and max_pieces bound the tables of determinised states and of whole short pieces.
-    small: a reading with at most so many tokens ahead is settled at once, see ahead().
+    Ids are given as text, joined by commas. max_states and max_pieces bound the tables of
+    determinised states and of whole short pieces; max_heads bounds the table of moves from the
+    start by the first characters of a piece, head of them, at once. small: a reading with at most
+    so many tokens ahead is settled at once, see ahead().
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 60_000, small: int = 1):
+    def __init__(
+        self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 200_000, max_heads: int = 60_000, head: int = 5, small: int = 4
+    ):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.max_states, self.max_pieces = max_states, max_pieces
+        self.max_states, self.max_pieces, self.max_heads, self.head = max_states, max_pieces, max_heads, head
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
         below: list[list[int] | None] = [[]]
@@ -100,8 +104,8 @@ class Transducer:
         self.below = [b if b is not None and len(b) <= small else None for b in below]
         self.spines: dict[tuple[int, int], tuple[int, ...]] = {}
         self.adjacent: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -109,7 +113,8 @@ class Transducer:
         start = ((ROOT, None, ()),)
         self.readings = [start]
         self.numbers = {start: 0}
-        self.moves: list[dict[int, Move]] = [{}]
+        self.moves: dict[int, Move] = {}
+        self.heads: dict[str, tuple[int, str]] = {}
 
     def spine(self, token: int, side: int) -> tuple[int, ...]:
         """The parts at one end of a token while it is merged, from its byte to the whole; () if
@@ -168,10 +173,11 @@ class Transducer:
         fitting = sum(self.fits(last, t) for t in tokens)
         return fitting > 0, ANY if fitting == len(tokens) else last
 
-    def determinise(self, state: int, byte: int) -> Move:
-        """The state after byte and the tokens that have become certain."""
+    def determinise(self, place: int) -> Move:
+        """The move from a state by a byte (place: state times 256 plus byte)."""
         follow = []
-        for node, last, open_tokens in self.readings[state]:
+        byte = place & 255
+        for node, last, open_tokens in self.readings[place >> 8]:
             child = self.children[node].get(byte)
             if child is None:
                 continue
@@ -182,64 +188,69 @@ class Transducer:
             token = self.ends[child]
             if token is not None and (last == ANY or self.fits(last, token)):
                 follow.append((ROOT, token, (*open_tokens, token)))
-        sure = 0
         paths = [open_tokens for _, _, open_tokens in follow]
-        while all(len(p) > sure for p in paths) and len({p[sure] for p in paths}) == 1:
+        sure, least, shortest = 0, paths[0], min(map(len, paths))
+        while sure < shortest and all(p[sure] == least[sure] for p in paths):
             sure += 1
-        emitted = paths[0][:sure]
-        key = tuple((node, last, open_tokens[sure:]) for node, last, open_tokens in follow)
+        key = tuple([(node, last, open_tokens[sure:]) for node, last, open_tokens in follow] if sure else follow)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.readings)
             self.readings.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, emitted) if emitted else number
+        move = self.moves[place] = (number << 8, "".join([f",{t}" for t in least[:sure]])) if sure else number << 8
         return move
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Token ids of one piece."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(self.readings) > self.max_states:
-            self.reset()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves[state].get(byte)
+    def walk(self, data: bytes, state: int) -> tuple[int, str]:
+        """The state after the bytes, and the ids emitted on the way, each after a comma."""
+        out: list[str] = []
+        follow = self.moves.get
+        for byte in data:
+            move = follow(state | byte)
             if move is None:
                 if len(self.readings) > 2 * self.max_states:  # in one endless piece: keep where it is
-                    here = self.readings[state]
+                    here = self.readings[state >> 8]
                     self.reset()
-                    moves = self.moves
-                    state = self.numbers.setdefault(here, len(self.readings))
-                    if state == len(self.readings):
+                    follow = self.moves.get
+                    number = self.numbers.setdefault(here, len(self.readings))
+                    if number == len(self.readings):
                         self.readings.append(here)
-                        moves.append({})
-                move = self.determinise(state, byte)
+                    state = number << 8
+                move = self.determinise(state | byte)
             if move.__class__ is int:
                 state = move
             else:
                 state, emitted = move
-                out += emitted
-        for node, _, open_tokens in self.readings[state]:
-            if node == ROOT:
-                out += open_tokens
-        return out
+                out.append(emitted)
+        return state, "".join(out)
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a piece and the same as text; short pieces are remembered.
+    def encode(self, text: str) -> str:
+        """Ids of one piece, joined by commas."""
+        whole = self.ranks.get(text.encode())
+        if whole is not None:
+            return str(whole)
+        if len(self.readings) > self.max_states:
+            self.reset()
+        begun = self.heads.get(text[: self.head])
+        if begun is None:
+            begun = self.walk(text[: self.head].encode(), 0)
+            if len(self.heads) >= self.max_heads:
+                self.heads.clear()
+            self.heads[text[: self.head]] = begun
+        state, emitted = self.walk(text[self.head :].encode(), begun[0])
+        rest = next((open_tokens for node, _, open_tokens in self.readings[state >> 8] if node == ROOT), ())
+        return (begun[1] + emitted + "".join([f",{t}" for t in rest]))[1:]
+
+    def piece(self, text: str) -> str:
+        """Ids of a piece as text; short pieces are remembered.
 
         When the table is full it becomes the older one, from which pieces in use come back.
         """
         known = self.older.get(text)
         if known is None:
-            ids = tuple(self.encode(text.encode()))
-            known = ids, ",".join(map(str, ids))
+            known = self.encode(text)
         if len(text) <= 40:
             if len(self.pieces) >= self.max_pieces:
-                self.older = self.pieces.copy()
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[text] = known
         return known
 
@@ -280,9 +291,10 @@ class Codec:
         # the library's engine counts only Unicode's White_Space as \s
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.transducer = Transducer(ranks)
+        self.spelled = {str(rank): token for token, rank in ranks.items()}
 
-    def runs(self, text: str, most: int = 100_000) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """Encoded pieces of the text, in runs of bounded length."""
+    def runs(self, text: str, most: int = 100_000) -> Iterator[str]:
+        """Ids of the text as text, in runs of pieces of bounded length."""
         piece = self.transducer.piece
         known = self.transducer.pieces
         if len(text) < most:
@@ -290,10 +302,10 @@ class Codec:
         else:
             found = batched((m.group() for m in self.pattern.finditer(text)), most)
         for pieces in found:
-            yield [known.get(p) or piece(p) for p in pieces]
+            yield ",".join([known.get(p) or piece(p) for p in pieces])
 
     def encode(self, text: str) -> list[int]:
-        return [i for run in self.runs(text) for ids, _ in run for i in ids]
+        return [int(i) for run in self.runs(text) for i in run.split(",")]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.transducer.tokens.__getitem__, ids))
@@ -311,10 +323,10 @@ class Codec:
         for run in self.runs(text):
             if n:
                 shown.update(b",")
-            shown.update(",".join([s for _, s in run]).encode())
-            ids = [i for part, _ in run for i in part]
+            shown.update(run.encode())
+            ids = run.split(",")
             n += len(ids)
-            decoded.update(decoder.feed(self.decode_bytes(ids)).encode())
+            decoded.update(decoder.feed(b"".join(map(self.spelled.__getitem__, ids))).encode())
         decoded.update(decoder.close().encode())
         return n, shown.hexdigest(), decoded.hexdigest()
 
