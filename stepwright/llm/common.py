@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths given out inside each running settle().
+_open: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; the application id groups what one run leaves."""
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/stepwright/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/stepwright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -71,10 +78,79 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that build() gives, materialised; what else it left in the shared folder goes."""
+    _open.append([])
+    try:
+        table = materialise(build(), label)
+    finally:
+        made = _open.pop()
+    for path in made:
+        if path != table.scratch:
+            delete_folder(spark, path)
+    if _open:
+        _open[-1].append(table.scratch)
+    return table
+
+
+#: Columns of a content locator: the file that holds a row, and its number there.
+LOCATOR = ("__file", "__row")
+
+
+def with_locators(docs: DataFrame) -> DataFrame:
+    """docs with the columns of LOCATOR, which tell all rows apart and find each again.
+
+    They are those of the table's own files where docs reads each row of them at most once;
+    anything else is written to the shared folder first, so that its rows have a place.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        here = docs.withColumns({LOCATOR[0]: place["file_path"], LOCATOR[1]: place["row_index"]})
+        if here.groupBy(*LOCATOR).count().where("count > 1").isEmpty():
+            return here
+    except AnalysisException:
+        pass
+    table = materialise(docs, "located")
+    place = table.metadataColumn("_metadata")
+    return table.withColumns({LOCATOR[0]: place["file_path"], LOCATOR[1]: place["row_index"]})
+
+
+def without_rows(located: DataFrame, dropped: DataFrame) -> DataFrame:
+    """located (see with_locators) without the rows whose locators dropped holds, and without locators."""
+    return located.join(dropped.select(*LOCATOR), list(LOCATOR), "left_anti").drop(*LOCATOR)
+
+
+#: Bits of a bitmap of locators: so many for each of them, within these powers of two (4 KB and 16 MB).
+BITS_FOR_ROW, LEAST_BITS, MOST_BITS = 16, 15, 27
+
+
+def maybe_among(located: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of located whose locators may be among those of chosen: none of these is lost.
+
+    The others go where they are read, but for chance agreements, which a join then drops. The
+    bitmap is made and read by native functions, a row for each 32768 bits, and broadcast; its size
+    is bounded, so with very many chosen rows it lets more of the others pass.
+    """
+    power = min(MOST_BITS, max(LEAST_BITS, (chosen.count() * BITS_FOR_ROW).bit_length()))
+    spot = F.xxhash64(*LOCATOR).bitwiseAND((1 << power) - 1)
+    bits = chosen.select(spot.alias("__spot")).groupBy(F.bitmap_bucket_number("__spot").alias("__bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__spot")).alias("__bits"))
+    placed = located.withColumn("__spot", spot).withColumn("__bucket", F.bitmap_bucket_number("__spot"))
+    at = F.bitmap_bit_position("__spot").cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, at.bitwiseAND(7)) == 1
+    return placed.join(F.broadcast(bits), "__bucket").where(is_set).drop("__bucket", "__bits", "__spot")
+
+
 #: Texts in one Arrow batch: bounds what a task holds twice, in the JVM's buffers and in Python.
 ROWS_IN_BATCH = "500"
 
 
+def ddl(rows: DataFrame, *names: str) -> str:
+    """The columns of these names and their types, as a schema in words."""
+    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+
+
 def map_texts_in_batches(rows: DataFrame, batches: Callable, schema) -> DataFrame:
     """rows.mapInArrow(batches, schema) with small batches; a size that the session sets stays."""
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -98,6 +174,11 @@ def kept_in_worker(key: object, build: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing needs any more.
 
@@ -105,15 +186,19 @@ def release(*tables: DataFrame) -> None:
     which is asked of it here, so a long chain of steps holds the disk of one step at a time.
     """
     for table in tables:
-        spark = table.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(table.sparkSession, table.scratch)
     gc.collect()
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this application left in the shared folder, once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/stepwright/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_scratch(spark: SparkSession, keep: str | None = None) -> None:
+    """Delete what this application left in the shared folder, once its results are written.
+
+    keep: the one table (its folder) that stays, such as the input of the next step.
+    """
+    root = f"{scratch_root(spark)}/stepwright/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in store.listStatus(path) if store.exists(path) else []:
+        if keep is None or entry.getPath().getName() != keep.rsplit("/", 1)[-1]:
+            store.delete(entry.getPath(), True)

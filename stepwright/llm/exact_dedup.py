@@ -1,10 +1,15 @@
 """Exact deduplication by a stateful stream of digests.
 
 Every document becomes one small record: digest of its normalised text, length, identifier and
-the file that holds it. A Structured Streaming aggregation over these records keeps, per digest
-and without expiry, the record that stays and the number of members; RocksDB holds that state on
-disk. Digests that were hit more than once are then checked on the full normalised bytes, and
-members whose bytes differ from their keeper's are grouped anew by the text itself.
+content locator (file and row). A Structured Streaming aggregation over these records keeps, per
+digest and without expiry, the record that stays and the number of members; RocksDB holds that
+state on disk. Of digests that were hit more than once the members' contents are fetched by their
+locators and compared in full with their keeper's; members whose bytes differ are grouped anew by
+the text itself. Only texts of hits are moved: a bitmap of bounded size over the hits' locators
+drops the others (but for chance agreements, which a join then drops) where they are read.
+
+A state folder given to run_state is gone on from: records that came since the last run are
+counted in, those that were there before are not read again.
 
 Defined cases: a null text is the empty text; empty texts equal each other; a null doc_id sorts
 last; of repeated rows exactly one is kept; an empty table gives an empty result; columns beside
@@ -16,10 +21,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import materialise, scratch_path, text_or_empty, without_white
+from stepwright.llm.common import LOCATOR, materialise, maybe_among, scratch_path, settle, text_or_empty, with_locators, without_rows, without_white
 
 #: State on disk; without fallocate, which sets 4 MB aside for each of many small stores. All
 #: stores of an executor share one bounded cache, and a store is closed when its batch is written.
@@ -36,30 +40,31 @@ def sha256_bytes(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def digest_records(docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
+def digest_records(located: DataFrame, digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
     """digest, n_chars, id_null, doc_id and locator of each document; works on streams too."""
-    return docs.select(
+    return located.select(
         digest(without_white(text_or_empty(F.col("text")))).alias("digest"),
         F.length(text_or_empty(F.col("text"))).alias("n_chars"),
         F.col("doc_id").isNull().alias("id_null"),
         "doc_id",
-        F.input_file_name().alias("locator"),
+        *LOCATOR,
     )
 
 
 def keeper_state(records: DataFrame) -> DataFrame:
-    """Per digest the record that stays and the group's size.
-
-    On a stream this is keyed state that never expires; a restarted query goes on from it.
-    """
-    order = F.struct((-F.col("n_chars")).alias("rank"), "id_null", "doc_id", "row_id", "locator")
+    """Per digest the record that stays and the group's size; on a stream, state that never expires."""
+    order = F.struct((-F.col("n_chars")).alias("rank"), "id_null", "doc_id", *LOCATOR)
     return records.groupBy("digest").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
-def run_state(spark: SparkSession, folder: str, schema, files_per_batch: int) -> DataFrame:
-    """Stream the record files of folder through keeper_state and read the final state back."""
+def run_state(spark: SparkSession, folder: str, schema, files_per_batch: int, place: str | None = None) -> DataFrame:
+    """Stream the record files of folder through keeper_state and read the final state back.
+
+    place: the folder of the stream's offsets and state; one that was used before is gone on from.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    place, before = scratch_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in STATE_CONF}
+    again, place = place is not None, place or scratch_path(spark, "dedup-state")
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
@@ -72,7 +77,7 @@ def run_state(spark: SparkSession, folder: str, schema, files_per_batch: int) ->
             .start()
         )
         query.awaitTermination()
-        if query.lastProgress is None:  # no file, so no batch and no state
+        if query.lastProgress is None and not again:  # no file, so no batch and no state
             return keeper_state(spark.createDataFrame([], schema)).select("digest", "best.*", "group_size")
         state = spark.read.format("statestore").load(place)
         best, size = (f"value.`{f.name}`" for f in state.schema["value"].dataType.fields)
@@ -89,83 +94,75 @@ def run_state(spark: SparkSession, folder: str, schema, files_per_batch: int) ->
 def exact_groups(
     docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes, files_per_batch: int = 4096
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest, row_id.
+    """One row per document: doc_id, keep_id, group_size, kept, digest.
 
     files_per_batch bounds what one micro-batch of the stream takes in.
     """
-    spark = docs.sparkSession
-    rows = digest_records(docs, digest).withColumn("row_id", F.monotonically_increasing_id())
+    located = with_locators(docs.select("doc_id", "text"))
+    groups = settle(docs.sparkSession, lambda: located_groups(located, digest, files_per_batch), "dedup-result")
+    return groups.drop(*LOCATOR)
+
+
+def located_groups(located: DataFrame, digest: Callable[[Column], Column] = sha256_bytes, files_per_batch: int = 4096) -> DataFrame:
+    """exact_groups with the locator of each row."""
+    spark = located.sparkSession
+    rows = digest_records(located, digest)
     folder = scratch_path(spark, "dedup-records")
     rows.write.parquet(folder)
     records = spark.read.schema(rows.schema).parquet(folder)
     groups = run_state(spark, folder, rows.schema, files_per_batch)
-    keepers = groups.select(
-        "digest", F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"), "group_size"
-    )
+    keepers = groups.select("digest", F.col("doc_id").alias("keep_id"), *[F.col(c).alias(f"keep{c}") for c in LOCATOR], "group_size")
+    here = F.lit(True)
+    for c in LOCATOR:
+        here = here & (F.col(c) == F.col(f"keep{c}"))
     result = (
-        records.select("doc_id", "digest", "row_id")
+        records.select("doc_id", "digest", *LOCATOR)
         .join(keepers, "digest")
-        .select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "digest", "row_id")
+        .select("doc_id", "keep_id", "group_size", here.alias("kept"), "digest", *LOCATOR)
     )
-    wrong = unequal_digests(docs, groups, digest)
+    members = hit_texts(located, records, groups)
+    wrong = unequal_digests(members)
     if wrong.isEmpty():
         return result
-    return result.join(wrong, "digest", "left_anti").unionByName(grouped_by_text(docs, wrong, digest, result.columns))
+    return result.join(wrong, "digest", "left_anti").unionByName(grouped_by_text(members, wrong, result.columns))
+
+
+def hit_texts(located: DataFrame, records: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of digests with more than one: record, locator, is_keeper and squeezed (the text)."""
+    hits = groups.where("group_size > 1").select("digest", *[F.col(c).alias(f"keep{c}") for c in LOCATOR])
+    is_keeper = (F.col(LOCATOR[0]) == F.col(f"keep{LOCATOR[0]}")) & (F.col(LOCATOR[1]) == F.col(f"keep{LOCATOR[1]}"))
+    chosen = records.join(hits, "digest").select("digest", "n_chars", "id_null", "doc_id", *LOCATOR, is_keeper.alias("is_keeper"))
+    chosen = materialise(chosen, "dedup-hits")
+    texts = maybe_among(located.select("text", *LOCATOR), chosen)
+    return materialise(
+        texts.join(chosen, list(LOCATOR)).withColumn("squeezed", without_white(text_or_empty(F.col("text")))).drop("text"), "dedup-texts"
+    )
 
 
-def unequal_digests(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def unequal_digests(members: DataFrame) -> DataFrame:
     """Digests under which two texts differ; every member of a hit is compared in full with its keeper."""
-    hits = groups.where("group_size > 1").select("digest", F.col("doc_id").alias("keep_id"), (-F.col("rank")).alias("keep_chars"))
-    text = text_or_empty(F.col("text"))
-    members = docs.select("doc_id", F.length(text).alias("n_chars"), without_white(text).alias("squeezed")).withColumn(
-        "digest", digest(F.col("squeezed"))
-    )
-    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    keepers = members.join(hits, "digest").where(is_keeper).select("digest", F.col("squeezed").alias("kept_text")).dropDuplicates(["digest"])
-    # a table of its own, so that the join has two plain shuffles and can split a hot digest
-    keepers = materialise(keepers, "dedup-keepers")
-    unequal = members.select("digest", "squeezed").join(keepers, "digest").where("squeezed != kept_text")
-    return materialise(unequal.select("digest").distinct(), "dedup-unequal")
-
-
-def grouped_by_text(docs: DataFrame, wrong: DataFrame, digest: Callable[[Column], Column], columns: list[str]) -> DataFrame:
-    """The documents under the given digests, grouped by their whole normalised text."""
-    text = text_or_empty(F.col("text"))
-    rows = materialise(
-        docs.select("doc_id", F.length(text).alias("n_chars"), without_white(text).alias("squeezed"))
-        .withColumn("digest", digest(F.col("squeezed")))
-        .join(wrong, "digest", "left_semi")
-        .withColumns({"row_id": F.monotonically_increasing_id(), "id_null": F.col("doc_id").isNull(), "locator": F.lit("")}),
-        "dedup-regroup",
-    )
-    order = F.struct((-F.col("n_chars")).alias("rank"), "id_null", "doc_id", "row_id")
+    keepers = members.where("is_keeper").select("digest", F.col("squeezed").alias("kept_text"))
+    unequal = members.where("not is_keeper").select("digest", "squeezed").join(keepers, "digest").where("squeezed != kept_text")
+    # a table of its own: no aggregation by digest stands on the join, which may so split a hot one
+    return materialise(unequal.select("digest"), "dedup-unequal").distinct()
+
+
+def grouped_by_text(members: DataFrame, wrong: DataFrame, columns: list[str]) -> DataFrame:
+    """The members of the given digests, grouped by their whole normalised text."""
+    rows = materialise(members.join(wrong, "digest", "left_semi"), "dedup-regroup")
+    order = F.struct((-F.col("n_chars")).alias("rank"), "id_null", "doc_id", *LOCATOR)
     best = rows.groupBy("squeezed").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    first = [F.col(c) == F.col(f"best.{c}") for c in LOCATOR]
     return (
         rows.join(best, "squeezed")
-        .withColumns({"keep_id": F.col("best.doc_id"), "kept": F.col("row_id") == F.col("best.row_id")})
+        .withColumns({"keep_id": F.col("best.doc_id"), "kept": first[0] & first[1]})
         .withColumn("digest", sha256_bytes(F.col("squeezed")))
         .select(*columns)
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept.
-
-    Repeated rows (same doc_id, equal text) are the only case in which an identifier does not
-    tell the rows apart; only where such rows exist are they reduced by text as well.
-    """
-    groups = materialise(exact_groups(docs), "dedup-result")
-    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    shared = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if not shared:
-        dropped = groups.where("not kept").select(F.col("doc_id").alias("dropped_id"))
-        return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
-    text = text_or_empty(F.col("text"))
-    order = Window.partitionBy("doc_id", "__digest").orderBy(F.col("__chars").desc())
-    return (
-        docs.withColumns({"__digest": sha256_bytes(without_white(text)), "__chars": F.length(text)})
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__digest") == F.col("kept_digest")), "left_semi")
-        .withColumn("__row", F.row_number().over(order))
-        .where("__row = 1")
-        .drop("__digest", "__chars", "__row")
-    )
+    """docs with one row of each group of equal texts, all columns kept."""
+    located = with_locators(docs)
+    dropped = settle(docs.sparkSession, lambda: located_groups(located).where("not kept").select(*LOCATOR), "dedup-dropped")
+    return without_rows(located, dropped)
