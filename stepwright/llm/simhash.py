@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import map_texts_in_batches, materialise
+from stepwright.llm.common import LOCATOR, ddl, map_texts_in_batches, materialise, settle, with_locators, without_rows
 from stepwright.llm.components import connected_components
 
 #: A-Z to a-z; bytes.split() splits at just the white space of the contract.
@@ -57,16 +57,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every document."""
+def fingerprints(docs: DataFrame, width: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a long) and carried columns of every document."""
+    names = ["doc_id", *carried]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             marks = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(marks.view(np.int64))], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts_in_batches(docs.select("doc_id", "text"), batches, f"doc_id {kind}, fp long")
+    return map_texts_in_batches(docs.select(*names, "text"), batches, f"{ddl(docs, *names)}, fp long")
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -117,18 +117,31 @@ def midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return met.where("a != b").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, most_in_block: int = 64) -> DataFrame:
-    """Per document: doc_id, fp and component_id (the smallest doc_id that links reach, or its own)."""
-    marks = materialise(fingerprints(docs, width), "simhash-marks")
-    firsts = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-firsts")
-    roots = materialise(connected_components(pivot_links(firsts.select("fp"), max_bits, most_in_block)), "simhash-roots")
-    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, most_in_block: int = 64, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, fp, component_id (the smallest doc_id that links reach, or its own),
+    root (the component's number) and carried columns."""
+
+    def build() -> DataFrame:
+        marks = materialise(fingerprints(docs, width, carried), "simhash-marks")
+        firsts = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-firsts")
+        roots = materialise(connected_components(pivot_links(firsts.select("fp"), max_bits, most_in_block)), "simhash-roots")
+        rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+        ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        return marks.join(rooted.join(ids, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root", *carried)
+
+    return settle(docs.sparkSession, build, "simhash-groups")
+
+
+def all_but_first(groups: DataFrame) -> DataFrame:
+    """Locators of the rows of each root but the one with the smallest doc_id (null last); of rows
+    that share it the first in its file stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *LOCATOR)
+    kept = groups.groupBy("root").agg(F.min(order).alias("kept"))
+    is_kept = [F.col(c) == F.col(f"kept.{c}") for c in LOCATOR]
+    return groups.join(kept, "root").where(~(is_kept[0] & is_kept[1])).select(*LOCATOR)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with the smallest doc_id of each component; rows that share this doc_id all stay."""
-    groups = near_duplicates(docs, **options)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    """docs with one row of each component, see all_but_first."""
+    located = with_locators(docs)
+    return without_rows(located, all_but_first(near_duplicates(located, carried=LOCATOR, **options)))
