@@ -9,7 +9,8 @@ asked for. The entries of the visited cells are then ranked by their exact dista
 Equal vectors are one entry with their smallest ids (k + 1 of them can matter, no more), and equal
 queries are searched once, so copies add no work. An entry is held once. The cells of one centroid
 of the first half lie together, cut into slices by a hash where they are many; a query is sent
-once to each slice of a row of cells that it visits.
+once to each slice of a row of cells that it visits. Where many queries visit a row they are dealt
+into chunks, each of which meets the row's entries by itself, so one task holds a slice and a chunk.
 
 The centroids are fitted on a bounded sample (max_fit vectors, the first by a seeded hash); every
 vector is indexed. What is broadcast: the centroids and the cells' sizes, both bounded by the
@@ -139,12 +140,14 @@ def entries_needed(index: DataFrame, asked: DataFrame, centres, sizes: np.ndarra
             held = matrix_of(pdf["v"]) if len(pdf) else np.zeros((0, tried.shape[1]))
             for no, query in enumerate(tried if len(held) else []):
                 score = exact_distances(query[None, :], held)[0]
-                near = np.argsort(score, kind="stable")[: k + 1]
+                score[score == 0] = np.inf  # the query's own entry, in which its copies are too
+                near = np.argsort(score, kind="stable")[:k]
+                near = near[np.isfinite(score[near])]
                 yield pd.DataFrame({"no": no, "score": score[near], "row": pdf["row"].to_numpy()[near], "col": pdf["col"].to_numpy()[near]})
 
     best = F.row_number().over(Window.partitionBy("no").orderBy("score"))
     found = index.mapInPandas(closest, "no int, score double, row int, col int")
-    true = found.withColumn("place", best).where(F.col("place") <= k + 1).select("no", "row", "col").collect()
+    true = found.withColumn("place", best).where(F.col("place") <= k).select("no", "row", "col").collect()
     first, second = centres.value
     x, y = halves(tried)
     left, right = half_distances(x, first), half_distances(y, second)
@@ -196,6 +199,7 @@ def search(
     max_fit: int = 20_000,
     trials: int = 48,
     slice_size: int = 4096,
+    chunk_size: int = 2048,
     seed: int = 5,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest entries found for every query.
@@ -203,7 +207,8 @@ def search(
     recall: share of true neighbours that the walks aim at, measured on some trial queries.
     least: entries that a walk collects in any case, so small tables are searched in full.
     per_cell: entries aimed at per cell, which sets the number of centroids. slice_size: entries
-    that one task holds of the cells of one centroid of the first half.
+    that one task holds of the cells of one centroid of the first half. chunk_size: queries that it
+    holds at once.
     """
     rows = usable(vectors)
     ids = rows.select("vec_id", "v").dropDuplicates(["vec_id"])
@@ -225,9 +230,14 @@ def search(
         sizes[row, col] = size
     slices = np.maximum(1, -(-sizes.sum(axis=1) // slice_size))
     wanted = max(least, entries_needed(index, asked, centres, sizes.ravel(), k, recall, trials))
-    visits = visits_of(asked, centres, sizes.ravel(), slices, wanted)
-    slice_of = F.pmod(F.xxhash64("v"), F.element_at(F.array(*[F.lit(int(x)) for x in slices]), F.col("row") + 1)).cast("int")
-    sliced = index.withColumn("slice", slice_of)
+    visits = materialise(visits_of(asked, centres, sizes.ravel(), slices, wanted), "ann-visits")
+    chunks = np.ones(len(slices), np.int64)
+    for row, most in visits.groupBy("row", "slice").count().groupBy("row").agg(F.max("count")).collect():  # at most max_centroids
+        chunks[row] = -(-most // chunk_size)
+    by_row = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("row") + 1)
+    visits = visits.withColumn("chunk", F.pmod(F.xxhash64("asked"), by_row(chunks)).cast("int"))
+    slice_of = F.pmod(F.xxhash64("v"), by_row(slices)).cast("int")
+    sliced = index.withColumn("slice", slice_of).withColumn("chunk", F.explode(F.sequence(F.lit(0), (by_row(chunks) - 1).cast("int"))))
 
     def rerank(wanting: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -245,7 +255,7 @@ def search(
                 found += [(asked_no, i, s) for s, i in sorted(near)[: k + 1]]
         return pd.DataFrame(found, columns=["asked", "vec_id", "score"])
 
-    keys = ["row", "slice"]
+    keys = ["row", "slice", "chunk"]
     hits = visits.groupBy(keys).cogroup(sliced.groupBy(keys)).applyInPandas(rerank, "asked long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))
     hits = materialise(hits.withColumn("place", best).where(F.col("place") <= k + 1).drop("place"), "ann-hits")
