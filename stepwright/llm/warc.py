@@ -5,6 +5,7 @@ of its own; only the start of a member is inflated to parse the record's header,
 record_type and the other header columns are tried on it, and a record that fails them, or whose
 payload is not asked for by the schema, is skipped without inflating its block: the member's
 extra field 'sl' says where the next one starts (members without it are inflated and dropped).
+Archives that are not compressed are read too; there Content-Length says where the next record is.
 
 Writing: each task writes files of bounded size under names of its own; the files of tasks that
 succeeded are named in a manifest when the job commits, and readers go by the manifest, so what a
@@ -169,6 +170,11 @@ class WarcReader(DataSourceReader):
         while at < end:
             source.seek(at)
             start = source.read(8192)
+            if not start.startswith(b"\x1f\x8b"):
+                header, payload, at = self.plain_record(source, start, at)
+                if header is not None:
+                    yield header, payload
+                continue
             skip = self.member_length(start)
             head, unpacker = b"", zlib.decompressobj(31)
             data = start
@@ -180,8 +186,7 @@ class WarcReader(DataSourceReader):
                     raise ValueError(f"a record without a header at byte {at}")
             head, _, block = head.partition(b"\r\n\r\n")
             header = parse_header(head)
-            passes = all(header.get(HEADER_FIELDS[n].lower()) in values for n, values in self.wanted.items())
-            wants_block = passes and "payload" in self.names and header.get("warc-type") != "revisit"
+            passes, wants_block = self.wants(header)
             if skip and not wants_block:
                 at += skip
             else:
@@ -199,6 +204,28 @@ class WarcReader(DataSourceReader):
             if passes:
                 yield header, self.payload(header, block) if wants_block else None
 
+    def wants(self, header: dict[str, str]) -> tuple[bool, bool]:
+        """Does the record pass the filters, and is its block needed?"""
+        passes = all(header.get(HEADER_FIELDS[n].lower()) in values for n, values in self.wanted.items())
+        return passes, passes and "payload" in self.names and header.get("warc-type") != "revisit"
+
+    def plain_record(self, source, start: bytes, at: int) -> tuple[dict[str, str] | None, bytes | None, int]:
+        """Header (None if the record is filtered out), payload and end of an uncompressed record."""
+        while b"\r\n\r\n" not in start:
+            more = source.read(8192)
+            if not more:
+                raise ValueError(f"a record without a header at byte {at}")
+            start += more
+        head, _, _ = start.partition(b"\r\n\r\n")
+        header, begin = parse_header(head.lstrip(b"\r\n")), at + len(head) + 4
+        end = begin + int(header.get("content-length", 0))
+        passes, wants_block = self.wants(header)
+        payload = None
+        if wants_block:
+            source.seek(begin)
+            payload = self.payload(header, source.read(end - begin))
+        return header if passes else None, payload, end + 4
+
     @staticmethod
     def member_length(start: bytes) -> int:
         """The packed length in the member's extra field, or 0."""
