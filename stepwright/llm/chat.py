@@ -11,8 +11,8 @@ as well, after exact repetitions are dropped; no row holds more than its own con
 
 Defined cases: turns are ordered by turn number (null last), then role and text; exact repeated
 rows count once; an unknown or null role can be relabelled for less than a known one; a null text
-is empty; rows of a null conv_id form one conversation; a conversation without text keeps its
-turns; an empty table gives an empty result; other columns are not read.
+is empty; a row of a null conv_id belongs to no other and is a conversation of its own; a
+conversation without text keeps its turns; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwright.llm.common import ddl, map_texts_in_batches
+
 ROLES = ("system", "user", "assistant")
 #: States name the role that came last; START has none. Legal next roles per state.
 NEXT = {"START": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
@@ -130,7 +132,8 @@ def format_chats(
     repaired turns, joined by commas) and rendered."""
     rows = turns.select("conv_id", "turn", "role", "text").distinct()
     order = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
-    gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(order)).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.struct("turn", "role", "text")).alias("own")
+    gathered = rows.groupBy("conv_id", own).agg(F.array_sort(F.collect_list(order)).alias("turns"))
     gathered = gathered.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +151,5 @@ def format_chats(
             kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], ["conv_id", *out])
 
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {kind}, n_turns long, cost double, n_merged long, n_relabelled long, n_inserted long, roles string, rendered string"
-    return gathered.mapInArrow(batches, schema)
+    schema = f"{ddl(turns, 'conv_id')}, n_turns long, cost double, n_merged long, n_relabelled long, n_inserted long, roles string, rendered string"
+    return map_texts_in_batches(gathered, batches, schema)
