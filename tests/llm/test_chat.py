@@ -53,10 +53,12 @@ def test_render_merges():
 def test_odd_rows(spark):
     rows = [
         (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "Assistant ", None),
-        (2, None, None, "x"), (2, 3, "assistant", "first"), (None, 0, "user", ""), (3, 0, "user", "long " * 50_000),
+        (2, None, None, "x"), (2, 3, "assistant", "first"), (None, 0, "user", ""), (None, 1, "user", "other"), (None, 1, "user", "other"), (3, 0, "user", "long " * 50_000),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as rendered", "2 as roles")
-    got = {r["conv_id"]: r for r in format_chats(turns).collect()}
+    rows = format_chats(turns).collect()
+    assert sorted(r["rendered"].split("\n")[1] for r in rows if r["conv_id"] is None) == ["<|im_end|>", "other<|im_end|>"]
+    got = {r["conv_id"]: r for r in rows}
     assert set(got) == {1, 2, 3, None}
     assert got[1]["n_turns"] == 2 and got[1]["cost"] == 0.0
     assert got[2]["roles"] in ("user,assistant", "assistant") or got[2]["roles"].endswith("assistant")

@@ -53,3 +53,20 @@ def test_no_labels(spark):
     model = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score_documents(docs, model).collect()} == {0.0}
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_labels_of_held_out_rows_are_not_used(spark):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from stepwright.llm import toxicity
+
+    data = [(i, ("you are vile trash " if i % 2 else "a calm walk by the lake ") * (1 + i % 5)) for i in range(120)]
+    docs = spark.createDataFrame([*data, data[0], (500, "word " * 60_000), (501, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, toxic int")
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = [sorted(map(tuple, toxicity.score_documents(docs, toxicity.train(docs, y)).select("doc_id", "score", "predicted").collect())) for y in (labels, flipped)]
+    assert scores[0] == scores[1] and len(scores[0]) == 123
+    got = {r["doc_id"]: r["h"] for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}

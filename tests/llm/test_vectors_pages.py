@@ -37,6 +37,24 @@ def test_search(spark):
     assert ann.search(df.where("vec_id in (100, 200)"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_recall_with_production_settings(spark):
+    """20,000 vectors, some in tight clusters, so that walks do not take in the whole table."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32)) * 2
+    points = np.concatenate([rng.normal(size=(14_000, 32)), *(c + rng.normal(size=(100, 32)) * 0.05 for c in centres)])
+    points = points[rng.permutation(len(points))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(8)
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 100 == 0, chunk_size=64).collect()}
+    true = set()
+    for i in range(0, len(points), 100):
+        d = ((points - points[i]) ** 2).sum(1)
+        d[i] = np.inf
+        true |= {(i, int(j)) for j in np.argsort(d)[:10]}
+    recall = len(got & true) / len(true)
+    print(f"recall {recall:.3f}")
+    assert len(got) == len(true) and recall >= 0.9
+
+
 def test_cells_come_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.random(5), rng.random(7)
@@ -87,3 +105,16 @@ def test_plain_members_without_lengths(tmp_path):
     reader = warc.WarcReader({"path": str(tmp_path)}, StructType([StructField("payload", BinaryType())]))
     got = [x for p in reader.partitions() for b in reader.read(p) for x in b.column(0).to_pylist()]
     assert got == [b"p" * 20_000] * 3
+
+
+def test_archives_without_compression(tmp_path):
+    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+    records = [{"record_type": "response", "record_id": f"<urn:page:{i}>", "payload": b"p" * n} for i, n in enumerate((0, 9_000, 5))]
+    records.append({"record_type": "revisit", "record_id": "<urn:page:9>", "refers_to": "<urn:page:1>"})
+    (tmp_path / "a.warc").write_bytes(b"".join(map(warc.record_bytes, records)))
+    reader = warc.WarcReader({"path": str(tmp_path)}, StructType([StructField("record_id", StringType()), StructField("payload", BinaryType())]))
+    got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [{"record_id": r["record_id"], "payload": r.get("payload")} for r in records]
+    assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")])) == []
+    assert [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == ["<urn:page:9>"]
