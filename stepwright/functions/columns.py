@@ -79,14 +79,19 @@ def first_finite_array(*arrays: Column) -> Column:
     return F.coalesce(*[F.when(all_finite(a), a) for a in arrays])
 
 
+def numbers_to(n: Column) -> Column:
+    """1 to n as an array; none for 0 or less, where sequence() would count down."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+
+
 def mask_from_first_error(n: Column, first_error: Column) -> Column:
     """1 for steps before the first error, 0 from it on; all 1 where it is -1."""
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when((first_error == -1) | (i - 1 < first_error), 1).otherwise(0))
+    return F.transform(numbers_to(n), lambda i: F.when((first_error == -1) | (i - 1 < first_error), 1).otherwise(0))
 
 
 def labels_from_error_steps(n: Column, error_steps: Column) -> Column:
     """1-based numbers of wrong steps to an array of 0 and 1."""
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_contains(error_steps, i).cast("int"))
+    return F.transform(numbers_to(n), lambda i: F.array_contains(error_steps, i).cast("int"))
 
 
 def trimmed(*arrays: Column) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.columns import finite, safe_div, sigmoid
-from stepwright.operators.ordered import running
+from stepwright.operators.ordered import quantiles, running
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -119,17 +119,26 @@ def tune_error_f1(df: DataFrame, score: str, error: str, points: int = 200, keys
 
     Thresholds are equally spaced from the first to the 99th percentile; a step is flagged at or
     below the threshold, or at or above it if inverted. The first best wins: not inverted before
-    inverted, low before high. Each row is put between two thresholds once; counts per interval
-    are summed up over the intervals, so rows are never multiplied by the thresholds.
+    inverted, low before high. Each row's place between two thresholds is computed from their
+    spacing; counts per interval are summed up over the intervals, so rows are never multiplied by
+    the thresholds.
     """
     rows = df.where(finite(F.col(score).cast("double")) & F.col(error).isNotNull()).select(*keys, F.col(score).cast("double").alias("s"), (F.col(error) == 1).cast("int").alias("e"))
-    ends = rows.groupBy(*keys).agg(F.percentile("s", [0.01, 0.99]).alias("q"), F.sum("e").alias("wrong"), F.count("e").alias("n"))
+    ends = quantiles(rows, "s", [0.01, 0.99], keys).drop("n")
+    sums = rows.groupBy(*keys).agg(F.sum("e").alias("wrong"), F.count("e").alias("n"))
+    ends = ends.join(sums, keys) if keys else ends.crossJoin(sums)
     grid = ends.select(*keys, "wrong", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("q")[0] + i * (F.col("q")[1] - F.col("q")[0]) / (points - 1))).alias("i", "t"))
-    spread = F.array_agg(F.struct("i", "t"))
-    lists = grid.groupBy(*keys).agg(F.array_sort(spread).alias("grid"))
-    paired = rows.join(F.broadcast(lists), keys) if keys else rows.crossJoin(F.broadcast(lists))  # points per key
-    below = F.size(F.filter("grid", lambda g: g["t"] < F.col("s")))
-    upto = F.size(F.filter("grid", lambda g: g["t"] <= F.col("s")))
+    low, reach, s = F.col("q")[0], F.col("q")[1] - F.col("q")[0], F.col("s")
+    ranges = ends.select(*keys, "q")
+    paired = rows.join(ranges, keys) if keys else rows.crossJoin(F.broadcast(ranges))  # without keys one row
+    paired = paired.withColumn("k", F.least(F.greatest(F.coalesce(F.floor((s - low) * F.try_divide(F.lit(points - 1.0), reach)), F.lit(0)), F.lit(-1)), F.lit(points)).cast("int"))
+    at = lambda i: low + i * reach / (points - 1)
+    # the computed place may be one off; thresholds that are all equal are told apart by the value alone
+    near = [F.col("k") + d for d in (-1, 0, 1)]
+    inside = lambda i, c: ((i >= 0) & (i < points) & c).cast("int")
+    first = F.least(F.greatest(F.col("k") - 1, F.lit(0)), F.lit(points))
+    count = lambda test: F.when(reach > 0, first + sum((inside(i, test(at(i))) for i in near), F.lit(0))).otherwise(F.when(test(low), points).otherwise(0))
+    below, upto = count(lambda t: t < s), count(lambda t: t <= s)
     # lo: first threshold at or above s flags it; hi: last threshold at or below s flags it if inverted
     placed = paired.select(*keys, "e", below.alias("lo"), (upto - 1).alias("hi"))
     lows = placed.groupBy(*keys, F.col("lo").alias("i")).agg(F.count("e").alias("f_lo"), F.sum("e").alias("h_lo"))
@@ -146,7 +155,7 @@ def tune_error_f1(df: DataFrame, score: str, error: str, points: int = 200, keys
 def threshold_candidates(df: DataFrame, score: str, extra: float = 0.0, n: int = 37) -> DataFrame:
     """Different thresholds: n quantiles from 5 to 95 percent, and one more."""
     shares = [0.05 + 0.9 * i / (n - 1) for i in range(n)]
-    found = df.where(finite(F.col(score).cast("double"))).agg(F.percentile(F.col(score).cast("double"), shares).alias("q"))
+    found = quantiles(df.where(finite(F.col(score).cast("double"))), score, shares)
     return found.select(F.explode(F.array_sort(F.array_distinct(F.concat("q", F.array(F.lit(float(extra))))))).alias("threshold"))
 
 
@@ -184,11 +193,10 @@ def first_error_scores(pairs: DataFrame, predicted: str = "predicted", gold: str
 
 def localization(pairs: DataFrame, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
     """Absolute distance of prediction and first error, over records that have one."""
-    off = F.abs(F.col(predicted) - F.col(gold))
-    return pairs.where(F.col(gold) != -1).agg(
-        F.avg(off).alias("mae"), F.percentile(off, 0.5).alias("median_ae"),
-        F.avg((off <= 1).cast("double")).alias("within_1"), F.avg((off <= 2).cast("double")).alias("within_2"),
-    )
+    rows = pairs.where(F.col(gold) != -1).select(F.abs(F.col(predicted) - F.col(gold)).alias("off"))
+    off = F.col("off")
+    means = rows.agg(F.avg(off).alias("mae"), F.avg((off <= 1).cast("double")).alias("within_1"), F.avg((off <= 2).cast("double")).alias("within_2"))
+    return means.crossJoin(F.broadcast(quantiles(rows, "off", [0.5]).select(F.col("q")[0].alias("median_ae"))))
 
 
 def tune_first_error(steps: DataFrame, record: str, order: str, score: str, gold: DataFrame, thresholds: DataFrame, patiences: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.columns import clamp, finite, logit, normal_cdf, safe_div, sigmoid
+from stepwright.operators.ordered import quantiles
 
 EPS = 1e-6
 
 
+def keeping_raw(df: DataFrame, column: str, mapped: Column) -> DataFrame:
+    """df with the column replaced by mapped (cut to [EPS, 1 - EPS]) and its own values in raw_column."""
+    return df.withColumns({f"raw_{column}": F.col(column), column: clamp(mapped, EPS, 1 - EPS)})
+
+
 def robust_scale(df: DataFrame, value: str = "value", keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Per key: median, scale and which one it is: 1.4826 MAD, else 0.7413 IQR, else the sample
     deviation, else 1."""
     v = F.col(value).cast("double")
     rows = df.where(finite(v)).select(*keys, v.alias("v"))
-    first = rows.groupBy(*keys).agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("q"), F.stddev_samp("v").alias("sd"))
-    with_median = rows.join(F.broadcast(first), keys) if keys else rows.crossJoin(F.broadcast(first))
-    spread = with_median.groupBy(*keys).agg(
-        F.percentile(F.abs(F.col("v") - F.col("q")[1]), 0.5).alias("mad"), F.first("q").alias("q"), F.first("sd").alias("sd"), F.count("v").alias("n")
-    )
+    first = quantiles(rows, "v", [0.25, 0.5, 0.75], keys)
+    beside = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731  without keys one row
+    centred = beside(rows, first.select(*keys, "q")).select(*keys, F.abs(F.col("v") - F.col("q")[1]).alias("v"))
+    mads = quantiles(centred, "v", [0.5], keys).select(*keys, F.col("q")[0].alias("mad"))
+    spread = beside(beside(first, mads), rows.groupBy(*keys).agg(F.stddev_samp("v").alias("sd")))
     mad, iqr, sd = 1.4826 * F.col("mad"), 0.7413 * (F.col("q")[2] - F.col("q")[0]), F.coalesce("sd", F.lit(0.0))
     tiny = 1e-12
     return spread.select(
@@ -57,7 +65,7 @@ def zsig(v: Column, mu: Column, sd: Column, temperature: float = 1.0) -> Column:
 def fit_logquant(df: DataFrame, value: str = "value", low: float = 0.05, high: float = 0.95, eps: float = 0.05) -> DataFrame:
     """a and b so that sigmoid(a (x - b)) takes the quantiles low and high to eps and 1 - eps."""
     v = F.col(value).cast("double")
-    q = df.where(finite(v)).agg(F.percentile(v, [low, high]).alias("q"))
+    q = quantiles(df.where(finite(v)).select(v.alias("v")), "v", [low, high])
     reach = logit(F.lit(1 - eps))
     a = F.coalesce(safe_div(2 * reach, F.col("q")[1] - F.col("q")[0]), F.lit(1.0))
     return q.select(a.alias("a"), ((F.col("q")[0] + F.col("q")[1]) / 2).alias("b"))
@@ -71,11 +79,13 @@ def fit_winsor(df: DataFrame, value: str = "value", low: float = 0.01, high: flo
     """lo and hi (quantiles), med and scale (1.4826 MAD) of the values cut to them."""
     v = F.col(value).cast("double")
     rows = df.where(finite(v)).select(v.alias("v"))
-    cut = rows.join(F.broadcast(rows.agg(F.percentile("v", [low, high]).alias("q")))).select(
+    cut = rows.crossJoin(F.broadcast(quantiles(rows, "v", [low, high]).select("q"))).select(
         F.least(F.greatest("v", F.col("q")[0]), F.col("q")[1]).alias("v"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")
     )
-    centred = cut.join(F.broadcast(cut.agg(F.percentile("v", 0.5).alias("med"))))
-    return centred.groupBy("lo", "hi", "med").agg(F.greatest(1.4826 * F.percentile(F.abs(F.col("v") - F.col("med")), 0.5), F.lit(1e-12)).alias("scale"))
+    median = quantiles(cut, "v", [0.5]).select(F.col("q")[0].alias("med"))
+    centred = cut.crossJoin(F.broadcast(median)).select(F.abs(F.col("v") - F.col("med")).alias("v"))
+    mad = quantiles(centred, "v", [0.5]).select(F.greatest(1.4826 * F.col("q")[0], F.lit(1e-12)).alias("scale"))
+    return cut.agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")).crossJoin(median).crossJoin(mad)
 
 
 def winsor_z(v: Column, temperature: float = 1.0, squash: str | None = "sigmoid") -> Column:
@@ -93,24 +103,28 @@ def fit_quantile_match(anchor: DataFrame, other: DataFrame, value: str = "value"
     """a and b so that sigmoid(a x + b) takes the other's quantiles to the anchor's, on the logit
     scale; identity-like (1, 0) where the other's quantiles meet; both cut to +-most."""
     v = F.col(value).cast("double")
-    p = anchor.where(finite(v)).agg(F.percentile(v, [low, high]).alias("p"))
-    q = other.where(finite(v)).agg(F.percentile(v, [low, high]).alias("q"))
+    p = quantiles(anchor.where(finite(v)).select(v.alias("v")), "v", [low, high]).select(F.col("q").alias("p"))
+    q = quantiles(other.where(finite(v)).select(v.alias("v")), "v", [low, high]).select("q")
     top, bottom = logit(F.col("p")[1]), logit(F.col("p")[0])
     a = F.coalesce(safe_div(top - bottom, F.nullif(F.col("q")[1] - F.col("q")[0], F.lit(0.0))), F.lit(1.0))
-    fitted = p.join(q).select(clamp(a, -most, most).alias("a"), "p", "q")
+    fitted = p.crossJoin(q).select(clamp(a, -most, most).alias("a"), "p", "q")
     b = F.when(F.col("q")[1] == F.col("q")[0], 0.0).otherwise(logit(F.col("p")[0]) - F.col("a") * F.col("q")[0])
     return fitted.select("a", clamp(b, -most, most).alias("b"))
 
 
 def platt(df: DataFrame, score: str, label: str) -> DataFrame:
     """scale and bias of a logistic regression of the label on the score, with an L2 penalty of
-    weight 1 over the number of rows."""
+    weight 1 over the number of rows; with labels of one class only scale is 0 and bias the logit
+    of their smoothed share, (count + 1) / (n + 2)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     rows = df.where(finite(F.col(score).cast("double")) & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("label"))
+    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if ones in (0, n):
+        return df.sparkSession.createDataFrame([(0.0, math.log((ones + 1) / (n - ones + 1)))], "scale double, bias double")
     data = VectorAssembler(inputCols=["s"], outputCol="features").transform(rows)
-    model = LogisticRegression(regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(data)
+    model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(data)
     return df.sparkSession.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "scale double, bias double")
 
 

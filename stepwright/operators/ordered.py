@@ -1,44 +1,89 @@
-"""Running sums over a global order, without sorting everything in one task."""
+"""Running sums and exact quantiles over a global order, without sorting everything in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one bucket is meant to hold, and the least and greatest number of buckets.
+ROWS_IN_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 16, 256
+
 
 def bucket_of(value: Column, bounds: list[float]) -> Column:
-    """Number of bounds below the value; at most some hundred bounds are meant."""
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value)) if bounds else F.lit(0)
+    """Number of bounds (ascending) below the value, by halving: a few comparisons for each row."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.lit(bounds[middle]) < value, between(middle + 1, high)).otherwise(between(low, middle))
 
+    return between(0, len(bounds))
 
-def quantile_bounds(df: DataFrame, column: str, n: int) -> list[float]:
-    """Up to n - 1 bounds that part the column into about equal shares."""
-    shares = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 1000)).first()[0]
-    return sorted(set(found or []))
 
+def quantile_bounds(df: DataFrame, column: str, n: int | None = None) -> list[float]:
+    """Up to n - 1 bounds that part the column into about equal shares; n goes by the number of rows."""
+    value = F.col(column).cast("double")
+    shares = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    found, rows = df.agg(F.percentile_approx(value, shares, 2000), F.count(value)).first()
+    n = n or min(MOST_BUCKETS, max(LEAST_BUCKETS, rows // ROWS_IN_BUCKET))
+    return sorted({found[i * MOST_BUCKETS // n - 1] for i in range(1, n)}) if found else []
 
-def running(df: DataFrame, order: str, sums: list[str], buckets: int = 64) -> DataFrame:
-    """df, whose order values are unique, with cum_<c> for each of sums (up to and including the
-    row, ascending) and next_value (the following order value, null for the last).
 
-    Rows are parted at quantiles of the order column; the few bucket totals are summed up and
-    added to running sums within buckets.
+def running(df: DataFrame, order: str, sums: list[str], buckets: int | None = None, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """df, whose order values are unique within its keys, with cum_<c> for each of sums (up to and
+    including the row, ascending) and next_value (the following order value, null for the last).
+
+    Rows are parted at quantiles of the order column; the few bucket totals of each key are summed
+    up and added to running sums within buckets. Keys are meant to be few.
     """
+    names = [f"__k{i}" for i in range(len(keys))]
     df = df.withColumn("__bucket", bucket_of(F.col(order), quantile_bounds(df, order, buckets)))
-    totals = df.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums], F.min(order).alias("__low"))
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums], F.min(order).alias("__low"))
+    along = Window.partitionBy(*keys).orderBy("__bucket")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)],
         F.col("__bucket").alias("__part"),
-        F.lead("__low").over(Window.orderBy("__bucket")).alias("__next"),
+        F.lead("__low").over(along).alias("__next"),
         *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__b_{c}") for c in sums],
     )
-    within = Window.partitionBy("__bucket").orderBy(order)
+    within = Window.partitionBy(*keys, "__bucket").orderBy(order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # null-safe keys, as the planner would carry the bucket's expression over
+    same = F.col("__bucket").eqNullSafe(F.col("__part"))
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
     return (
         df.withColumns({f"__s_{c}": F.sum(c).over(upto) for c in sums} | {"__lead": F.lead(order).over(within)})
-        # one row per bucket; a null-safe key, as the planner would carry the bucket's expression over
-        .join(F.broadcast(bases), F.col("__bucket").eqNullSafe(F.col("__part")))
+        .join(bases if keys else F.broadcast(bases), same)  # without keys one row per bucket
         .withColumns({f"cum_{c}": F.col(f"__b_{c}") + F.col(f"__s_{c}") for c in sums} | {"next_value": F.coalesce("__lead", "__next")})
-        .drop("__bucket", "__part", "__lead", "__next", *[f"__{p}_{c}" for p in "sb" for c in sums])
+        .drop("__bucket", "__part", "__lead", "__next", *names, *[f"__{p}_{c}" for p in "sb" for c in sums])
     )
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, n and q: exact quantiles of the value (not null) per key, between two values by their
+    distance; without keys one row, null and 0 for no values.
+
+    Values are counted, and each quantile's two neighbours are read off the running counts, so no
+    task holds the values of a key.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    cum = running(counts, "__v", ["__c"], keys=keys)
+    names = [f"__k{i}" for i in range(len(keys))]
+    totals = counts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"))
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    rows = cum.join(totals, same).drop(*names) if keys else cum.crossJoin(F.broadcast(totals))
+    ends = []
+    for share in shares:
+        place = F.lit(share) * (F.col("__n") - 1)
+        for at in (F.floor(place), F.ceil(place)):
+            ends.append(F.max(F.when((F.col("cum___c") - F.col("__c") <= at) & (at < F.col("cum___c")), F.col("__v"))))
+    cells = []
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.max("__n") - 1)
+        cells.append(ends[2 * i] + (place - F.floor(place)) * (ends[2 * i + 1] - ends[2 * i]))
+    return rows.groupBy(*keys).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n"), F.array(*cells).alias("q"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwright.functions.columns import safe_div
+from stepwright.functions.columns import numbers_to, safe_div
 
 
 def monte_carlo(rollouts: DataFrame, correct: str = "correct", keys: tuple[str, ...] = ("record_id", "step_idx")) -> DataFrame:
@@ -33,7 +33,7 @@ def advantage_shaped(steps: DataFrame, base: str, prover: str, alpha: float, sta
 
 def outcome_only(n_steps: Column, correct: Column) -> Column:
     """0 for all steps but the last, which has the outcome."""
-    return F.transform(F.sequence(F.lit(1), n_steps), lambda i: F.when(i == n_steps, correct.cast("double")).otherwise(0.0))
+    return F.transform(numbers_to(n_steps), lambda i: F.when(i == n_steps, correct.cast("double")).otherwise(0.0))
 
 
 def pooled_logprob(logprob: DataFrame, normalize: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def leave_one_out_contrast(logprob: DataFrame, weight: float = 1.0, normalize: b
 def permutation_orders(steps: DataFrame, permutations: int, seed: int = 0) -> DataFrame:
     """record_id, perm, pos, step_idx: seeded orders of each record's steps."""
     rows = steps.select("record_id", "step_idx").distinct().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = Window.partitionBy("record_id", "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "record_id", "step_idx"), "step_idx")
+    order = Window.partitionBy("record_id", "perm").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "perm", "record_id", "step_idx")), "step_idx")
     return rows.withColumn("pos", F.row_number().over(order) - 1)
 
 
@@ -98,19 +98,20 @@ def shapley(orders: DataFrame, perm_logprob: DataFrame) -> DataFrame:
     return gains.groupBy("record_id", "step_idx").agg(F.avg(F.col("lp") - F.col("lp0")).alias("shapley"))
 
 
-def truncated_support(logits: DataFrame, top_k: int, top_p: float, keys: tuple[str, ...] = ("record_id", "pos")) -> DataFrame:
+def truncated_support(logits: DataFrame, top_k: int, top_p: float, keys: tuple[str, ...] = ("record_id", "pos"), cap: int = 3096) -> DataFrame:
     """Per position: log-probability of gold over the support, and its size.
 
-    The support is the top_k tokens, the tokens whose preceding mass is under top_p, and gold.
+    The support is the top_k tokens, the tokens whose preceding mass is under top_p (these among
+    the cap first ones), and gold. Without gold the log-probability is minus infinity.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("logit"), "token_id")
     whole = Window.partitionBy(*keys)
     rows = logits.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(whole)))
     rows = rows.withColumns({"p": F.col("e") / F.sum("e").over(whole), "place": F.row_number().over(w)})
     rows = rows.withColumn("mass", F.sum("p").over(w) - F.col("p"))
-    held = rows.where((F.col("place") <= top_k) | (F.col("mass") < top_p) | F.col("is_gold"))
+    held = rows.where((F.col("place") <= top_k) | ((F.col("mass") < top_p) & (F.col("place") <= cap)) | F.col("is_gold"))
     gold = F.sum(F.when(F.col("is_gold"), F.col("e")))
-    return held.groupBy(*keys).agg(F.log(gold / F.sum("e")).alias("logp"), F.count(F.lit(1)).alias("support"))
+    return held.groupBy(*keys).agg(F.coalesce(F.log(gold / F.sum("e")), F.lit(float("-inf"))).alias("logp"), F.count(F.lit(1)).alias("support"))
 
 
 def merge_switch(base: Column, other: Column, switch_at: int) -> Column:
@@ -122,8 +123,20 @@ def merge_switch(base: Column, other: Column, switch_at: int) -> Column:
 
 def random_tail(rewards: Column, switch_at: int, seed: int, *ids: Column) -> Column:
     """rewards with uniform draws from switch_at on, a function of seed, ids and position."""
-    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), *ids, i), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.transform(rewards, lambda v, i: F.when(i >= switch_at, draw(i)).otherwise(v))
+    return F.transform(rewards, lambda v, i: F.when(i >= switch_at, unit_draw(seed, *ids, i)).otherwise(v))
+
+
+def unit_draw(seed: int, *ids: Column) -> Column:
+    """A number in [0, 1) by the MD5 of seed and ids, the same on every run and engine."""
+    shown = F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids])
+    return F.conv(F.substring(F.md5(shown), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
+
+
+def beta_tail(rewards: Column, switch_at: int, a: int, b: int, seed: int, *ids: Column) -> Column:
+    """rewards with draws of a beta distribution (whole a and b) from switch_at on: the a-th smallest
+    of a + b - 1 uniform draws has it."""
+    draws = lambda i: F.array_sort(F.array(*[unit_draw(seed, *ids, i, F.lit(k)) for k in range(a + b - 1)]))
+    return F.transform(rewards, lambda v, i: F.when(i >= switch_at, F.element_at(draws(i), a)).otherwise(v))
 
 
 def elementwise_sum(a: Column, b: Column, alpha: float = 1.0) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.columns import finite, normal_cdf, safe_div
+from stepwright.operators.ordered import bucket_of, quantile_bounds, quantiles, running
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -22,15 +23,33 @@ def sign_counts(df: DataFrame, values: str) -> DataFrame:
     return df.withColumns({"n_plus": count("+"), "n_minus": count("-")}).withColumn("both", (F.col("n_plus") > 0) & (F.col("n_minus") > 0))
 
 
-def summary(df: DataFrame, value: str = "value", keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """count, mean, std, var (sample), min, p05, p25, median, p75, p95, max per key."""
-    v = F.col(value).cast("double")
+def with_quantiles(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str], aggregates: list[Column], small: bool) -> DataFrame:
+    """The aggregates and named quantiles of the value per key.
+
+    small: keys are many and the values of each fit a task; otherwise keys are few and their
+    quantiles are read off running counts.
+    """
+    if small:
+        found = rows.groupBy(*keys).agg(*aggregates, F.percentile(value, list(shares.values())).alias("__q"))
+    elif keys:
+        found = rows.groupBy(*keys).agg(*aggregates)
+        parts = quantiles(rows, value, list(shares.values()), keys)
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+        found = found.join(parts.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], F.col("q").alias("__q")), same)
+    else:
+        parts = quantiles(rows, value, list(shares.values())).select(F.col("q").alias("__q"))
+        found = rows.agg(*aggregates).crossJoin(F.broadcast(parts))
+    return found.withColumns({n: F.col("__q")[i] for i, n in enumerate(shares)}).drop("__q", *[f"__j{i}" for i in range(len(keys))])
+
+
+def summary(df: DataFrame, value: str = "value", keys: list[str] = [], small: bool = False) -> DataFrame:  # noqa: B006
+    """count, mean, std, var (sample), min, p05, p25, median, p75, p95, max per key; small: see with_quantiles."""
     shares = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    rows = df.where(finite(v))
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var"), F.min(v).alias("min"),
-        F.percentile(v, list(shares.values())).alias("__q"), F.max(v).alias("max"),
-    ).withColumns({n: F.col("__q")[i] for i, n in enumerate(shares)}).drop("__q")
+    rows = df.where(finite(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v"))
+    aggregates = [F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.var_samp("v").alias("var"), F.min("v").alias("min"), F.max("v").alias("max")]
+    return with_quantiles(rows, "v", shares, keys, aggregates, small)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -77,16 +96,12 @@ def correlation_summary(rows: DataFrame, r: str = "r", keys: list[str] = []) ->
     """Mean, median and shares above 0, 0.3, 0.5 and 0.7 of per-record correlations."""
     c = F.col(r)
     share = lambda t: F.avg((c > t).cast("double"))
-    return rows.where(c.isNotNull()).groupBy(*keys).agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"),
-        share(0.0).alias("above_0"), share(0.3).alias("above_3"), share(0.5).alias("above_5"), share(0.7).alias("above_7"),
-    )
+    aggregates = [F.count(c).alias("n"), F.avg(c).alias("mean"), share(0.0).alias("above_0"), share(0.3).alias("above_3"), share(0.5).alias("above_5"), share(0.7).alias("above_7")]
+    return with_quantiles(rows.where(c.isNotNull()), r, {"median": 0.5}, keys, aggregates, False)
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """Average rank of each different value of the column."""
-    from stepwright.operators.ordered import running
-
     counts = df.where(finite(F.col(column).cast("double"))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     return running(counts, "v", ["c"]).select("v", (F.col("cum_c") - (F.col("c") - 1) / 2).alias("rank"))
 
@@ -105,8 +120,6 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     unlike places is met once: at the highest bit where they differ, among the rows that share the
     bits above. There x's running sums of zeros and ones count concordant and discordant pairs.
     """
-    from stepwright.operators.ordered import bucket_of, quantile_bounds, running
-
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     values = cells.select("y").distinct().withColumn("one", F.lit(1).cast("long"))
@@ -117,7 +130,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     bit = at(F.col("level")).bitwiseAND(F.lit(1).cast("long"))
     sums = bits.groupBy("level", at(F.col("level") + 1).alias("above"), "x").agg(F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).alias("lo"), F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("hi"))
     keys = ["level", "above"]
-    sums = sums.withColumn("part", bucket_of(F.col("x"), quantile_bounds(cells, "x", 64)))
+    sums = sums.withColumn("part", bucket_of(F.col("x"), quantile_bounds(cells, "x")))
     bases = sums.groupBy(*keys, "part").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = bases.select(*keys, "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"base_{c}") for c in ("lo", "hi")])
@@ -138,11 +151,9 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def flat_info(df: DataFrame, value: str = "value", keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Mean, population deviation (1e-6 at least) and quartiles of all finite values."""
-    v = F.col(value).cast("double")
-    return df.where(finite(v)).groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.greatest(F.stddev_pop(v), F.lit(1e-6)).alias("std"), F.min(v).alias("min"),
-        F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"), F.max(v).alias("max"),
-    ).withColumns({"p25": F.col("__q")[0], "median": F.col("__q")[1], "p75": F.col("__q")[2]}).drop("__q")
+    rows = df.where(finite(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v"))
+    aggregates = [F.avg("v").alias("mean"), F.greatest(F.stddev_pop("v"), F.lit(1e-6)).alias("std"), F.min("v").alias("min"), F.max("v").alias("max")]
+    return with_quantiles(rows, "v", {"p25": 0.25, "median": 0.5, "p75": 0.75}, keys, aggregates, False)
 
 
 def class_weights(df: DataFrame, label: str, most: float = float("inf")) -> DataFrame:
@@ -171,18 +182,34 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Share of values at or below each different one."""
-    from stepwright.operators.ordered import running
-
     counts = df.where(finite(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
     return running(counts, "value", ["c"]).crossJoin(F.broadcast(total)).select("value", safe_div(F.col("cum_c"), F.col("n")).alias("share"))
 
 
 def running_median(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
-    """Median of y in equal bins of x."""
+    """Median of y in equal bins of x; rows without y count in n."""
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     place = F.least(F.coalesce(F.floor(F.try_divide(F.col(x) - F.col("lo"), (F.col("hi") - F.col("lo")) / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return df.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.percentile(y, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    binned = df.crossJoin(F.broadcast(ends)).select(place.alias("bin"), F.col(y).cast("double").alias("y"))
+    return with_quantiles(binned, "y", {"median": 0.5}, ["bin"], [F.count(F.lit(1)).alias("n")], False)
+
+
+def hexagon_counts(df: DataFrame, x: str, y: str, across: int = 50) -> DataFrame:
+    """Counts on a grid of hexagons, so many across the range of x: column, row and shifted (rows
+    of the grid that lie half a cell aside), with n. Both grids' nearest centres are compared."""
+    rows = df.where(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double"))).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    down = max(1, round(across / 3**0.5))
+    ends = rows.agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
+    u = F.coalesce(F.try_divide((F.col("x") - F.col("lx")) * across, F.col("hx") - F.col("lx")), F.lit(0.0))
+    v = F.coalesce(F.try_divide((F.col("y") - F.col("ly")) * down, F.col("hy") - F.col("ly")), F.lit(0.0))
+    placed = rows.crossJoin(F.broadcast(ends)).select(u.alias("u"), v.alias("v"))
+    placed = placed.select("*", F.floor(F.col("u") + 0.5).alias("c0"), F.floor(F.col("v") + 0.5).alias("r0"), F.floor("u").alias("c1"), F.floor("v").alias("r1"))
+    near = (F.col("u") - F.col("c0")) ** 2 + 3 * (F.col("v") - F.col("r0")) ** 2
+    aside = (F.col("u") - F.col("c1") - 0.5) ** 2 + 3 * (F.col("v") - F.col("r1") - 0.5) ** 2
+    shifted = near >= aside
+    cell = lambda a, b: F.when(shifted, F.col(b)).otherwise(F.col(a))
+    return placed.groupBy(cell("c0", "c1").alias("column"), cell("r0", "r1").alias("row"), shifted.alias("shifted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def switch_mix(records: DataFrame, n_steps: str, switches: list[int]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwright.functions.columns import finite
+from stepwright.functions.columns import finite, numbers_to
 
 
 def step_table(records: DataFrame, record: str, metrics: dict[str, str], labels: str | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def filter_steps(records: DataFrame, value: str, arrays: list[str], abs_max: flo
 
 def filter_outliers(steps: DataFrame, bounds: DataFrame, abs_max: float | None = None) -> DataFrame:
     """Steps whose value is finite and within their metric's lo and hi, where bounds has them."""
-    joined = steps.join(F.broadcast(bounds), "metric", "left")  # one row per metric
+    joined = steps.join(bounds, "metric", "left")
     v = F.col("value")
     inside = (F.col("lo").isNull() | (v >= F.col("lo"))) & (F.col("hi").isNull() | (v <= F.col("hi")))
     return joined.where(finite(v) & inside & (F.lit(True) if abs_max is None else F.abs(v) <= abs_max)).drop("lo", "hi")
@@ -58,7 +58,7 @@ def contexts(record: str, base: Column, steps: Column, joint: str = "\n") -> dic
     without (all but it), and full (one string)."""
     glue = lambda parts: F.array_join(F.concat(F.array(base), parts), joint)
     n = F.size(steps)
-    each = F.sequence(F.lit(1), n)
+    each = numbers_to(n)
     return {
         "prefix": F.transform(each, lambda i: glue(F.slice(steps, F.lit(1), i))),
         "single": F.transform(each, lambda i: glue(F.slice(steps, i, F.lit(1)))),
@@ -75,8 +75,9 @@ def join_with_marker(steps: Column, marker: str, joint: str = " ") -> Column:
 
 def pack_within(lengths: Column, budget: int) -> Column:
     """How many leading steps fit a token budget."""
-    upto = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, v: a + v))
-    return F.size(F.filter(upto, lambda s: s <= budget))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
+    step = lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + (a["sum"] + v <= budget).cast("int")).alias("n"))
+    return F.aggregate(lengths, start, step, lambda a: a["n"])
 
 
 def marker_positions(ids: Column, marker: list[int]) -> Column:

@@ -96,7 +96,7 @@ def global_summary(spark, sf_dir):
 
 @query(f"SELECT record_id, {SUMMARY} FROM (SELECT record_id, value AS v FROM ev) GROUP BY 1", "ev")
 def per_sample_summary(spark, sf_dir):
-    return rounded(stats.summary(V.event_steps(spark, sf_dir), keys=["record_id"]).withColumn("var", F.round("var", 3)))
+    return rounded(stats.summary(V.event_steps(spark, sf_dir), keys=["record_id"], small=True).withColumn("var", F.round("var", 3)))
 
 
 @query(f"SELECT step_idx, {SUMMARY} FROM (SELECT step_idx, value AS v FROM ev) GROUP BY 1", "ev")
