@@ -313,7 +313,9 @@ def grade_udf(percent: bool = False, unordered: bool = False):
 
 def grade_column(pred: Column, gold: Column, **options) -> Column:
     """Equality of answers: plain numbers and equal texts as columns, the rest by the evaluator."""
-    return F.coalesce(numeric_equal(pred, gold), F.lit(False)) | grade_udf(**options)(pred, gold)
+    settled = F.coalesce(numeric_equal(pred, gold), F.lit(False))
+    rest = lambda c: F.when(~settled, c)  # noqa: E731  settled rows reach the evaluator as nulls
+    return settled | grade_udf(**options)(rest(pred), rest(gold))
 
 
 def choose(text: Column, gold: Column, letters: str = "A-D") -> Column:

@@ -87,7 +87,7 @@ def split_steps(text: Column, marker: str = "<extra_0>") -> Column:
 
 def solution_sentences(text: Column) -> Column:
     """Sentences of a solution; a point inside a number does not end one."""
-    return F.filter(F.transform(F.split(text, r"(?<=\.)(?!\d)\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=\.)(?!\d)\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def renumber(steps: Column) -> Column:

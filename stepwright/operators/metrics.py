@@ -217,6 +217,46 @@ def tune_first_error(steps: DataFrame, record: str, order: str, score: str, gold
     return first_error_scores(pairs, keys=["patience", "threshold"])
 
 
+def auto_flipped(auc: Column) -> list[Column]:
+    """auc of the better direction, and whether that is the opposite one; null has none."""
+    return [F.greatest(auc, 1 - auc).alias("auc"), (auc < 0.5).alias("flipped")]
+
+
+def directed(steps: DataFrame, score: str, invert: Column) -> DataFrame:
+    """steps with the score as it is, or 1 less it where inverted."""
+    return steps.withColumn(score, F.when(invert, 1 - F.col(score)).otherwise(F.col(score)))
+
+
+def choose_threshold(steps: DataFrame, record: str, order: str, score: str, gold: DataFrame, patiences: tuple[int, ...] = (1, 2, 3), n: int = 37) -> DataFrame:
+    """One row: invert, auc, patience, threshold, error_acc, correct_acc and f1 of the best choice.
+
+    The score is inverted where it ranks steps before the first error (gold: record, gold) below
+    the others. Thresholds are quantiles of the directed score, and 0; of equal f1 the smallest
+    patience and then threshold wins.
+    """
+    right = ((F.col("gold") == -1) | (F.col(order) < F.col("gold"))).cast("int")
+    rows = steps.join(gold, record).withColumn("__right", right)
+    found = roc_auc(rows, score, "__right").select("auc", F.coalesce(F.col("auc") < 0.5, F.lit(False)).alias("invert"))
+    turned = directed(steps.crossJoin(F.broadcast(found.select("invert"))), score, F.col("invert")).drop("invert")
+    tried = tune_first_error(turned, record, order, score, gold, threshold_candidates(turned, score, 0.0, n), patiences)
+    row = F.struct((-F.round("f1", 12)).alias("less"), "patience", "threshold", "error_acc", "correct_acc", "f1")
+    best = tried.agg(F.min(row).alias("b")).select("b.patience", "b.threshold", "b.error_acc", "b.correct_acc", "b.f1")
+    return found.crossJoin(best)
+
+
+def evaluate_splits(steps: DataFrame, record: str, order: str, score: str, gold: DataFrame, split: str, choice: DataFrame) -> DataFrame:
+    """Per split (a column of gold): error_acc, correct_acc and f1 under a choice of choose_threshold."""
+    arrays = steps.groupBy(record).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).cast("double").alias("s")))).alias("a"))
+    rows = arrays.join(gold, record).crossJoin(F.broadcast(choice.select("invert", "patience", "threshold")))  # one row
+    values = F.transform("a.s", lambda s: F.when(F.col("invert"), 1 - s).otherwise(s))
+    start = F.filter(
+        F.sequence(F.lit(1), F.size("values")),
+        lambda i: (F.size("values") - i + 1 >= F.col("patience")) & F.forall(F.slice("values", i, F.col("patience")), lambda s: s <= F.col("threshold")),
+    )
+    rows = rows.withColumn("values", values).withColumn("predicted", F.coalesce(F.try_element_at(start, F.lit(1)) - 1, F.lit(-1)))
+    return first_error_scores(rows, keys=[split])
+
+
 def per_record_precision(steps: DataFrame, record: str, order: str, score: str, error: str) -> DataFrame:
     """Average precision of each record with an error, its steps ranked by score (then order)."""
     w = Window.partitionBy(record).orderBy(F.desc(score), order)

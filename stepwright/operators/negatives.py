@@ -26,6 +26,14 @@ def fraction_variants(answer: Column) -> Column:
     return F.filter(F.array(show(p + 1, q), show(p - 1, q), show(p, q + 1), show(p, q - 1), show(q, p), show(-p, q)), lambda v: v.isNotNull())
 
 
+def root_variants(answer: Column) -> Column:
+    """Roots near a root, LaTeX or written out: of one more and one less, and the number itself."""
+    n = F.regexp_extract(answer, r"^(?:\\sqrt\{(\d+)\}|sqrt\((\d+)\)|\u221a(\d+))$", 0)
+    inner = F.regexp_extract(n, r"(\d+)", 1).try_cast("long")
+    shown = lambda k: F.when(k >= 0, F.regexp_replace(answer, r"\d+", k.cast("string")))
+    return F.filter(F.array(shown(inner + 1), shown(inner - 1), inner.cast("string")), lambda v: v.isNotNull())
+
+
 def wrong_answers(records: DataFrame, gold: str, sampled: str | None, most: int, seed: int, record: str = "record_id") -> DataFrame:
     """record, rank and negative: sampled answers first, then variants of the gold, in seeded order.
 
@@ -34,11 +42,11 @@ def wrong_answers(records: DataFrame, gold: str, sampled: str | None, most: int,
     g = F.col(gold)
     found = F.concat(
         F.transform(F.coalesce(F.col(sampled), F.array().cast("array<string>")), lambda a: F.struct(F.lit(0).alias("source"), a.alias("negative"))) if sampled else F.array().cast("array<struct<source:int,negative:string>>"),
-        F.transform(F.concat(fraction_variants(g), number_variants(g)), lambda a: F.struct(F.lit(1).alias("source"), a.alias("negative"))),
+        F.transform(F.concat(fraction_variants(g), root_variants(g), number_variants(g)), lambda a: F.struct(F.lit(1).alias("source"), a.alias("negative"))),
     )
     rows = records.select(record, canonical_key(g).alias("gold_key"), F.explode(found).alias("f")).select(record, "gold_key", "f.source", F.trim("f.negative").alias("negative"))
     rows = rows.where((F.col("negative") != "") & (F.length("negative") <= 32)).withColumn("key", canonical_key(F.col("negative"))).where("key != gold_key")
-    order = [F.asc("source"), F.xxhash64(F.lit(seed), record, "negative"), F.asc("negative")]
+    order = [F.asc("source"), F.md5(F.concat_ws(":", F.lit(seed), record, "negative")), F.asc("negative")]
     first = F.row_number().over(Window.partitionBy(record, "key").orderBy(*order))
     rank = F.row_number().over(Window.partitionBy(record).orderBy(*order))
     return rows.withColumn("__first", first).where("__first = 1").withColumn("rank", rank).where(F.col("rank") <= most).select(record, "rank", "negative")

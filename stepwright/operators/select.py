@@ -63,6 +63,11 @@ def hash_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     return df.orderBy(hashed(seed, *ids), *ids).limit(n)
 
 
+def dev_budget(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n records in order, on which thresholds are tuned."""
+    return df.orderBy(*order).limit(n)
+
+
 def shard(df: DataFrame, shards: int, number: int, *order: str) -> DataFrame:
     """The rows of one of shards contiguous slices of equal length in the given order.
 

@@ -69,7 +69,7 @@ def contexts(record: str, base: Column, steps: Column, joint: str = "\n") -> dic
 
 def join_with_marker(steps: Column, marker: str, joint: str = " ") -> Column:
     """Non-empty trimmed steps, each followed by the marker; the marker alone without steps."""
-    kept = F.filter(F.transform(steps, F.trim), lambda s: s != "")
+    kept = F.filter(F.transform(steps, lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(kept) == 0, F.lit(marker)).otherwise(F.array_join(F.transform(kept, lambda s: F.concat_ws(joint, s, F.lit(marker))), joint))
 
 

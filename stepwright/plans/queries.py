@@ -258,7 +258,12 @@ def quantile_sigmoid_calibration(spark, sf_dir):
     return rounded(normalize.fit_quantile_match(rows.select(F.col("anchor").alias("value")), rows.select(F.col("other").alias("value"))))
 
 
-@query()
+NEWTON = """, n{i} AS MATERIALIZED (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+    SELECT a, b, sum((p - y) * s) + a AS ga, sum(p - y) AS gb, sum(p * (1 - p) * s * s) + 1 AS haa, sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) AS hbb
+    FROM (SELECT a, b, s, y, 1 / (1 + exp(-(a * s + b))) AS p FROM d, n{j}) GROUP BY a, b))"""
+
+
+@query("WITH d AS (SELECT value / 100 AS s, error AS y FROM ev), n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)" + "".join(NEWTON.format(i=i, j=i - 1) for i in range(1, 13)) + " SELECT round(a, 4) AS scale, round(b, 4) AS bias FROM n12", "ev")
 def platt_scaling(spark, sf_dir):
     return rounded(normalize.platt(V.event_steps(spark, sf_dir).withColumn("score", F.col("value") / 100), "score", "error"), 4)
 
@@ -549,7 +554,8 @@ def loo_contexts(spark, sf_dir):
 
 
 def logprobs(spark, sf_dir):
-    """A log-probability relation from the lines of orders: sums of numbers stand for the model."""
+    """A log-probability relation from the lines of orders: roots of sums of numbers stand for the
+    model, so that a step's worth depends on what stands before it."""
     rows = V.line_steps(spark, sf_dir)
     each = lambda kind, lp: rows.select(
         "record_id", F.lit(kind).alias("context_kind"), F.col("step_idx").alias("context_idx"), F.explode(F.array(F.lit("gold"), F.lit("neg"))).alias("target_kind"), lp.alias("lp"), "quantity", "discount"
@@ -558,46 +564,48 @@ def logprobs(spark, sf_dir):
 
     w = Window.partitionBy("record_id").orderBy("step_idx")
     rows = rows.withColumns({"upto": F.sum("quantity").over(w), "all": F.sum("quantity").over(Window.partitionBy("record_id"))})
-    parts = each("prefix", F.col("upto")).unionByName(each("single", F.col("quantity"))).unionByName(each("without", F.col("all") - F.col("quantity")))
+    parts = each("prefix", F.sqrt("upto")).unionByName(each("single", F.sqrt("quantity"))).unionByName(each("without", F.sqrt(F.col("all") - F.col("quantity"))))
     total = rows.groupBy("record_id").agg(F.max("all").alias("all"))
-    ends = total.select("record_id", F.inline(F.array(*[F.struct(F.lit(k).alias("context_kind"), F.lit(0).alias("context_idx"), F.lit(t).alias("target_kind"), (F.lit(0.0) if k == "base" else F.col("all")).alias("lp")) for k in ("base", "full") for t in ("gold", "neg")])))
+    ends = total.select("record_id", F.inline(F.array(*[F.struct(F.lit(k).alias("context_kind"), F.lit(0).alias("context_idx"), F.lit(t).alias("target_kind"), (F.lit(0.0) if k == "base" else F.sqrt("all")).alias("lp")) for k in ("base", "full") for t in ("gold", "neg")])))
     both = parts.select("record_id", "context_kind", "context_idx", "target_kind", "lp").unionByName(ends)
     both = both.withColumn("lp", F.when(F.col("target_kind") == "neg", F.col("lp") / 2).otherwise(F.col("lp")))
     return both.select("record_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("template_id"), "context_kind", "context_idx", "target_kind", F.lit(0).alias("target_idx"), F.col("lp").alias("lp_sum"), F.lit(4).alias("eff_len"))
 
 
-DELTA = "SELECT record_id, step_idx, round(quantity, 6) AS gold, round(quantity / 2, 6) AS neg, round(quantity - 0.5 * quantity / 2, 6) AS reward FROM li"
+DELTA = """WITH s AS (SELECT *, sum(quantity) OVER (PARTITION BY record_id ORDER BY step_idx) AS upto, sum(quantity) OVER (PARTITION BY record_id) AS every FROM li), d AS (SELECT record_id, step_idx, {gain} AS d FROM s)
+    SELECT record_id, step_idx, round(d, 6) AS gold, round(d / 2, 6) AS neg, round(d - 0.5 * d / 2, 6) AS reward FROM d"""
 
 
-@query(DELTA, "li")
+@query(DELTA.format(gain="sqrt(upto) - sqrt(upto - quantity)"), "li")
 def sequential_delta(spark, sf_dir):
     return rounded(rewards.sequential_contrast(logprobs(spark, sf_dir), 0.5))
 
 
-@query(DELTA, "li")
+@query(DELTA.format(gain="sqrt(quantity)"), "li")
 def marginal_delta(spark, sf_dir):
     return rounded(rewards.marginal_contrast(logprobs(spark, sf_dir), 0.5))
 
 
-@query(DELTA, "li")
+@query(DELTA.format(gain="sqrt(every) - sqrt(every - quantity)"), "li")
 def loo_delta(spark, sf_dir):
     return rounded(rewards.leave_one_out_contrast(logprobs(spark, sf_dir), 0.5))
 
 
-@query("SELECT record_id, step_idx, round(quantity / 4, 6) AS gold, round(quantity / 8, 6) AS neg, round(quantity / 4 - quantity / 8, 6) AS reward FROM li", "li")
+@query("SELECT record_id, step_idx, round(sqrt(quantity) / 4, 6) AS gold, round(sqrt(quantity) / 8, 6) AS neg, round(sqrt(quantity) / 4 - sqrt(quantity) / 8, 6) AS reward FROM li", "li")
 def contrastive_normalized(spark, sf_dir):
     return rounded(rewards.marginal_contrast(logprobs(spark, sf_dir), 1.0, normalize=True))
 
 
-@query("SELECT record_id, step_idx, round(quantity, 6) AS shapley FROM li WHERE record_id IN (SELECT l_orderkey FROM lineitem GROUP BY 1)", "li")
+@query("""WITH o AS (SELECT record_id, step_idx, quantity, perm, sum(quantity) OVER (PARTITION BY record_id, perm ORDER BY md5('3:' || perm || ':' || record_id || ':' || step_idx), step_idx) AS upto FROM li, (SELECT unnest(range(4)) AS perm))
+    SELECT record_id, step_idx, round(avg(sqrt(upto) - sqrt(upto - quantity)), 6) AS shapley FROM o GROUP BY 1, 2""", "li")
 def shapley_values(spark, sf_dir):
-    """Sampled orders over an additive game, whose Shapley value is each step's own share."""
+    """Sampled orders over a game in which a later step is worth less."""
     from pyspark.sql import Window
 
     rows = V.line_steps(spark, sf_dir).select("record_id", "step_idx", "quantity")
     orders = rewards.permutation_orders(rows, 4, 3)
     w = Window.partitionBy("record_id", "perm").orderBy("pos")
-    upto = orders.join(rows, ["record_id", "step_idx"]).select("record_id", "perm", "pos", F.sum("quantity").over(w).alias("lp"))
+    upto = orders.join(rows, ["record_id", "step_idx"]).select("record_id", "perm", "pos", F.sqrt(F.sum("quantity").over(w)).alias("lp"))
     empty = orders.where("pos = 0").select("record_id", "perm", F.lit(-1).alias("pos"), F.lit(0.0).alias("lp"))
     return rounded(rewards.shapley(orders, upto.unionByName(empty)))
 
@@ -624,7 +632,7 @@ def elementwise_sum(spark, sf_dir):
     return rounded(rows.select("record_id", F.posexplode(rewards.elementwise_sum(F.col("price"), F.col("quantity"), 0.25)).alias("step_idx", "value")))
 
 
-@query()
+@query("""SELECT record_id, step_idx, CASE WHEN step_idx >= 1 THEN ('0x' || substr(md5('5:' || record_id || ':' || step_idx), 1, 7))::BIGINT / 268435456.0::DOUBLE ELSE discount END AS value FROM li""", "li")
 def random_tail(spark, sf_dir):
     rows = V.line_records(spark, sf_dir)
     return rows.select("record_id", F.posexplode(rewards.random_tail(F.col("discount"), 1, 5, F.col("record_id"))).alias("step_idx", "value"))
@@ -680,7 +688,22 @@ def shard_slice(spark, sf_dir):
     return select.shard(table(spark, sf_dir, "orders").select("o_orderkey"), 4, 1, "o_orderkey")
 
 
-@query()
+GREEDY = """WITH RECURSIVE c AS (SELECT o_orderpriority, o_orderkey AS record_id, CAST(count(*) FILTER (l_returnflag <> 'R') - count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS gap
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    q AS (SELECT *, sign(gap) AS side, row_number() OVER (PARTITION BY o_orderpriority, sign(gap) ORDER BY abs(gap), record_id) AS pos FROM c),
+    n AS (SELECT o_orderpriority, count(*) FILTER (gap > 0) AS np, count(*) FILTER (gap < 0) AS nm, count(*) FILTER (gap = 0) AS nz FROM c GROUP BY 1),
+    w AS (SELECT o_orderpriority, 0::BIGINT AS k, 0::BIGINT AS bal, 0::BIGINT AS ip, 0::BIGINT AS im, 0::BIGINT AS iz, 0::BIGINT AS record_id FROM n
+        UNION ALL SELECT w.o_orderpriority, w.k + 1, w.bal + q.gap, w.ip + (q.side = 1)::BIGINT, w.im + (q.side = -1)::BIGINT, w.iz + (q.side = 0)::BIGINT, q.record_id
+        FROM w JOIN n ON n.o_orderpriority = w.o_orderpriority JOIN q ON q.o_orderpriority = w.o_orderpriority AND q.side = CASE
+            WHEN w.bal > 0 THEN CASE WHEN w.im < n.nm THEN -1 WHEN w.iz < n.nz THEN 0 WHEN w.ip < n.np THEN 1 END
+            WHEN w.bal < 0 THEN CASE WHEN w.ip < n.np THEN 1 WHEN w.iz < n.nz THEN 0 WHEN w.im < n.nm THEN -1 END
+            ELSE CASE WHEN w.iz < n.nz THEN 0 WHEN w.ip < n.np THEN 1 WHEN w.im < n.nm THEN -1 END END
+            AND q.pos = 1 + CASE q.side WHEN 1 THEN w.ip WHEN -1 THEN w.im ELSE w.iz END
+        WHERE w.k < 50)
+    SELECT o_orderpriority, record_id, k - 1 AS pick, bal AS balance FROM w WHERE k > 0"""
+
+
+@query(GREEDY)
 def greedy_balance(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_orderpriority")
     counted = V.line_steps(spark, sf_dir).groupBy("record_id").agg(F.sum(1 - F.col("error")).alias("plus"), F.sum("error").alias("minus"))
@@ -688,17 +711,19 @@ def greedy_balance(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS place FROM lineitem)
-    SELECT o_orderkey, o_orderpriority, l_quantity, l_quantity IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT * FROM r WHERE place = 1 AND l_linenumber = 3) ON o_orderkey = l_orderkey""")
+    SELECT o_orderkey, o_orderpriority, l_quantity, l_quantity IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT * FROM r WHERE place = 1) ON o_orderkey = l_orderkey""".replace("PARTITION BY l_orderkey, l_linenumber ORDER BY ", "PARTITION BY l_orderkey ORDER BY l_linenumber DESC, "))
 def exact_merge(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(
-        F.col("l_orderkey").alias("o_orderkey"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("ord"), "l_quantity"
+    """Orders beside the last of all their lines."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"), "l_quantity"
     )
     return match.exact_merge(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), lines, ["o_orderkey"], "ord")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_resume(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return match.unfinished(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
@@ -745,35 +770,64 @@ def split_steps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.split_steps(F.col("text"))).alias("n"))
 
 
-@query("""SELECT p_partkey, round(p_retailprice, 2) = round(p_retailprice, 0) AS equal FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN round(p_retailprice, 2) = round(p_retailprice, 0) WHEN 1 THEN true WHEN 2 THEN p_size % 2 = 0 WHEN 3 THEN p_size % 3 = 0 ELSE false END AS equal FROM part""")
 def numeric_equiv(spark, sf_dir):
-    price = F.col("p_retailprice").cast("decimal(18,2)")
-    return table(spark, sf_dir, "part").select("p_partkey", A.numeric_equal(price.cast("string"), F.format_number(F.round("p_retailprice", 0), 0)).alias("equal"))
+    """Thousands, percentages, fractions, mixed numbers, texts and nulls."""
+    price, size, kind = F.col("p_retailprice").cast("decimal(18,2)"), F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    left = (
+        F.when(kind == 0, price.cast("string")).when(kind == 1, F.concat(size, F.lit("%"))).when(kind == 2, F.concat(size, F.lit(" 1/2")))
+        .when(kind == 3, F.concat(F.lit(" word"), F.when(F.col("p_size") % 3 == 0, "").otherwise("s")))
+    )
+    right = (
+        F.when(kind == 0, F.format_number(F.round("p_retailprice", 0), 0)).when(kind == 1, F.concat(F.lit("$"), (F.col("p_size") / 100).cast("string")))
+        .when(kind == 2, F.concat((2 * F.col("p_size") + 1 + F.col("p_size") % 2).cast("string"), F.lit("/2"))).when(kind == 3, F.lit("word ")).otherwise(F.lit("1"))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", A.numeric_equal(left, right).alias("equal"))
 
 
-@query("""SELECT p_partkey, 'NUM:' || (p_size // gcd(p_size, 12)) || '/' || (12 // gcd(p_size, 12)) AS key FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NUM:' || (p_size // gcd(p_size, 12)) || '/' || (12 // gcd(p_size, 12)) WHEN 1 THEN 'NUM:' || (-p_size // gcd(p_size, 8)) || '/' || (8 // gcd(p_size, 8))
+    WHEN 2 THEN 'NUM:' || (p_size // gcd(p_size, 4)) || '/' || (4 // gcd(p_size, 4)) WHEN 3 THEN 'NUM:' || (1000 + p_size) || '/1' END AS key FROM part""")
 def canonical_key(spark, sf_dir):
-    frac = F.concat(F.lit("the answer is: \\frac{"), F.col("p_size").cast("string"), F.lit("}{12}"))
-    return table(spark, sf_dir, "part").select("p_partkey", A.canonical_key(frac).alias("key"))
+    """LaTeX fractions, plain ones with a sign, decimals, thousands and nulls."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    said = (
+        F.when(kind == 0, F.concat(F.lit("the answer is: \\frac{"), size, F.lit("}{12}"))).when(kind == 1, F.concat(F.lit("-"), size, F.lit("/8")))
+        .when(kind == 2, (F.col("p_size") / 4).cast("string")).when(kind == 3, F.concat(F.lit("$"), F.format_number(F.col("p_size") + 1000, 0)))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", A.canonical_key(said).alias("key"))
 
 
-@query("""SELECT p_partkey, chr(CAST(65 + p_size % 4 AS INTEGER)) AS letter FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN chr(CAST(65 + p_size % 4 AS INTEGER)) END AS letter FROM part""")
 def mcq_extract(spark, sf_dir):
-    said = F.concat(F.lit("So the answer is ("), A.choice_of_index(F.col("p_size") % 4), F.lit(")."))
+    """Letters in brackets, in a box, on the answer line, alone at the end, and none."""
+    letter, kind = A.choice_of_index(F.col("p_size") % 4), F.col("p_partkey") % 5
+    said = (
+        F.when(kind == 0, F.concat(F.lit("So the answer is ("), letter, F.lit(").")))
+        .when(kind == 1, F.concat(F.lit("not (A) so \\boxed{\\text{"), letter, F.lit("}}")))
+        .when(kind == 2, F.concat(F.lit("(A) is wrong\nAnswer: "), letter))
+        .when(kind == 3, F.concat(F.lit("I choose\n"), letter, F.lit(".\n")))
+        .otherwise(F.lit("no idea at all"))
+    )
     return table(spark, sf_dir, "part").select("p_partkey", A.choice_letter(said).alias("letter"))
 
 
-@query("""SELECT p_partkey, p_size % 3 = 0 AS correct FROM part""")
+@query("""SELECT p_partkey, p_size % 3 = 0 AND p_partkey % 4 <> 3 AS correct FROM part""")
 def graded_answers(spark, sf_dir):
-    """Expressions graded by the evaluator: every third answer is right."""
-    size = F.col("p_size").cast("string")
-    pred = F.concat(F.lit("Thus \\boxed{\\frac{"), size, F.lit("}{2}}"))
-    gold = F.concat(F.lit("$"), (F.col("p_size") / 2 + (F.col("p_size") % 3 != 0).cast("int")).cast("string"), F.lit("$"))
+    """Fractions, pairs and sums with a symbol, of which every third is right, and no answer."""
+    size, kind, off = F.col("p_size").cast("string"), F.col("p_partkey") % 4, (F.col("p_size") % 3 != 0).cast("int")
+    box = lambda *parts: F.concat(F.lit("Thus \\boxed{"), *parts, F.lit("}"))
+    pred = F.when(kind == 0, box(F.lit("\\frac{"), size, F.lit("}{2}"))).when(kind == 1, box(F.lit("(1, "), size, F.lit(")"))).when(kind == 2, box(F.lit("x + "), size)).otherwise(F.lit(""))
+    gold = (
+        F.when(kind == 1, F.concat(F.lit("$(1,"), (F.col("p_size") + off).cast("string"), F.lit(")$"))).when(kind == 2, F.concat(F.lit("$"), (F.col("p_size") + off).cast("string"), F.lit("+x$")))
+        .otherwise(F.concat(F.lit("$"), (F.col("p_size") / 2 + off).cast("string"), F.lit("$")))
+    )
     rows = table(spark, sf_dir, "part").select("p_partkey", pred.alias("generation"), gold.alias("gold"))
     return A.graded(rows, "math", "generation", "gold").select("p_partkey", "correct")
 
 
-@query()
+@query("""WITH v AS (SELECT p_partkey AS record_id, p_size AS x, unnest([p_size + 1.0, p_size - 1.0, p_size + 2.0, p_size - 2.0, p_size + 10.0, p_size - 10.0, p_size * 0.9::DOUBLE, p_size * 1.1::DOUBLE]::DOUBLE[]) AS v FROM part),
+    s AS (SELECT DISTINCT record_id, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(round(v, 6) AS VARCHAR) END AS negative FROM v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY md5('2:' || record_id || ':' || negative), negative) AS rank FROM s) SELECT record_id, CAST(rank AS INTEGER) AS rank, negative FROM r WHERE rank <= 4""")
 def hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_size").cast("string").alias("gold"))
     return negatives.wrong_answers(rows, "gold", None, 4, 2)

@@ -29,7 +29,25 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str, mode:
     _corrupt_record if the schema names that column. Compressed files are read by their suffix.
     """
     reader = spark.read.schema(schema).option("mode", MODES[mode])
-    return (reader.option("multiLine", True) if first_character(spark, path) == "[" else reader).json(path)
+    if first_character(spark, path) == "[":
+        return reader.option("multiLine", True).json(path)
+    if whole_object(spark, path):
+        kind = schema if isinstance(schema, str) else schema.simpleString()
+        return read_damaged(spark, [path], kind, skip=mode != "strict").drop("source_file")
+    return reader.json(path)
+
+
+def whole_object(spark: SparkSession, path: str) -> bool:
+    """Is the file one object over several lines, or one that wraps a list of records? Its first
+    line, which is all that is looked at, is then no object or one with a list under a wrapper's name."""
+    line = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
+    if line is None:
+        return False
+    try:
+        found = json.loads(line[0].lstrip("\ufeff"))
+    except ValueError:
+        return line[0].lstrip("\ufeff \t").startswith("{") and line[0].rstrip()[-1:] in "{[,"
+    return isinstance(found, dict) and any(isinstance(found.get(w), list) and all(isinstance(x, dict) for x in found[w]) for w in WRAPPERS)
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: StructType | str, mode: str = "skip") -> DataFrame:

@@ -160,3 +160,97 @@ def test_stream_labels_once(spark, tmp_path):
     run()
     got = spark.read.parquet(out)
     assert sorted((r["a"], r["n"]) for r in got.collect()) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_empty_arrays(spark):
+    from stepwright.functions.columns import labels_from_error_steps, mask_from_first_error
+    from stepwright.operators import rewards, steps
+
+    row = spark.createDataFrame([(0, [], [], -1)], "n int, e array<int>, s array<string>, f int")
+    made = steps.contexts("n", F.lit("Q"), F.col("s"))
+    got = row.select(
+        mask_from_first_error(F.col("n"), F.col("f")).alias("a"), labels_from_error_steps(F.col("n"), F.col("e")).alias("b"), made["prefix"].alias("c"),
+        made["without"].alias("d"), rewards.outcome_only(F.col("n"), F.lit(True)).alias("g"), steps.pack_within(F.col("e"), 3).alias("h"),
+    ).first()
+    assert list(got) == [[], [], [], [], [], 0]
+
+
+def test_quantiles_equal_the_sorted_ones(spark):
+    import random
+
+    import numpy as np
+
+    from stepwright.operators.ordered import quantiles
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice([rng.gauss(0, 1), float(rng.randrange(4))])) for k in (None, "a", "b") for _ in range(rng.randrange(1, 400))] + [("a", None), ("one", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.05, 0.5, 0.77, 1.0]
+    got = {r["k"]: r["q"] for r in quantiles(df, "v", shares, ["k"]).collect()}
+    for k in {k for k, _ in rows}:
+        assert np.allclose(got[k], np.quantile([v for j, v in rows if j == k and v is not None], shares))
+    assert np.allclose(quantiles(df, "v", shares).first()["q"], np.quantile([v for _, v in rows if v is not None], shares))
+    empty = quantiles(df.limit(0), "v", shares).first()
+    assert empty["n"] == 0 and empty["q"] == [None] * 5
+
+
+def test_platt_of_one_class(spark):
+    import math
+
+    from stepwright.operators.normalize import platt
+
+    row = platt(spark.createDataFrame([(1.0, 1), (2.0, 1)], "s double, y int"), "s", "y").first()
+    assert row["scale"] == 0.0 and math.isclose(row["bias"], math.log(3))
+
+
+def test_support_without_gold(spark):
+    from stepwright.operators.rewards import truncated_support
+
+    rows = spark.createDataFrame([(1, 0, t, float(t), False) for t in range(4)], "record_id int, pos int, token_id int, logit double, is_gold boolean")
+    got = truncated_support(rows, 2, 0.1).first()
+    assert got["logp"] == float("-inf") and got["support"] == 2
+
+
+def test_objects_over_lines_and_wrappers(spark, tmp_path):
+    from stepwright.sources.files import read_records
+
+    (tmp_path / "a.json").write_text('{\n "x": 1,\n "y": "b"\n}\n')
+    (tmp_path / "b.json").write_text('{"records": [{"x": 1}, {"x": 2, "y": "c"}]}')
+    (tmp_path / "c.json").write_text('{"x": 5}\n{"x": 6, "y": "[1"}\n')
+    read = lambda n: sorted((r["x"], r["y"]) for r in read_records(spark, str(tmp_path / n), "x int, y string").collect())
+    assert read("a.json") == [(1, "b")]
+    assert read("b.json") == [(1, None), (2, "c")]
+    assert read("c.json") == [(5, None), (6, "[1")]
+
+
+def test_answers_of_any_shape(spark):
+    from stepwright.functions.records import answer_text, flat_answer
+
+    assert flat_answer([{"en": ""}, {"value": 3}, ["", None]]) == "3"
+    assert flat_answer("[1, [2, 'x']]") == "x" and flat_answer("[not a list") == "[not a list" and flat_answer("[]") == "[]"
+    assert flat_answer({"multiple": ["a", {"latex": " b "}]}) == "b" and flat_answer({"other": 1}) == ""
+    df = spark.createDataFrame([('{"answer": [1, 2]}',), ("plain",), (None,), ("2.50",)], "a string")
+    assert [r[0] for r in df.select(answer_text("a")).collect()] == ["2", "plain", "", "2.5"]
+
+
+def test_merge_keeps_and_drops(spark):
+    from stepwright.operators.merge import merge_records
+
+    base = spark.createDataFrame(
+        [(1, "q", ["a  b", "c"], [1.0, 2.0]), (2, "q2", ["x"] * 3, [1.0, 2.0, 3.0]), (3, "q3", [], [1.0]), (4, "q4", ["s", "t"], None)],
+        "record_id int, question string, steps array<string>, base_reward array<double>",
+    )
+    other = spark.createDataFrame([("q", ["a b", "c "], [7.0, 8.0, 9.0], 1), ("q4", ["s", "t"], [5.0, 6.0], 2)], "question string, steps array<string>, mi array<double>, at int")
+    trim = {r["record_id"]: (r["match"], r["step_reward"], r["steps"], r["ragged"]) for r in merge_records(base, other, "record_id", "base_reward", "mi", "at").collect()}
+    assert trim == {1: ("exact", [1.0, 8.0], ["a  b", "c"], True), 2: ("none", [1.0], ["x"], False), 4: ("exact", [], [], True)}
+    strict = {r["record_id"]: r["step_reward"] for r in merge_records(base, other, "record_id", "base_reward", "mi", "at", lengths="strict").collect()}
+    assert strict == {1: None, 2: [1.0], 4: None}
+    assert merge_records(base, other, "record_id", "base_reward", "mi", "at", lengths="strict", tail="uniform").count() == 0
+    assert merge_records(base.limit(0), other, "record_id", "base_reward", "mi", "at").count() == 0
+
+
+def test_roots_near_a_root(spark):
+    from stepwright.operators.negatives import root_variants
+
+    df = spark.createDataFrame([("\\sqrt{5}",), ("\u221a0",), ("5",)], "a string")
+    assert [r[0] for r in df.select(root_variants(F.col("a"))).collect()] == [["\\sqrt{6}", "\\sqrt{4}", "5"], ["\u221a1", "0"], []]

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from stepwright.plans import queries
+from stepwright.plans import more, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
