@@ -131,18 +131,18 @@ def tune_error_f1(df: DataFrame, score: str, error: str, points: int = 200, keys
     low, reach, s = F.col("q")[0], F.col("q")[1] - F.col("q")[0], F.col("s")
     ranges = ends.select(*keys, "q")
     paired = rows.join(ranges, keys) if keys else rows.crossJoin(F.broadcast(ranges))  # without keys one row
-    paired = paired.withColumn("k", F.least(F.greatest(F.coalesce(F.floor((s - low) * F.try_divide(F.lit(points - 1.0), reach)), F.lit(0)), F.lit(-1)), F.lit(points)).cast("int"))
+    paired = paired.withColumn("k", F.least(F.greatest(F.coalesce(F.ceil((s - low) * F.try_divide(F.lit(points - 1.0), reach)), F.lit(0)), F.lit(0)), F.lit(points)).cast("int"))
     at = lambda i: low + i * reach / (points - 1)
     # the computed place may be one off; thresholds that are all equal are told apart by the value alone
-    near = [F.col("k") + d for d in (-1, 0, 1)]
-    inside = lambda i, c: ((i >= 0) & (i < points) & c).cast("int")
-    first = F.least(F.greatest(F.col("k") - 1, F.lit(0)), F.lit(points))
-    count = lambda test: F.when(reach > 0, first + sum((inside(i, test(at(i))) for i in near), F.lit(0))).otherwise(F.when(test(low), points).otherwise(0))
+    k = F.col("k")
+    after = lambda test: F.when((k > 0) & ~test(at(k - 1)), k - 1).when((k < points) & test(at(k)), k + 1).otherwise(k)
+    count = lambda test: F.when(reach > 0, after(test)).otherwise(F.when(test(low), points).otherwise(0))
     below, upto = count(lambda t: t < s), count(lambda t: t <= s)
     # lo: first threshold at or above s flags it; hi: last threshold at or below s flags it if inverted
     placed = paired.select(*keys, "e", below.alias("lo"), (upto - 1).alias("hi"))
-    lows = placed.groupBy(*keys, F.col("lo").alias("i")).agg(F.count("e").alias("f_lo"), F.sum("e").alias("h_lo"))
-    highs = placed.groupBy(*keys, F.col("hi").alias("i")).agg(F.count("e").alias("f_hi"), F.sum("e").alias("h_hi"))
+    pairs = placed.groupBy(*keys, "lo", "hi").agg(F.count("e").alias("f"), F.sum("e").alias("h"))
+    lows = pairs.groupBy(*keys, F.col("lo").alias("i")).agg(F.sum("f").alias("f_lo"), F.sum("h").alias("h_lo"))
+    highs = pairs.groupBy(*keys, F.col("hi").alias("i")).agg(F.sum("f").alias("f_hi"), F.sum("h").alias("h_hi"))
     up = Window.partitionBy(*keys).orderBy("i")
     down = Window.partitionBy(*keys).orderBy(F.desc("i"))
     table = grid.join(lows, [*keys, "i"], "left").join(highs, [*keys, "i"], "left").fillna(0, ["f_lo", "h_lo", "f_hi", "h_hi"])

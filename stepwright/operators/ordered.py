@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one bucket is meant to hold, and the least and greatest number of buckets.
 ROWS_IN_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 16, 256
+#: Values of one key that a task may hold to find their quantiles.
+FEW_VALUES = 1_000_000
 
 
 def bucket_of(value: Column, bounds: list[float]) -> Column:
@@ -62,28 +64,39 @@ def running(df: DataFrame, order: str, sums: list[str], buckets: int | None = No
     )
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = []) -> DataFrame:  # noqa: B006
+def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = [], few: int = FEW_VALUES) -> DataFrame:  # noqa: B006
     """keys, n and q: exact quantiles of the value (not null) per key, between two values by their
     distance; without keys one row, null and 0 for no values.
 
-    Values are counted, and each quantile's two neighbours are read off the running counts, so no
-    task holds the values of a key.
+    Keys with more than few values in all are never held by a task: values are counted, and each
+    quantile's two neighbours are read off the running counts. The result, a row per key, is
+    computed at once, so that what is built on it does not repeat the work; keys are meant to be few.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= few:
+        found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("__v", shares).alias("q"))
+        none = F.array(*[F.lit(None).cast("double")] * len(shares))
+        found = found.withColumn("q", F.coalesce("q", none))
+    else:
+        found = counted_quantiles(rows, shares, keys)
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def counted_quantiles(rows: DataFrame, shares: list[float], keys: list[str]) -> DataFrame:
+    """quantiles of __v by running counts of its different values."""
+    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     cum = running(counts, "__v", ["__c"], keys=keys)
     names = [f"__k{i}" for i in range(len(keys))]
     totals = counts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"))
     same = F.lit(True)
     for k, n in zip(keys, names):
         same = same & F.col(k).eqNullSafe(F.col(n))
-    rows = cum.join(totals, same).drop(*names) if keys else cum.crossJoin(F.broadcast(totals))
-    ends = []
+    placed = cum.join(totals, same).drop(*names) if keys else cum.crossJoin(F.broadcast(totals))
+    cells = []
     for share in shares:
         place = F.lit(share) * (F.col("__n") - 1)
-        for at in (F.floor(place), F.ceil(place)):
-            ends.append(F.max(F.when((F.col("cum___c") - F.col("__c") <= at) & (at < F.col("cum___c")), F.col("__v"))))
-    cells = []
-    for i, share in enumerate(shares):
-        place = F.lit(share) * (F.max("__n") - 1)
-        cells.append(ends[2 * i] + (place - F.floor(place)) * (ends[2 * i + 1] - ends[2 * i]))
-    return rows.groupBy(*keys).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n"), F.array(*cells).alias("q"))
+        at = lambda i: F.max(F.when((F.col("cum___c") - F.col("__c") <= i) & (i < F.col("cum___c")), F.col("__v")))
+        low, high, place = at(F.floor(place)), at(F.ceil(place)), F.lit(share) * (F.max("__n") - 1)
+        cells.append(low + (place - F.floor(place)) * (high - low))
+    return placed.groupBy(*keys).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n"), F.array(*cells).alias("q"))

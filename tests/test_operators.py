@@ -175,7 +175,8 @@ def test_empty_arrays(spark):
     assert list(got) == [[], [], [], [], [], 0]
 
 
-def test_quantiles_equal_the_sorted_ones(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_quantiles_equal_the_sorted_ones(spark, few):
     import random
 
     import numpy as np
@@ -186,11 +187,11 @@ def test_quantiles_equal_the_sorted_ones(spark):
     rows = [(k, rng.choice([rng.gauss(0, 1), float(rng.randrange(4))])) for k in (None, "a", "b") for _ in range(rng.randrange(1, 400))] + [("a", None), ("one", 2.5)]
     df = spark.createDataFrame(rows, "k string, v double")
     shares = [0.0, 0.05, 0.5, 0.77, 1.0]
-    got = {r["k"]: r["q"] for r in quantiles(df, "v", shares, ["k"]).collect()}
+    got = {r["k"]: r["q"] for r in quantiles(df, "v", shares, ["k"], few).collect()}
     for k in {k for k, _ in rows}:
         assert np.allclose(got[k], np.quantile([v for j, v in rows if j == k and v is not None], shares))
-    assert np.allclose(quantiles(df, "v", shares).first()["q"], np.quantile([v for _, v in rows if v is not None], shares))
-    empty = quantiles(df.limit(0), "v", shares).first()
+    assert np.allclose(quantiles(df, "v", shares, few=few).first()["q"], np.quantile([v for _, v in rows if v is not None], shares))
+    empty = quantiles(df.limit(0), "v", shares, few=few).first()
     assert empty["n"] == 0 and empty["q"] == [None] * 5
 
 
