@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stepwright.llm.bpe import round_trip
-from stepwright.llm.common import materialise
+from stepwright.llm.common import release, settle
 from stepwright.llm.exact_dedup import drop_exact_duplicates
 from stepwright.llm.mixing import mix_documents
 from stepwright.llm.near_copies import drop_near_copies
@@ -31,7 +31,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8 at least) stays."""
+    """The smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8 at least) stays;
+    SimHash with pivots finds the first of them, see near_copies.py."""
     return drop_near_copies(docs)
 
 
@@ -58,8 +59,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of sf_dir, each written as Parquet and read again.
+
+    What a stage leaves in the shared folder, and its input, goes once its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)
+        docs = before = made
     return STAGES[-1][1](spark, docs, sf_dir)
