@@ -120,19 +120,19 @@ def without_rows(located: DataFrame, dropped: DataFrame) -> DataFrame:
     return located.join(dropped.select(*LOCATOR), list(LOCATOR), "left_anti").drop(*LOCATOR)
 
 
-#: Bits of a bitmap of locators: so many for each of them, within these powers of two (4 KB and 16 MB).
+#: Bits of a bitmap of chosen rows: so many for each of them, within these powers of two (4 KB and 16 MB).
 BITS_FOR_ROW, LEAST_BITS, MOST_BITS = 16, 15, 27
 
 
-def maybe_among(located: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of located whose locators may be among those of chosen: none of these is lost.
+def maybe_among(located: DataFrame, chosen: DataFrame, names: tuple[str, ...] = LOCATOR) -> DataFrame:
+    """The rows of located whose columns of these names may be as in a row of chosen: none of these is lost.
 
     The others go where they are read, but for chance agreements, which a join then drops. The
     bitmap is made and read by native functions, a row for each 32768 bits, and broadcast; its size
     is bounded, so with very many chosen rows it lets more of the others pass.
     """
     power = min(MOST_BITS, max(LEAST_BITS, (chosen.count() * BITS_FOR_ROW).bit_length()))
-    spot = F.xxhash64(*LOCATOR).bitwiseAND((1 << power) - 1)
+    spot = F.xxhash64(*names).bitwiseAND((1 << power) - 1)
     bits = chosen.select(spot.alias("__spot")).groupBy(F.bitmap_bucket_number("__spot").alias("__bucket"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__spot")).alias("__bits"))
     placed = located.withColumn("__spot", spot).withColumn("__bucket", F.bitmap_bucket_number("__spot"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import LOCATOR, ddl, map_texts_in_batches, materialise, maybe_among, settle, with_locators, without_rows
+from stepwright.llm.common import LOCATOR, ddl, map_texts_in_batches, materialise, maybe_among, release, settle, with_locators, without_rows
 from stepwright.llm.components import connected_components
 from stepwright.llm.simhash import LOWER, SEED, all_but_first, pivot_links
 
@@ -182,20 +182,26 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, located: DataFrame, width: int, similar: Similar) -> DataFrame:
     """Links (a, b) that connect nodes as all pairs of similar nodes do."""
     links = materialise(verified(fingerprint_pairs(nodes), nodes, located, width, similar), "copies-links")
-    keyed = nodes.select("node", "n", *short_names(), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n", *short_names())).alias("least")).where("c > 1")
-    hits = materialise(keyed.join(shared.drop("c"), "key").select("key", *keyed.drop("key").columns, "least"), "copies-hits")
-
-    near = hits.alias("h").select("h.*").where(F.col("node") != F.col("least.node"))
-    met = near.alias("h").where(similar.by_short("h", "least"))
-    met = met.groupBy(F.col("node").alias("a"), F.col("least.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # keys go without bitmaps, which nodes that share one get afterwards
+    short = nodes.select("node", "n", *short_names())
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).where("c > 1").drop("c")
+    shared = materialise(shared, "copies-shared")
+    hits = materialise(maybe_among(keyed, shared, ("key",)).join(shared, "key").select("key", "node", "least"), "copies-hits")
+    release(shared)
+
+    met = hits.where("node != least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    met = met.join(short.alias("y"), F.col("b") == F.col("y.node")).join(short.alias("x"), F.col("a") == F.col("x.node"))
+    met = materialise(met.where(similar.by_short("x", "y")).select("a", "b", "c"), "copies-met")
     tried = materialise(met.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "copies-firsts")
     links = materialise(links.unionByName(verified(tried, nodes, located, width, similar)), "copies-links")
     roots = materialise(connected_components(links), "copies-roots")
 
     rooted = hits.drop("least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "copies-rooted")
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rooted = materialise(rooted.join(open_keys, "key", "left_semi"), "copies-open")
+    open_keys = materialise(open_keys, "copies-keys")
+    rooted = materialise(rooted.join(open_keys, "key", "left_semi").join(short, "node"), "copies-open")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") > F.col("y.root")) & similar.by_short("x", "y")
     met = rooted.alias("x").join(rooted.alias("y"), apart)
     pairs = materialise(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "copies-pairs")
