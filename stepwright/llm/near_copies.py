@@ -182,7 +182,7 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, located: DataFrame, width: int, similar: Similar) -> DataFrame:
     """Links (a, b) that connect nodes as all pairs of similar nodes do."""
     links = materialise(verified(fingerprint_pairs(nodes), nodes, located, width, similar), "copies-links")
-    # keys go without bitmaps, which nodes that share one get afterwards
+    # keys move without bitmaps: only nodes that share a key get theirs, afterwards
     short = nodes.select("node", "n", *short_names())
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).where("c > 1").drop("c")
