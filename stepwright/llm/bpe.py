@@ -70,18 +70,20 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Bytes of one piece to token ids; see the module's text.
 
-    Ids are given as text, joined by commas. max_states and max_pieces bound the tables of
-    determinised states and of whole short pieces; max_heads bounds the table of moves from the
-    start by the first characters of a piece, head of them, at once. small: a reading with at most
-    so many tokens ahead is settled at once, see ahead().
+    Ids are given as text, joined by commas. max_states, max_pieces and max_pairs bound the tables
+    of determinised states, of whole short pieces and of neighbouring tokens; max_heads bounds the
+    table of moves from the start by the first characters of a piece, head of them, at once.
+    small: a reading with at most so many tokens ahead is settled at once, see ahead().
     """
 
     def __init__(
-        self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 200_000, max_heads: int = 60_000, head: int = 5, small: int = 4
+        self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 100_000, max_pairs: int = 50_000,
+        max_heads: int = 60_000, head: int = 5, small: int = 8,
     ):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.max_states, self.max_pieces, self.max_heads, self.head = max_states, max_pieces, max_heads, head
+        self.max_states, self.max_pieces, self.max_pairs = max_states, max_pieces, max_pairs
+        self.max_heads, self.head = max_heads, head
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
         below: list[list[int] | None] = [[]]
@@ -156,7 +158,7 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        if len(self.adjacent) > self.max_states:
+        if len(self.adjacent) > self.max_pairs:
             self.adjacent.clear()
         self.adjacent[last, token] = known
         return known
@@ -193,11 +195,11 @@ class Transducer:
         while sure < shortest and all(p[sure] == least[sure] for p in paths):
             sure += 1
         key = tuple([(node, last, open_tokens[sure:]) for node, last, open_tokens in follow] if sure else follow)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.readings)
+        state = self.numbers.get(key)  # one integer for all moves to a state
+        if state is None:
+            state = self.numbers[key] = len(self.readings) << 8
             self.readings.append(key)
-        move = self.moves[place] = (number << 8, "".join([f",{t}" for t in least[:sure]])) if sure else number << 8
+        move = self.moves[place] = (state, "".join([f",{t}" for t in least[:sure]])) if sure else state
         return move
 
     def walk(self, data: bytes, state: int) -> tuple[int, str]:
@@ -211,10 +213,9 @@ class Transducer:
                     here = self.readings[state >> 8]
                     self.reset()
                     follow = self.moves.get
-                    number = self.numbers.setdefault(here, len(self.readings))
-                    if number == len(self.readings):
+                    state = self.numbers.setdefault(here, len(self.readings) << 8)
+                    if state == len(self.readings) << 8:
                         self.readings.append(here)
-                    state = number << 8
                 move = self.determinise(state | byte)
             if move.__class__ is int:
                 state = move
