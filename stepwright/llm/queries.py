@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from stepwright.llm.ann import search
 from stepwright.llm.bpe import round_trip
 from stepwright.llm.chat import format_chats
+from stepwright.llm.collocations import collocations
+from stepwright.llm.decontaminate import contamination
 from stepwright.llm.exact_dedup import exact_groups
+from stepwright.llm.hard_negatives import hard_negatives
 from stepwright.llm.line_dedup import dedup_lines
 from stepwright.llm.mixing import mix_counts
 from stepwright.llm.simhash import near_duplicates
@@ -76,6 +79,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_repeated_substrings": op2_repeated_substrings,
@@ -87,6 +103,9 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -191,4 +210,88 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(z) AS text_sha256 FROM ranked
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), split AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+        ), grams AS (
+            SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(ws) >= k)
+        ), counts AS (
+            SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL
+        ), often AS (
+            SELECT *, string_split(phrase, ' ') AS ws FROM counts WHERE a >= 10
+        ), sizes AS (
+            SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+        ), cuts AS (
+            SELECT lang, k, phrase, a, ws, c, array_to_string(ws[1:c], ' ') AS first, array_to_string(ws[c + 1:], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS c FROM often WHERE k > 1)
+        ), graded AS (
+            SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, cuts.c, x.a AS l, y.a AS r,
+                   CAST((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = cuts.first JOIN often y ON y.lang = cuts.lang AND y.phrase = cuts.rest
+        ), lowest AS (
+            SELECT * FROM graded QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+        ), covered AS (
+            SELECT DISTINCT o.lang, array_to_string(o.ws[s:s + 1], ' ') AS phrase, o.a AS longer
+            FROM often o, (VALUES (1), (2)) AS starts(s) WHERE o.k = 3
+        ), kept AS (
+            SELECT * FROM lowest AS c WHERE NOT EXISTS (
+                SELECT 1 FROM covered WHERE covered.lang = c.lang AND covered.phrase = c.phrase AND 100 * covered.longer >= 50 * c.a)
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN sizes USING (lang)
+        QUALIFY rank <= 2000
+    """,
+    "op12_decontaminate": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), items AS (
+            SELECT item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+            FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)
+        ), places AS (
+            SELECT doc, n, i, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+            FROM (SELECT doc, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n)
+        ), found AS (
+            SELECT doc, n, i, item_id FROM places JOIN windows USING (n, phrase)
+        ), hits AS (
+            SELECT doc, count(DISTINCT p) AS n_hit FROM (SELECT doc, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc, n, i FROM found)) GROUP BY doc
+        ), named AS (
+            SELECT doc, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+            FROM (SELECT DISTINCT doc, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY doc
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hits USING (doc) LEFT JOIN named USING (doc)
+    """,
+    "op13_hard_negatives": r"""
+        WITH sound AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS other_id,
+                   CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }
