@@ -128,13 +128,13 @@ def token_lines(sizes: DataFrame, targets: DataFrame, seed: int, n_docs: int) ->
     first = F.conv(F.substring("spot", 1, 8), 16, 10).cast("long")
     line = (
         sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select("row_id", "doc_id", "body", "size", "source_no", "source_size", "target", spot.alias("spot"))
+        .select("row_id", "doc_id", "body", "source", "size", "source_no", "source_size", "target", spot.alias("spot"))
         .withColumn("bucket", F.shiftright(first * buckets, 32))
     )
     return running_sum(line, "source_no", "bucket", "spot", F.col("size"), "start").drop("bucket", "spot")
 
 
-def filled_slots(line: DataFrame, slots: DataFrame, block: int, max_epochs: float, exact: bool = False) -> DataFrame:
+def filled_slots(line: DataFrame, slots: DataFrame, block: int, max_epochs: float, exact: bool = True) -> DataFrame:
     """line's documents with one row per block they touch in each run through their source.
 
     slot is null where the schedule does not take the block; the row's stretch of the document
@@ -172,14 +172,14 @@ def mix_slots(
     weights: tuple[float, ...] = CYCLE,
     block_words: int = 1024,
     seed: int = 7,
-    exact: bool = False,
+    exact: bool = True,
 ) -> DataFrame:
-    """The mix: per document and touched block row_id, doc_id, body, size, source_size, target,
-    epoch, slot, from_word and to_word; slot, null where the block is not taken, orders the mix.
+    """The mix: per document and touched block row_id, doc_id, body, source, size, source_size,
+    target, epoch, slot, from_word and to_word; slot, null where the block is not taken, orders the mix.
 
     block_words: words of a slot; less for small inputs, so that the schedule has some 4096 slots
     at least. share: words of the mix over words of the input. seed: of the shuffle. exact: each
-    source's words end at its target; otherwise it has its scheduled blocks whole, as op1's SQL.
+    source's words end at its target; otherwise it has its scheduled blocks whole.
     """
     sizes = sized_documents(docs)
     order = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
@@ -207,21 +207,23 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of docs; n_chars, where there is one, follows the cut text. A source's
     blocks are taken from its line's start, so what is taken of a document in one run is one
-    stretch. Rows that share doc_id and text are told apart by a number.
+    stretch. Rows that share doc_id, text and source are told apart by a number, so each source's
+    words come from its own rows.
     """
     spans = (
         mix_slots(docs, **options)
         .where("slot is not null")
-        .groupBy("row_id", F.col("doc_id").alias("__doc"), F.col("body").alias("__body"), F.col("size").alias("__size"), F.col("epoch").alias("__epoch"))
+        .groupBy("row_id", F.col("doc_id").alias("__doc"), F.col("body").alias("__body"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("epoch").alias("__epoch"))
         .agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"))
     )
-    copies = Window.partitionBy("__doc", "__body").orderBy("row_id")
+    copies = Window.partitionBy("__doc", "__body", "__source").orderBy("row_id")
     spans = materialise(spans.withColumn("__copy", F.dense_rank().over(copies)).drop("row_id"), "mix-spans")
     body = F.xxhash64(text_or_empty(F.col("text")))
     copy = F.lit(1)
     if not spans.where("__copy > 1").isEmpty():
-        copy = F.row_number().over(Window.partitionBy("doc_id", body).orderBy(F.lit(0)))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__this") == F.col("__body")) & (F.col("__no") == F.col("__copy"))
+        copy = F.row_number().over(Window.partitionBy("doc_id", body, "source").orderBy(F.lit(0)))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source"))
+    same &= (F.col("__this") == F.col("__body")) & (F.col("__no") == F.col("__copy"))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"{WHITE_CLASS}*{WORD_CLASS}+"), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int")), "")
     whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))

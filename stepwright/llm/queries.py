@@ -130,27 +130,11 @@ SQL: dict[str, str] = {
             SELECT source, source_no, source_size, CASE WHEN cap / weight <= level THEN cap ELSE
                    least(weight * max(CASE WHEN cap / weight > level THEN level END) OVER (), cap) END AS target
             FROM filled
-        ), ends AS (
-            SELECT *, CAST(floor(sum(target) OVER (ORDER BY source_no) / sum(target) OVER () * 4611686018427387904::DOUBLE) AS BIGINT) AS to_point,
-                   sum(target) OVER () AS wanted
-            FROM targets WHERE target > 0
-        ), stretches AS (
-            SELECT *, coalesce(lag(to_point) OVER (ORDER BY source_no), 0) AS from_point,
-                   CAST(greatest(1, least(1024, floor(floor(wanted) / 4096))) AS BIGINT) AS block
-            FROM ends
-        ), slots AS (
-            SELECT source_no, row_number() OVER (PARTITION BY source_no ORDER BY k) - 1 AS block_no
-            FROM (SELECT unnest(range(CAST(ceil(max(wanted) / max(block)) AS BIGINT))) AS k FROM stretches) AS n
-            JOIN stretches ON CAST((k::HUGEINT * 2850178704830799621) % 4611686018427387904 AS BIGINT) >= from_point
-                          AND CAST((k::HUGEINT * 2850178704830799621) % 4611686018427387904 AS BIGINT) < to_point
-        ), given AS (
-            SELECT source_no, count(*) AS n_blocks FROM slots GROUP BY source_no
         ), lines AS (
-            SELECT doc_id, size, source_size, target, coalesce(n_blocks * block, 0) AS reach,
-                   sum(size) OVER (PARTITION BY targets.source_no ORDER BY spot, doc_id) - size AS start
+            SELECT doc_id, size, source_size, target,
+                   CASE WHEN target > 0 THEN CAST(least(2 * source_size, greatest(1, round(target))) AS BIGINT) ELSE 0 END AS reach,
+                   sum(size) OVER (PARTITION BY source_no ORDER BY spot, doc_id) - size AS start
             FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
-            LEFT JOIN given USING (source_no)
-            CROSS JOIN (SELECT max(block) AS block FROM stretches)
         )
         SELECT doc_id, size, source_size, target,
                CAST(greatest(0, least(size, reach - start)) + greatest(0, least(size, reach - start - source_size)) AS BIGINT) AS taken

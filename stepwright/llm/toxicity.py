@@ -5,7 +5,7 @@ forms of a learnt word are known as well. Which features count is decided by the
 with the label (a likelihood-ratio statistic on document counts); the weights come from a
 logistic regression with an L2 penalty and a counterfactual one: every training text that names
 a group is copied with the name exchanged for the others of its kind, and squared differences of
-the scores of a text and its copies are added to the loss. A name that stands in toxic texts more
+the log-odds of a text and its copies are added to the loss. A name that stands in toxic texts more
 often by chance so cannot carry weight, and neutral mentions of a group stay neutral.
 
 The classifier is fitted on a bounded sample of labelled rows (max_rows, the first by a seeded
@@ -76,14 +76,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int) -> DataFrame:
-    """doc_id, text, toxic of at most max_rows labelled documents, written once."""
+    """doc_id, text, toxic of at most max_rows labelled rows, written once.
+
+    The first max_rows labelled ids by a seeded hash; where these are of more rows, the first of
+    the rows by a hash of id and text.
+    """
     known = (
         labels.where("toxic is not null and doc_id is not null")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .where(~held_out(F.col("doc_id")))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
     )
-    return materialise(docs.select("doc_id", "text").join(known, "doc_id"), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = rows.withColumns({"spot": F.xxhash64(F.lit(seed), "doc_id", "text"), "number": F.monotonically_increasing_id()})
+    rows = materialise(rows, "toxicity-sample")
+    last = rows.select("spot", "number").orderBy("spot", "number").offset(max(0, max_rows - 1)).limit(1).first()
+    if last is not None:  # rows that are equal in all else are told apart by number
+        rows = rows.where((F.col("spot") < last["spot"]) | ((F.col("spot") == last["spot"]) & (F.col("number") <= last["number"])))
+    return rows.drop("spot", "number")
 
 
 def associated_features(sample: DataFrame, max_features: int, least: float, least_docs: int) -> list[str]:

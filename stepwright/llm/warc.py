@@ -1,15 +1,22 @@
 """WARC archives as a PySpark Python data source.
 
-Reading: files are listed once and planned into partitions by size. Each record is a gzip member
-of its own; only the start of a member is inflated to parse the record's header, filters on
-record_type and the other header columns are tried on it, and a record that fails them, or whose
-payload is not asked for by the schema, is skipped without inflating its block: the member's
-extra field 'sl' says where the next one starts (members without it are inflated and dropped).
-Archives that are not compressed are read too; there Content-Length says where the next record is.
-
-Writing: each task writes files of bounded size under names of its own; the files of tasks that
-succeeded are named in a manifest when the job commits, and readers go by the manifest, so what a
-lost executor or a repeated task leaves behind is never read.
+Reading: files are listed once and planned into partitions by size; a large file that this source
+wrote is split into ranges, whose tasks find the first member that starts there. Only the start of
+a gzip member is inflated to parse a record's header, filters on record_type and the other header
+columns are tried on it, and a record that fails them, or whose payload is not asked for by the
+schema, is skipped without inflating its block where it is alone in its member: the member's extra
+field 'sl' says where the next one starts. Members without that field are inflated and dropped as
+they are read; a member may hold any number of records. Archives that are not compressed are read
+too; there Content-Length says where the next record is.
+
+Writing: each task writes files of bounded size under names of its own; when a job commits, the
+files of tasks that succeeded are named in a manifest of that job, and readers go by all manifests,
+so appends add up and what a lost executor or a repeated task leaves behind is never read.
+
+Defined cases: an archive without records, or a folder without archives, has no rows; a header
+field that a record lacks is null; a record that ends early is an error that names its place; a
+null html is an empty payload; pages of any length are one record; pages with a null page_id keep
+null; columns of pages beside page_id, url and html are not read.
 
 Options: path; max_file_bytes and level (writing); partition_bytes (reading).
 """
@@ -17,6 +24,7 @@ Options: path; max_file_bytes and level (writing); partition_bytes (reading).
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -40,7 +48,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from stepwright.llm.common import scratch_path, text_or_empty
+from stepwright.llm.common import materialise, scratch_path, text_or_empty
 
 #: Columns of records, and the header field that each comes from.
 HEADER_FIELDS = {
@@ -52,7 +60,9 @@ HEADER_FIELDS = {
     "date": "WARC-Date",
 }
 SCHEMA = ", ".join([*(f"{name} string" for name in HEADER_FIELDS), "content_length long", "payload binary"])
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
+#: The start of a member that gzip_member wrote: magic, flags, time and so on, length and name of the extra field.
+MEMBER_START = re.compile(rb"\x1f\x8b\x08\x04.{6}\x0c\x00sl\x08\x00", re.DOTALL)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http;msgtype=response"
 
@@ -91,15 +101,74 @@ def parse_header(head: bytes) -> dict[str, str]:
 
 
 @dataclass
-class FileGroup(InputPartition):
-    """Files that one task reads."""
+class FileRanges(InputPartition):
+    """Files that one task reads: path, and where the members that it reads start."""
 
-    files: list[str]
+    ranges: list[tuple[str, int, int]]
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    files: list[tuple[str, int]]
+
+
+class Member:
+    """A gzip member that starts at byte `at`, inflated as far as it is asked for."""
+
+    def __init__(self, source, start: bytes, at: int):
+        self.source, self.data, self.at = source, start, at
+        self.unpacker, self.out = zlib.decompressobj(31), bytearray()
+
+    def fill(self, n: int) -> None:
+        """Inflate until n bytes are there or the member ends."""
+        while len(self.out) < n and not self.unpacker.eof:
+            self.data = self.data or self.source.read(1 << 16)
+            more = self.unpacker.decompress(self.data, max(4096, n - len(self.out)))
+            if not more and not self.data and not self.unpacker.eof:
+                raise ValueError(f"a truncated record at byte {self.at}")
+            self.out += more
+            self.data = self.unpacker.unconsumed_tail
+
+    def head(self) -> bytes | None:
+        """The next record's header; None at the member's end."""
+        while True:
+            while self.out.startswith(b"\r\n"):
+                del self.out[:2]
+            end = self.out.find(b"\r\n\r\n")
+            if end >= 0:
+                found = bytes(self.out[:end])
+                del self.out[: end + 4]
+                return found
+            if self.unpacker.eof:
+                if self.out.strip():
+                    raise ValueError(f"a record without a header at byte {self.at}")
+                return None
+            self.fill(len(self.out) + 4096)
+
+    def block(self, n: int, wanted: bool) -> bytes | None:
+        """The next n bytes, or None where they are only passed over."""
+        if wanted:
+            self.fill(n)
+            found = bytes(self.out[:n])
+            del self.out[:n]
+            if len(found) < n:
+                raise ValueError(f"a truncated record at byte {self.at}")
+            return found
+        while n:
+            self.fill(min(n, 1 << 20))
+            if not self.out:
+                raise ValueError(f"a truncated record at byte {self.at}")
+            gone = min(n, len(self.out))
+            del self.out[:gone]
+            n -= gone
+        return None
+
+    def end(self) -> int:
+        """Where the next member starts; the rest of this one is inflated and dropped."""
+        while not self.unpacker.eof:
+            self.out.clear()
+            self.fill(1 << 16)
+        return self.source.tell() - len(self.unpacker.unused_data)
 
 
 def place_of(options) -> tuple[fs.FileSystem, str]:
@@ -125,29 +194,34 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[FileGroup]:
+    def partitions(self) -> list[FileRanges]:
         store, root = place_of(self.options)
-        if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as source:
-                found = [(f"{root}/{name}", size) for name, size in json.load(source)]
-        else:
-            found = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(root)) if i.path.endswith((".warc", ".warc.gz"))]
-        most, groups, room = int(self.options.get("partition_bytes", 32 << 20)), [], 0
-        for path, size in sorted(found):
-            if not groups or room < size:
+        listed = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        manifests = [i.path for i in listed if i.base_name.startswith(MANIFEST)]
+        most = int(self.options.get("partition_bytes", 32 << 20))
+        found: list[tuple[str, int, int]] = []
+        for path in manifests:
+            with store.open_input_stream(path) as source:
+                for name, size in json.load(source):
+                    found += [(f"{root}/{name}", a, min(a + most, size)) for a in range(0, size, most)]
+        if not manifests:  # of others' archives a member's length may not be known, so each is read from its start
+            found = [(i.path, 0, i.size) for i in listed if i.path.endswith((".warc", ".warc.gz"))]
+        groups, room = [], 0
+        for path, a, b in sorted(found):
+            if not groups or room < b - a:
                 groups.append([])
                 room = most
-            groups[-1].append(path)
-            room -= size
-        return [FileGroup(g) for g in groups]
+            groups[-1].append((path, a, b))
+            room -= b - a
+        return [FileRanges(g) for g in groups]
 
-    def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
         store, _ = place_of(self.options)
         columns: dict[str, list] = {n: [] for n in self.names}
         held = 0
-        for path in partition.files if partition else []:
+        for path, begin, until in partition.ranges if partition else []:
             with store.open_input_file(path) as source:
-                for header, payload in self.records(source):
+                for header, payload in self.records(source, self.first_member(source, begin), until):
                     for name in self.names:
                         if name == "payload":
                             columns[name].append(payload)
@@ -164,45 +238,54 @@ class WarcReader(DataSourceReader):
     def batch(self, columns: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, self.types[n]) for n, v in columns.items()], list(columns))
 
-    def records(self, source) -> Iterator[tuple[dict[str, str], bytes | None]]:
-        """Header and payload (None if not asked for) of the records that pass the filters."""
-        at, end = 0, source.size()
-        while at < end:
+    @staticmethod
+    def first_member(source, begin: int) -> int:
+        """The first byte from begin on where a member starts: its length leads to another member or to the end."""
+        if begin == 0:
+            return 0
+        size, at = source.size(), begin
+        while at < size:
+            source.seek(at)
+            window = source.read((1 << 16) + 24)
+            for found in MEMBER_START.finditer(window):
+                length = window[found.start() + 16 : found.start() + 20]
+                if len(length) == 4:
+                    follows = at + found.start() + struct.unpack("<I", length)[0]
+                    source.seek(min(follows, size))
+                    if follows == size or MEMBER_START.match(source.read(24)):
+                        return at + found.start()
+            at += 1 << 16
+        return size
+
+    def records(self, source, at: int, until: int) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """Header and payload (None if not asked for) of the records that pass the filters, of members that start before until."""
+        while at < until:
             source.seek(at)
             start = source.read(8192)
-            if not start.startswith(b"\x1f\x8b"):
-                header, payload, at = self.plain_record(source, start, at)
-                if header is not None:
-                    yield header, payload
+            if start.startswith(b"\x1f\x8b"):
+                at = yield from self.member_records(Member(source, start, at), start)
                 continue
-            skip = self.member_length(start)
-            head, unpacker = b"", zlib.decompressobj(31)
-            data = start
-            while b"\r\n\r\n" not in head:
-                more = unpacker.decompress(data, 4096)
-                head += more
-                data = unpacker.unconsumed_tail or (source.read(8192) if not more else b"")
-                if not more and not data:
-                    raise ValueError(f"a record without a header at byte {at}")
-            head, _, block = head.partition(b"\r\n\r\n")
+            header, payload, at = self.plain_record(source, start, at)
+            if header is not None:
+                yield header, payload
+
+    def member_records(self, member: Member, start: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """The records of a member; returns where the next one starts."""
+        packed, unpacked = self.member_lengths(start)
+        passed = 0
+        while (head := member.head()) is not None:
             header = parse_header(head)
             passes, wants_block = self.wants(header)
-            if skip and not wants_block:
-                at += skip
-            else:
-                if skip:  # the rest of the member in one read
-                    rest = source.read(max(0, at + skip - source.tell()))
-                    block += unpacker.decompress(data + rest)
-                    at += skip
-                else:
-                    while not unpacker.eof:
-                        block += unpacker.decompress(data)
-                        data = b"" if unpacker.eof else source.read(1 << 16)
-                        if not unpacker.eof and not data:
-                            raise ValueError(f"a truncated record at byte {at}")
-                    at = source.tell() - len(unpacker.unused_data)
+            n = int(header.get("content-length", 0))
+            passed += len(head) + 8 + n
+            if packed and not wants_block and passed >= unpacked:  # the last record of its member
+                if passes:
+                    yield header, None
+                return member.at + packed
+            block = member.block(n, wants_block)
             if passes:
                 yield header, self.payload(header, block) if wants_block else None
+        return member.end()
 
     def wants(self, header: dict[str, str]) -> tuple[bool, bool]:
         """Does the record pass the filters, and is its block needed?"""
@@ -223,15 +306,18 @@ class WarcReader(DataSourceReader):
         payload = None
         if wants_block:
             source.seek(begin)
-            payload = self.payload(header, source.read(end - begin))
+            block = source.read(end - begin)
+            if len(block) < end - begin:
+                raise ValueError(f"a truncated record at byte {at}")
+            payload = self.payload(header, block)
         return header if passes else None, payload, end + 4
 
     @staticmethod
-    def member_length(start: bytes) -> int:
-        """The packed length in the member's extra field, or 0."""
+    def member_lengths(start: bytes) -> tuple[int, int]:
+        """The packed and unpacked lengths in the member's extra field, or 0 and 0."""
         if start[3] & 4 and start[12:14] == b"sl":
-            return struct.unpack("<I", start[16:20])[0]
-        return 0
+            return struct.unpack("<II", start[16:24])
+        return 0, 0
 
     @staticmethod
     def payload(header: dict[str, str], block: bytes) -> bytes:
@@ -240,8 +326,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.options = dict(options)
+    def __init__(self, options, overwrite: bool = False):
+        self.options, self.overwrite = dict(options), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = place_of(self.options)
@@ -267,8 +353,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = place_of(self.options)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as sink:
+        before = [i.path for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(MANIFEST)] if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as sink:
             sink.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        for path in before:
+            store.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = place_of(self.options)
@@ -289,7 +378,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -362,6 +451,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
             F.sha2("payload", 256).alias("payload_digest"),
         )
     )
+    responses = materialise(responses, "warc-responses")  # payloads are inflated and hashed once
     revisits = read_warc(spark, path, ["record_type", "record_id", "refers_to", "payload_digest"]).where("record_type = 'revisit'")
     firsts = (
         responses.where(F.col("payload_bytes") > 0)

@@ -3,6 +3,7 @@
 import random
 
 import odd
+from pyspark.sql import functions as F
 
 from stepwright.llm import toxicity
 
@@ -70,3 +71,15 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert scores[0] == scores[1] and len(scores[0]) == 123
     got = {r["doc_id"]: r["h"] for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """Labelled ids that many rows repeat don't make the sample larger than max_rows."""
+    rows = [(i % 7, f"text {i % 50}") for i in range(600)] + [(100 + i, f"other {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(7), *range(100, 180)]], "doc_id long, toxic int")
+    for most in (1, 40, 10_000):
+        sample = toxicity.training_sample(docs, labels, most, 11)
+        ids = {r["doc_id"] for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+        assert sample.columns == ["doc_id", "text", "toxic"]
+        assert sample.count() == min(most, sum(r[0] in ids for r in rows))

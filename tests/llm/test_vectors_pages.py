@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stepwright.llm import ann, warc
@@ -118,3 +119,70 @@ def test_archives_without_compression(tmp_path):
     assert got == [{"record_id": r["record_id"], "payload": r.get("payload")} for r in records]
     assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")])) == []
     assert [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == ["<urn:page:9>"]
+
+
+def read_all(path, columns=("record_id", "payload"), wanted=None, **options):
+    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+    schema = StructType([StructField(c, BinaryType() if c == "payload" else StringType()) for c in columns])
+    reader = warc.WarcReader({"path": str(path), **options}, schema)
+    if wanted:
+        assert list(reader.pushFilters([warc.EqualTo(("record_id",), wanted)])) == []
+    parts = reader.partitions()
+    return [r for p in parts for b in reader.read(p) for r in b.to_pylist()], parts
+
+
+def warc_records(n, size=300):
+    return [{"record_type": "response", "record_id": f"<urn:page:{i}>", "payload": bytes([65 + i % 26]) * (size + i)} for i in range(n)]
+
+
+def test_appends_add_up(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    pages = [(i, f"u{i}", f"<p>{i}</p>" * 40) for i in range(3)]
+    for page in pages:
+        warc.write_pages(spark.createDataFrame([page], "page_id long, url string, html string"), folder)
+    (tmp_path / "w" / "part-left-by-a-lost-task.warc.gz").write_bytes(warc.gzip_member(warc.record_bytes(warc_records(1)[0]), 1))
+    got = warc.read_warc(spark, folder).collect()
+    assert sorted((r["record_id"], r["payload"].decode()) for r in got) == [(f"<urn:page:{i}>", h) for i, _, h in pages]
+    warc.page_records(spark.createDataFrame([pages[1]], "page_id long, url string, html string")).write.format("warc").mode("overwrite").save(folder)
+    assert [r["record_id"] for r in warc.read_warc(spark, folder).collect()] == ["<urn:page:1>"]
+
+
+def test_member_with_several_records(tmp_path):
+    """One member with three records, with and without its lengths, beside members of one record."""
+    import gzip
+
+    rows = warc_records(6, 20_000)
+    three = b"".join(map(warc.record_bytes, rows[:3]))
+    for n, first in enumerate((gzip.compress(three), warc.gzip_member(three, 1))):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / "a.warc.gz").write_bytes(first + gzip.compress(warc.record_bytes(rows[3])) + warc.gzip_member(warc.record_bytes(rows[4]), 1) + gzip.compress(warc.record_bytes(rows[5])))
+        assert read_all(folder)[0] == [{"record_id": r["record_id"], "payload": r["payload"]} for r in rows]
+        assert [r["record_id"] for r in read_all(folder, ("record_id",))[0]] == [r["record_id"] for r in rows]
+        for r in rows:
+            assert read_all(folder, wanted=r["record_id"])[0] == [{"record_id": r["record_id"], "payload": r["payload"]}]
+
+
+def test_truncated_archives_are_errors(tmp_path):
+    import gzip
+
+    records = b"".join(map(warc.record_bytes, warc_records(2)))
+    for n, data in enumerate((gzip.compress(records)[:-40], gzip.compress(records[:-200]), records[:-200], gzip.compress(records + b"loose words"))):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / ("a.warc" if n == 2 else "a.warc.gz")).write_bytes(data)
+        with pytest.raises(ValueError, match="a (truncated record|record without a header) at byte"):
+            read_all(folder)
+
+
+@pytest.mark.parametrize("most", [100, 999, 5000])
+def test_files_are_split_at_members(spark, tmp_path, most):
+    """Ranges of any size give each record once, and no range gives another's."""
+    rng = random.Random(most)
+    html = lambda: "".join(rng.choice("abcdefgh<>") for _ in range(rng.randrange(10, 900)))
+    pages = spark.createDataFrame([(i, "u", html()) for i in range(120)], "page_id long, url string, html string").coalesce(1)
+    warc.write_pages(pages, f"file://{tmp_path}/w")
+    got, parts = read_all(tmp_path / "w", partition_bytes=str(most))
+    assert sorted(r["record_id"] for r in got) == sorted(f"<urn:page:{i}>" for i in range(120)) and len(parts) > 5
+    assert all(b - a <= most for p in parts for _, a, b in p.ranges)
