@@ -54,12 +54,21 @@ def answer_text(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def balanced(depth: int) -> str:
+    """Pattern of a text whose braces balance, nested so deep at most."""
+    return r"[^{}]*+" if depth == 0 else rf"(?:[^{{}}]++|\{{{balanced(depth - 1)}\}})*+"
+
+
+#: The content of a box with balanced braces.
+BOX = rf"\\boxed\s*\{{({balanced(8)})\}}"
+
+
 def gold_in_solution(text: Column) -> Column:
-    """Content of the last box; else of the last $...$ in the last line that is not empty; else that line."""
+    """Content of the last box, with the braces in it; else of the last $...$ in the last line that is not empty; else that line."""
     last = lambda t, pattern: F.try_element_at(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.lit(-1))
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n?|\n"), lambda s: F.trim(s)), lambda s: s != "")
     line = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
-    return F.coalesce(F.trim(last(text, r"\\boxed\{([^}]*)\}")), F.trim(last(line, r"\$([^$]+)\$")), line)
+    return F.coalesce(F.trim(last(text, BOX)), F.trim(last(line, r"\$([^$]+)\$")), line)
 
 
 def with_raw_fallback(df: DataFrame, names: list[str]) -> DataFrame:

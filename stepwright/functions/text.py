@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = r"(?i)\bstep\s*\d+\s*:"
+#: Marks the end of a step in raw annotated text. Fixed value.
+RAW_MARKER = " ки"
 ANSWER = r"(?i)the\s+answer\s+is\s*:"
 
 
@@ -25,8 +27,9 @@ def squeeze_spaces(text: Column) -> Column:
 
 
 def question_of(text: Column) -> Column:
-    """What stands before the first step or answer clause."""
-    return F.trim(F.regexp_extract(clean_spaces(text), r"(?is)^(.*?)(?:\bstep\s*\d+\s*:|the\s+answer\s+is\s*:|$)", 1))
+    """What stands before the first step, answer clause, step marker of raw text or calculation (`<<`)."""
+    before = F.regexp_extract(clean_spaces(text), r"(?is)^(.*?)(?:\bstep\s*\d+\s*:|\bthe\s+answer\s+is\s*:|$)", 1)
+    return F.regexp_replace(F.substring_index(F.substring_index(before, RAW_MARKER, 1), "<<", 1), r"\A\s+|\s+\z", "")
 
 
 def strip_sign(text: Column) -> Column:

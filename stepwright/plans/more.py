@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepwright.functions import answers as A
 from stepwright.functions import records as R
+from stepwright.functions import text as X
 from stepwright.operators import contributions as K
 from stepwright.operators import merge as M
 from stepwright.operators import metrics, normalize, rewards, select, stats, steps
@@ -344,3 +346,79 @@ def dev_budget(spark, sf_dir):
     SELECT CAST(CASE WHEN shifted THEN c1 ELSE c0 END AS BIGINT) AS "column", CAST(CASE WHEN shifted THEN r1 ELSE r0 END AS BIGINT) AS "row", shifted, count(*) AS n FROM d GROUP BY 1, 2, 3""", "li")
 def hexagon_counts(spark, sf_dir):
     return stats.hexagon_counts(V.line_steps(spark, sf_dir), "quantity", "price", 20)
+
+
+# -- canonical answers -------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, p_size AS n, CASE p_partkey % 12 WHEN 9 THEN false WHEN 10 THEN p_size = 3 WHEN 11 THEN p_size % 2 = 0 ELSE true END AS equal FROM part""")
+def answer_keys(spark, sf_dir):
+    """Two spellings of an answer: have they one key, and are they graded equal? Sums, equations up to
+    a factor, radicals, fractions of polynomials, unions of intervals, nested sets, a plus-minus,
+    matrices; and a pair that agrees at five points only, near misses of equations and of unions."""
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 12
+    text = lambda *parts: F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    more = lambda k: (F.col("p_size") + k).cast("string")
+    pairs = [
+        (text("x+", n), text(n, " + x")),
+        (text("2x=", (F.col("p_size") * 2).cast("string")), text("$x=", n, "$")),
+        (text(r"\frac{", n, r"}{\sqrt{2}}"), text(r"\frac{", n, r"\sqrt2}{2}")),
+        (text(r"\frac{x^2-", (F.col("p_size") * F.col("p_size")).cast("string"), "}{x-", n, "}"), text("x+", n)),
+        (text("(0,", n, r")\cup[", n, ",", more(1), ")"), text("(0,", more(1), ")")),
+        (text(r"\{1,\{", n, r",x\}\}"), text(r"\{\{x, ", n, r"\}, 1\}")),
+        (text(r"1 \pm \sqrt{", n, "}"), text(r"\{1-\sqrt{", n, r"}, 1+\sqrt{", n, r"}\}")),
+        (text(r"\begin{pmatrix} 1/2 \\ x+", n, r" \end{pmatrix}"), text(r"\begin{pmatrix} .5 \\ ", n, r"+x \end{pmatrix}")),
+        (text(r"(x+1)^2+", n), text("x^2+2x+", more(1))),
+        (text("(x+2)(x+1)(x-1)(x-2)(x-3)+", n, "x"), text(n, "x")),
+        (text("2x=", more(1)), text("x=2")),
+        (text("(0,", n, r")\cup[", F.floor(F.col("p_size") / 2).cast("string"), ",", n, "]"), text("(0,", F.when(F.col("p_size") % 2 == 0, n).otherwise(more(1)), "]")),
+    ]
+    either = lambda side: F.coalesce(*[F.when(kind == i, p[side]) for i, p in enumerate(pairs)])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("n"), either(0).alias("a"), either(1).alias("b"))
+    rows = rows.withColumns({"same_key": A.answer_key_column(F.col("a")) == A.answer_key_column(F.col("b")), "graded": A.grade_column(F.col("a"), F.col("b"))})
+    # both ways have to say the same; null where they differ
+    return rows.select("p_partkey", "n", F.when(F.col("same_key") == F.col("graded"), F.col("graded")).alias("equal"))
+
+
+@query("""SELECT p_size AS n, count(*) AS votes, CAST(count(DISTINCT p_partkey % 3) AS BIGINT) AS spellings FROM part GROUP BY p_size""")
+def votes_by_key(spark, sf_dir):
+    """Answers in three spellings, counted by their canonical key."""
+    n, kind = F.col("p_size"), F.col("p_partkey") % 3
+    said = (
+        F.when(kind == 0, F.concat(F.lit(r"\frac{"), n.cast("string"), F.lit("}{4}x+1"))).when(kind == 1, F.concat(F.lit("1 + "), (n / 4).cast("string"), F.lit("x")))
+        .otherwise(F.concat(F.lit(r"\frac{"), (n * 2).cast("string"), F.lit("x+8}{8}")))
+    )
+    rows = table(spark, sf_dir, "part").select(n.alias("n"), kind.alias("kind"), A.answer_key_column(said).alias("key"))
+    return rows.groupBy("key").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("votes"), F.countDistinct("kind").alias("spellings")).drop("key")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN 'NUM:' || CAST(p_size // 2 AS VARCHAR) || '/1' ELSE 'NUM:' || CAST(p_size AS VARCHAR) || '/2' END
+    WHEN 1 THEN 'NUM:1/2' WHEN 2 THEN 'NUM:-1/2' WHEN 3 THEN CAST(p_size AS VARCHAR) || '/0' WHEN 4 THEN '\\sqrt{' || CAST(p_size AS VARCHAR) || '}' ELSE NULL END AS key FROM part""")
+def number_keys(spark, sf_dir):
+    """Numbers without a whole part, fractions over zero and roots, which are no numbers, and nulls."""
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    said = (
+        F.when(kind == 0, F.concat(n, F.lit("/2"))).when(kind == 1, F.lit("the answer is: .5")).when(kind == 2, F.lit("-.5"))
+        .when(kind == 3, F.concat(n, F.lit("/0"))).when(kind == 4, F.concat(F.lit(r"\sqrt{"), n, F.lit("}")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", A.canonical_key(said).alias("key"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '\\frac{' || CAST(p_size AS VARCHAR) || '}{2}' WHEN 1 THEN '(1, \\{' || p_brand || '\\})' ELSE p_brand END AS gold FROM part""")
+def nested_box_gold(spark, sf_dir):
+    """Golds in boxes with braces inside, and with braces that stay open."""
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.lit(r"so \boxed{7} or \boxed{\frac{"), n, F.lit("}{2}}. end")))
+        .when(kind == 1, F.concat(F.lit(r"= \boxed{ (1, \{"), F.col("p_brand"), F.lit(r"\}) }")))
+        .otherwise(F.concat(F.lit("\\boxed{open\n$"), F.col("p_brand"), F.lit("$")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", R.gold_in_solution(text).alias("gold"))
+
+
+@query("""SELECT p_partkey, p_name || CASE WHEN p_partkey % 4 < 4 THEN ' how many?' END AS question FROM part""")
+def questions_of_raw(spark, sf_dir):
+    """Questions before a step, an answer clause, a raw step marker and a calculation."""
+    kind = F.col("p_partkey") % 4
+    tail = F.when(kind == 0, F.lit(" Step 1: a <<1+1=2>>")).when(kind == 1, F.lit("\nThe answer is: 3")).when(kind == 2, F.lit(" ки Step 1: b")).otherwise(F.lit(" <<3*4=12>> left"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.question_of(F.concat(F.col("p_name"), F.lit(" how many?"), tail)).alias("question"))
