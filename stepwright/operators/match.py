@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -55,24 +56,100 @@ def block_ratio(a: str, b: str) -> float:
 RATIOS = {"indel": indel_ratio, "blocks": block_ratio}
 
 
+def bag_bound(a: str, b: str) -> float:
+    """What no similarity of the two can pass: twice the characters that they share in any order."""
+    return 1.0 if not a and not b else 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+
+def similarity_udf(ratio: str | Callable[[str, str], float] = "indel", least: float = 0.0):
+    """A pandas UDF of two text columns; null where the similarity can't or doesn't reach least.
+
+    It counts as not deterministic, so that no plan moves it to where a pair stands more than once.
+    """
+    measure = RATIOS[ratio] if isinstance(ratio, str) else ratio
+
+    def one(p: str | None, q: str | None) -> float | None:
+        if p is None or q is None or (least > 0 and bag_bound(p, q) < least):
+            return None
+        found = measure(p, q)
+        return found if found >= least else None
+
+    @F.pandas_udf("double")
+    def similarity(found: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in found:
+            yield pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return similarity.asNondeterministic()
+
+
+def gram_size(least: float) -> int:
+    """Characters of the grams that find all pairs of this ratio; 0 where grams can't.
+
+    Texts of ratio `least` differ by at most d = (1 - least) * (sum of lengths) inserted or deleted
+    characters, which is at most f = 2 * (1 - least) / least times the length of either. Each spoils q
+    grams at most. With q * f <= 1/2 every text that allows a difference has grams to spare.
+    """
+    f = 2 * (1 - least) / least
+    return 6 if f <= 1 / 12 else int(0.5 / f)
+
+
+def rare_grams(texts: DataFrame, q: int, least: float) -> DataFrame:
+    """texts (side, block, id, text) -> side, block, id, size, most, gram, pos: the rarest grams of each text.
+
+    most: characters that a text of the ratio may differ by. Of a text's grams, at most q * most
+    are spoilt, so of any two texts of the ratio the q * most + 1 first, in one order for all
+    texts, have one in common that is not, and its places differ by `most` at most. Rare
+    grams come first, so what stands in all texts is taken last.
+    """
+    size = F.length("text")
+    most = F.floor(F.lit(2 * (1 - least) / least) * size + 1e-9).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), size - q + 1), lambda i: F.substr(F.col("text"), i, F.lit(q)))
+    rows = texts.where(most >= 1).select("side", "block", "id", size.alias("size"), most.alias("most"), F.posexplode(cut).alias("pos", "gram"))
+    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("side", "block", "id").orderBy("often", "gram", "pos"))
+    return rows.join(counts, "gram").withColumn("place", place).where(F.col("place") <= q * F.col("most") + 1).drop("often", "place")
+
+
+def near_texts(left: DataFrame, right: DataFrame, least: float, ratio: str | Callable[[str, str], float] = "indel") -> DataFrame:
+    """block, left_text, right_text and similarity of all pairs of texts of a block that reach the ratio.
+
+    left, right: block and text; repeated rows count once, null texts have no pairs. From a ratio of
+    8/9 on pairs are found by their rare grams and each is compared once; below, every pair of a
+    block whose lengths allow the ratio is. No pair is lost.
+    """
+    sides = [df.select(F.lit(i).alias("side"), "block", "text").where("text is not null").distinct() for i, df in enumerate((left, right))]
+    q = gram_size(least)
+    bound = lambda a, b: 2 * F.least(a, b) >= F.lit(least) * (a + b)
+    names = lambda df, side: df.select("block", F.col("text").alias(f"{side}_text"))
+    if q < 2:
+        pairs = names(sides[0], "left").join(names(sides[1], "right"), "block").where(bound(F.length("left_text"), F.length("right_text")))
+    else:
+        both = sides[0].unionByName(sides[1]).withColumn("id", F.unhex(F.sha2("text", 256)))
+        grams = rare_grams(both, q, least)
+        mine = grams.where("side = 0").select("block", "gram", F.col("id").alias("a"), F.col("size").alias("n"), F.col("most").alias("d"), F.col("pos").alias("i"))
+        theirs = grams.where("side = 1").select("block", "gram", F.col("id").alias("b"), F.col("size").alias("m"), F.col("most").alias("e"), F.col("pos").alias("j"))
+        found = mine.join(theirs, ["block", "gram"]).where(bound(F.col("n"), F.col("m")) & (F.abs(F.col("i") - F.col("j")) <= F.least("d", "e")))
+        # equal texts may be too short to differ, and have no grams then
+        equal = both.groupBy("block", "id").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("block", F.col("id").alias("a"), F.col("id").alias("b"))
+        found = found.select("block", "a", "b").unionByName(equal).distinct()
+        text = lambda side, key, name: both.where(F.col("side") == side).select("block", F.col("id").alias(key), F.col("text").alias(name))
+        pairs = found.join(text(0, "a", "left_text"), ["block", "a"]).join(text(1, "b", "right_text"), ["block", "b"]).drop("a", "b")
+    compared = pairs.withColumn("similarity", similarity_udf(ratio, least)("left_text", "right_text"))
+    return compared.where(F.col("similarity").isNotNull())
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, block: str, text: str, least: float, ratio: str = "indel") -> DataFrame:
     """Pairs within a block whose texts reach the ratio: left_*, right_* columns and similarity.
 
-    A pair can only reach it if twice the shorter length over the sum of lengths does, which is
-    tested before any text is compared.
+    Each two different texts are compared once, see near_texts.
     """
     l = left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns])  # noqa: E741
     r = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
-    a, b = F.length(f"left_{text}"), F.length(f"right_{text}")
-    bound = 2 * F.least(a, b) >= F.lit(least) * (a + b)
-    pairs = l.join(r, (F.col(f"left_{block}") == F.col(f"right_{block}")) & bound)
-    measure = RATIOS[ratio]
-
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([measure(p, q) for p, q in zip(x, y)])
-
-    return pairs.withColumn("similarity", similarity(f"left_{text}", f"right_{text}")).where(F.col("similarity") >= least)
+    named = lambda df: df.select(F.col(block).alias("block"), F.col(text).alias("text"))
+    near = near_texts(named(left), named(right), least, ratio).select(
+        F.col("block").alias(f"left_{block}"), F.col("block").alias(f"right_{block}"), F.col("left_text").alias(f"left_{text}"), F.col("right_text").alias(f"right_{text}"), "similarity"
+    )
+    return l.join(near, [f"left_{block}", f"left_{text}"]).join(r, [f"right_{block}", f"right_{text}"]).select(*l.columns, *r.columns, "similarity")
 
 
 def best_similar(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -82,31 +159,10 @@ def best_similar(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def fuzzy_questions(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """__q, match_source, __hit and similarity: questions and those of the index that reach the ratio.
-
-    Texts that reach it differ by at most (1 - least) * (sum of lengths) inserted or deleted
-    characters. So a question of the index, cut into one piece more than that, has a piece that
-    stands unchanged in the other text: pieces are the blocks, and no match is lost.
-    """
-    if not 2 / 3 < least <= 1:
-        raise ValueError("pieces need a ratio above 2/3")
-    length = F.length("__hit")
-    pieces = F.floor(F.lit(2 * (1 - least) / least) * length + 1e-9).cast("int") + 1
-    cut = lambda i: F.floor(length * i / pieces).cast("int")
-    piece = lambda i: F.substr(F.col("__hit"), cut(i) + 1, cut(i + 1) - cut(i))
-    index = known.select("match_source", F.col("__q").alias("__hit")).distinct()
-    # with one piece only equal texts are near enough
-    blocks = index.where(pieces > 1).select("*", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), piece)).alias("__piece")).distinct()
-    widths = sorted(r[0] for r in blocks.select(F.length("__piece")).distinct().collect())
-    if not widths:
-        return index.join(asked.select("__q"), F.lit(False)).withColumn("similarity", F.lit(0.0))
-    places = lambda w: F.sequence(F.lit(1), F.greatest(F.length("__q") - w + 1, F.lit(1)))
-    parts_of = lambda w: F.transform(places(w), lambda i: F.substr(F.col("__q"), i, F.lit(w)))
-    parts = F.flatten(F.array(*[parts_of(w) for w in widths]))
-    spots = asked.select("__q").distinct().select("__q", F.explode(F.array_distinct(parts)).alias("__piece"))
-    a, b = F.length("__q"), length
-    pairs = spots.join(blocks, "__piece").where(2 * F.least(a, b) >= F.lit(least) * (a + b)).select("__q", "match_source", "__hit").distinct()
-    return pairs.withColumn("similarity", similarity_udf()("__q", "__hit")).where(F.col("similarity") >= least)
+    """__q, match_source, __hit and similarity: questions and those of the index that reach the ratio."""
+    named = lambda df: df.select(F.lit(0).alias("block"), F.col("__q").alias("text"))
+    near = near_texts(named(asked), named(known), least).select(F.col("left_text").alias("__q"), F.col("right_text").alias("__hit"), "similarity")
+    return near.join(known.select("match_source", F.col("__q").alias("__hit")).distinct(), "__hit").select("__q", "match_source", "__hit", "similarity")
 
 
 def attach_gold(records: DataFrame, index: DataFrame, routes: dict[str, list[str]], otherwise: list[str], least: float = 0.95) -> DataFrame:
@@ -149,15 +205,3 @@ def match_report(rows: DataFrame) -> DataFrame:
 def unfinished(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Input rows without a finished row of the same key."""
     return inputs.join(done.select(*keys).distinct(), keys, "left_anti")
-
-
-def similarity_udf(ratio: str = "indel"):
-    """A pandas UDF of two text columns."""
-    measure = RATIOS[ratio]
-
-    @F.pandas_udf("double")
-    def similarity(found: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in found:
-            yield pd.Series([None if p is None or q is None else measure(p, q) for p, q in zip(x, y)])
-
-    return similarity

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.text import squeeze_spaces
-from stepwright.operators.match import record_key, similarity_udf, unique_by
+from stepwright.operators.match import near_texts, record_key, unique_by
 from stepwright.operators.rewards import unit_draw
 
 
@@ -20,12 +20,13 @@ def fuzzy_of(missing: DataFrame, other: DataFrame, record: str, order: str, leas
     """Per record without an exact partner the most similar solution of the same question, the first
     in order among equals, if its similarity reaches least.
 
-    Only pairs whose lengths allow the similarity are compared.
+    Different solutions of a question are found by their rare grams and compared once.
     """
     held = other.select("__q", F.col("__text").alias("__other_text"), "__reward", F.col(order).alias("__place"))
-    a, b = F.length("__text"), F.length("__other_text")
-    pairs = missing.select(record, "__q", "__text").join(held, "__q").where(2 * F.least(a, b) >= F.lit(least) * (a + b))
-    pairs = pairs.withColumn("similarity", similarity_udf("blocks")("__text", "__other_text")).where(F.col("similarity") >= least)
+    named = lambda df, text: df.select(F.col("__q").alias("block"), F.col(text).alias("text"))
+    near = near_texts(named(missing, "__text"), named(held, "__other_text"), least, "blocks")
+    near = near.select(F.col("block").alias("__q"), F.col("left_text").alias("__text"), F.col("right_text").alias("__other_text"), "similarity")
+    pairs = missing.select(record, "__q", "__text").join(near, ["__q", "__text"]).join(held, ["__q", "__other_text"])
     best = F.row_number().over(Window.partitionBy(record).orderBy(F.desc("similarity"), "__place"))
     return pairs.withColumn("__best", best).where("__best = 1").select(record, "__reward", "similarity")
 

@@ -750,6 +750,25 @@ def match_report(spark, sf_dir):
     return match.match_report(gold_attach_priority(spark, sf_dir))
 
 
+@query("""WITH k AS (SELECT c_custkey AS record_id, c_custkey % 4 AS kind, md5(CAST(c_custkey AS VARCHAR)) AS known, c_mktsegment AS task, c_name FROM customer)
+    SELECT record_id, CASE kind WHEN 3 THEN NULL WHEN 2 THEN 'b' || c_name ELSE 'a' || c_name END AS gold_answer, CASE kind WHEN 3 THEN 'none' WHEN 2 THEN 'b' ELSE 'a' END AS match_source,
+    CASE kind WHEN 0 THEN 'exact' WHEN 3 THEN 'none' ELSE 'fuzzy' END AS match_type FROM k""")
+def gold_attach_fuzzy(spark, sf_dir):
+    """Questions that stand in the index, that differ by a character or two, that only the second
+    source has nearly, and that are new; all begin alike."""
+    key, kind = F.col("c_custkey"), F.col("c_custkey") % 4
+    opening = F.lit("Find the value of the number ")
+    known = F.concat(opening, F.md5(key.cast("string")))
+    said = (
+        F.when(kind == 0, known).when(kind == 1, F.concat(known, F.lit(" ?"))).when(kind == 2, F.concat(F.lit("  "), F.translate(known, "v", "")))
+        .otherwise(F.concat(opening, F.md5(F.concat(F.lit("new "), key.cast("string")))))
+    )
+    rows = table(spark, sf_dir, "customer").select(key.alias("record_id"), F.lit("Math").alias("task"), said.alias("question"))
+    source = lambda name, kinds: table(spark, sf_dir, "customer").where(kind.isin(*kinds)).select(F.lit(name).alias("source"), known.alias("question"), F.concat(F.lit(name), "c_name").alias("answer"))
+    index = source("a", (0, 1)).unionByName(source("b", (0, 1, 2)))
+    return match.attach_gold(rows, index, {"math": ["a", "b"]}, ["a"]).select("record_id", "gold_answer", "match_source", "match_type")
+
+
 # -- text, answers, heads ----------------------------------------------------------------------
 
 
