@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-WRAPPERS = ("records", "data", "items")
+from stepwright.sources.ranges import WRAPPERS, read_ranges
+
 MODES = {"strict": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}
 
 
@@ -25,13 +23,12 @@ def first_character(spark: SparkSession, path: str) -> str:
 def read_records(spark: SparkSession, path: str, schema: StructType | str, mode: str = "skip") -> DataFrame:
     """Records of a JSON array or of JSON lines, told apart by the first character.
 
-    mode: strict raises at the first bad line, skip drops bad lines, keep has them in
+    mode: strict raises at the first bad line, skip drops bad lines, keep has bad lines in
     _corrupt_record if the schema names that column. Compressed files are read by their suffix.
+    Arrays and objects over several lines are read in ranges by many tasks.
     """
     reader = spark.read.schema(schema).option("mode", MODES[mode])
-    if first_character(spark, path) == "[":
-        return reader.option("multiLine", True).json(path)
-    if whole_object(spark, path):
+    if first_character(spark, path) == "[" or whole_object(spark, path):
         kind = schema if isinstance(schema, str) else schema.simpleString()
         return read_damaged(spark, [path], kind, skip=mode != "strict").drop("source_file")
     return reader.json(path)
@@ -71,65 +68,9 @@ def read_folder(spark: SparkSession, folder: str, schema: StructType | str, leav
     return rows.withColumn("file_key", natural_key(F.col("source_file")))
 
 
-def objects_in(text: str, skip: bool = True) -> Iterator[dict]:
-    """Objects of a damaged text: JSON, a wrapper of records, objects one after another, or rows
-    as Python literals; what can't be read is passed over, or raises."""
-    text = text.lstrip("﻿").strip()
-    decoder, at = json.JSONDecoder(), 0
-    while at < len(text):
-        if text[at] in " \t\r\n,[]":
-            at += 1
-            continue
-        try:
-            found, at = decoder.raw_decode(text, at)
-        except ValueError:
-            found, end = literal_at(text, at)
-            if found is None and not skip:
-                raise ValueError(f"no object at character {at}") from None
-            at = end
-        if isinstance(found, dict):
-            inner = next((found[w] for w in WRAPPERS if isinstance(found.get(w), list)), None)
-            yield from (x for x in ([found] if inner is None else inner) if isinstance(x, dict))
-
-
-def literal_at(text: str, start: int) -> tuple[dict | None, int]:
-    """The Python literal in balanced braces at start, and where to go on."""
-    depth, quote, i = 0, "", start
-    while i < len(text):
-        c = text[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"'":
-            quote = c
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if depth == 0:
-                try:
-                    found = ast.literal_eval(text[start : i + 1])
-                    return (found if isinstance(found, dict) else None), i + 1
-                except (ValueError, SyntaxError):
-                    return None, i + 1
-        elif c == "\n" and depth <= 0:
-            return None, i + 1
-        i += 1
-    line = text.find("\n", start)
-    return None, len(text) if line < 0 else line + 1
-
-
 def read_damaged(spark: SparkSession, paths: list[str], schema: StructType | str, skip: bool = True) -> DataFrame:
-    """Records of whole damaged files (each must fit one task), parsed by the given schema."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), "value")
-
-    def parse(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in found:
-            rows = [(name, json.dumps(o)) for name, text in zip(frame["source_file"], frame["value"]) for o in objects_in(text, skip)]
-            yield pd.DataFrame(rows, columns=["source_file", "object"])
-
-    kind = schema if isinstance(schema, str) else schema.simpleString()
-    return files.mapInPandas(parse, "source_file string, object string").select("source_file", F.from_json("object", kind).alias("r")).select("source_file", "r.*")
+    """Records of damaged or wrapped files with the file's name, see read_ranges."""
+    return read_ranges(spark, paths, schema, skip).drop("line")
 
 
 def write_lines(df: DataFrame, path: str, by: str | None = None) -> None:
