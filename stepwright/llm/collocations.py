@@ -9,7 +9,8 @@ the counts in the corpus. A phrase is extended depth first, first words in batch
 
 Counts never grow as a phrase does, so words below the threshold leave the bitmaps first, and only
 pairs that reach it over all shards are extended further. Both decisions are joins: nothing that
-grows with the vocabulary is broadcast, and a task holds one shard.
+grows with the vocabulary is broadcast. A shard's bitmaps travel as one row, with the list of what
+still counts in the shard beside it, and a task holds one shard.
 
 Defined cases: a null text is empty; a null lang is `und`, one language with rows that say so; a
 text without words gives nothing; repeated rows each count; a document longer than a shard is cut
@@ -19,7 +20,7 @@ columns beside text and lang are not read.
 
 from __future__ import annotations
 
-import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwright.llm.common import map_texts_in_batches, materialise, maybe_among, release, settle
+from stepwright.llm.common import free_shuffles, map_texts_in_batches, materialise, maybe_among, release, settle
 
-BORDER = re.compile(r"[.,;:!?\x0A-\x0D]")
-BLANKS = re.compile(r"[\x20\x09]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A-Z in lower case, borders of pieces as a line's end, and tabs as blanks.
+READ_AS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", "abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Words of a shard: bounds what a task holds. Counts do not depend on it.
 SHARD_WORDS = 1 << 21
 #: Entries that one batch of first words may expand to.
@@ -40,15 +40,17 @@ BATCH = 1 << 20
 #: Parts in which a language's candidates are ranked before the parts' best are ranked together.
 RANK_PARTS = 64
 
-BITMAPS = "shard long, lang string, word string, ones long, places binary, bits binary"
+#: A row for each word of a shard with its number there and its count, and one with the shard's bitmaps.
+SHARDS = "shard long, lang string, word string, local int, ones long, bitmaps binary"
+HEAD = struct.Struct("<QQQ")
 
 
 # -- compressed bitmaps
 
 
 def packed(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bitmaps of all keys: key, byte number and byte, for the bytes that are not zero, in that order."""
-    order = np.lexsort((positions, keys))
+    """Bitmaps of all keys, from ascending positions: key, byte number and byte, for the bytes that are not zero."""
+    order = np.argsort(keys, kind="stable")
     keys, positions = keys[order], positions[order]
     byte = positions >> 3
     first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (byte[1:] != byte[:-1]))))
@@ -56,6 +58,30 @@ def packed(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], byte[first], bits
 
 
+def pressed(keys: np.ndarray, byte: np.ndarray, bits: np.ndarray, n_keys: int) -> bytes:
+    """Bitmaps of keys 0 to n_keys - 1 as bytes: entries of each key, gaps between byte numbers, bytes."""
+    gaps = np.diff(byte, prepend=0)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    gaps[first] = byte[first]
+    raw = np.bincount(keys, minlength=n_keys).astype("<u4").tobytes() + gaps.astype("<u4").tobytes() + bits.tobytes()
+    return HEAD.pack(n_keys, len(keys), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpressed(data: bytes, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of the chosen keys, numbered by their order in chosen."""
+    n_keys, n, size = HEAD.unpack_from(data)
+    raw = pa.decompress(pa.py_buffer(data)[HEAD.size :], decompressed_size=size, codec="zstd")
+    sizes = np.frombuffer(raw, "<u4", n_keys).astype(np.int64)
+    total = np.cumsum(np.frombuffer(raw, "<u4", n, 4 * n_keys), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    before = np.where(ends > sizes, total[np.maximum(ends - sizes, 1) - 1], 0)  # the sum of gaps of the keys before
+    number = np.full(n_keys, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    keep = np.repeat(number >= 0, sizes)
+    byte = (total - np.repeat(before, sizes))[keep].astype(np.int32)
+    return np.repeat(number, sizes)[keep], byte, np.frombuffer(raw, np.uint8, n, 4 * n_keys + 4 * n)[keep]
+
+
 def shifted(keys: np.ndarray, byte: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bitmaps one position on; a bit that leaves its byte goes on in the next."""
     low, carry = (bits << 1).astype(np.uint8), bits >> 7
@@ -122,121 +148,117 @@ def counted(pair: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> tuple[np.n
 # -- tasks
 
 
-def bitmap_rows(shard_words: int):
-    """Batches of lang, text -> the bitmaps of the task's shards."""
-
-    def rows(shard: int, ids: dict[tuple[str, str], int], marks: list[int]) -> pa.RecordBatch:
-        marks = np.asarray(marks, np.int64)
-        at = np.flatnonzero(marks >= 0)
-        key, byte, bits = packed(marks[at], at)
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        ones = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), first)
-        names = list(ids)
-        ends = [*first[1:].tolist(), len(key)]
-        gaps = np.diff(byte, prepend=0)
-        gaps[first] = byte[first]
-        gaps = gaps.astype("<u4")
-        spans = list(zip(first.tolist(), ends))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard] * len(first), pa.int64()),
-                pa.array([names[k][0] for k in key[first].tolist()], pa.string()),
-                pa.array([names[k][1] for k in key[first].tolist()], pa.string()),
-                pa.array(ones, pa.int64()),
-                pa.array([gaps[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([bits[a:b].tobytes() for a, b in spans], pa.binary()),
-            ],
-            ["shard", "lang", "word", "ones", "places", "bits"],
-        )
+class Numbers(dict):
+    """Words of a language with their numbers in the shard; new ones join names."""
+
+    def __init__(self, lang: str, names: list[tuple[str, str]]):
+        super().__init__()
+        self.lang, self.names = lang, names
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.names)
+        self.names.append((self.lang, word))
+        return number
+
+
+def shard_rows(shard_words: int):
+    """Batches of lang, text -> the rows of the task's shards."""
+
+    def rows(shard: int, names: list[tuple[str, str]], marks: list[int]) -> Iterator[pa.RecordBatch]:
+        found = np.asarray(marks, np.int32)
+        at = np.flatnonzero(found >= 0)
+        keys = found[at]
+        ones = np.bincount(keys, minlength=len(names))
+        langs, words = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
+        columns = [pa.array(np.full(len(names), shard, np.int64)), langs, words, pa.array(np.arange(len(names), dtype=np.int32)), pa.array(ones, pa.int64()), pa.nulls(len(names), pa.binary())]
+        kinds = ["shard", "lang", "word", "local", "ones", "bitmaps"]
+        yield pa.RecordBatch.from_arrays(columns, kinds)
+        data = pressed(*packed(keys, at), len(names))
+        nothing = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *nothing, pa.array([data], pa.binary())], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, marks, n_words = TaskContext.get().partitionId() << 32, {}, [], 0
+        shard, names, marks, n_words = TaskContext.get().partitionId() << 32, [], [], 0
+        numbers: dict[str, Numbers] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for piece in BORDER.split((text or "").translate(LOWER)):
-                    words = [w for w in BLANKS.split(piece) if w]
+                known = numbers.get(lang)
+                for piece in (text or "").translate(READ_AS).split("\n"):
+                    words = [w for w in piece.split(" ") if w]
                     if not words:
                         continue
-                    marks += [ids.setdefault((lang, w), len(ids)) for w in words]
+                    if known is None:
+                        known = numbers[lang] = Numbers(lang, names)
+                    marks.extend(map(known.__getitem__, words))
                     marks.append(-1)
                     n_words += len(words)
                     if n_words >= shard_words:
-                        yield rows(shard, ids, marks)
-                        shard, ids, marks, n_words = shard + 1, {}, [], 0
+                        yield from rows(shard, names, marks)
+                        shard, names, marks, n_words, numbers, known = shard + 1, [], [], 0, {}, None
         if marks:
-            yield rows(shard, ids, marks)
+            yield from rows(shard, names, marks)
 
     return run
 
 
-def opened(table: pa.Table) -> Shard:
-    """The shard of rows id, places, bits."""
-    places, bits, ids = table.column("places").to_pylist(), table.column("bits").to_pylist(), table.column("id").to_numpy()
-    size = np.array([len(b) for b in bits], np.int64)
-    byte = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
-    # sums of gaps within each word
-    total = np.cumsum(byte)
-    ends = np.cumsum(size)
-    byte = total - np.repeat(np.concatenate(([0], total[ends[:-1] - 1])) if len(size) else size, size)
-    return Shard(np.repeat(ids, size), byte, np.frombuffer(b"".join(bits), np.uint8))
+def opened(bitmaps: pa.Table, lists: pa.Table) -> tuple[Shard, np.ndarray, pa.Table]:
+    """The shard with the words that count, their ids by number (ascending), and the rest of lists.
+
+    lists: local and id of words; rows without local are pairs of ids.
+    """
+    import pyarrow.compute as pc
+
+    words = lists.filter(pc.is_valid(lists.column("local")))
+    local, ids = words.column("local").to_numpy(), words.column("a").to_numpy()
+    order = np.argsort(ids)
+    return Shard(*unpressed(bitmaps.column("bitmaps")[0].as_py(), local[order])), ids[order], lists.filter(pc.is_null(lists.column("local")))
 
 
-def pair_counts(table: pa.Table) -> pa.Table:
+def pair_counts(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
     """The pairs of a shard and their counts there."""
-    shard, found = opened(table), []
-    for word, byte, bits in shard.batches():
-        node, by, _, both = shard.extended(word, byte, bits)
-        found.append(counted((node, by), both)[:3])
-    a, b, ones = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
-    return pa.table({"shard": np.full(len(a), table.column("shard")[0].as_py(), np.int64), "a": a, "b": b, "ones": ones})
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    if bitmaps.num_rows and lists.num_rows:
+        shard, ids, _ = opened(bitmaps, lists)
+        for word, byte, bits in shard.batches():
+            node, by, _, both = shard.extended(word, byte, bits)
+            a, b, ones, _ = counted((node, by), both)
+            found.append((ids[a], ids[b], ones))
+    a, b, ones = (np.concatenate([x[i] for x in found]) for i in range(3))
+    number = bitmaps.column("shard")[0].as_py() if bitmaps.num_rows else 0
+    return pa.table({"shard": np.full(len(a), number, np.int64), "a": a, "b": b, "ones": ones})
 
 
 def longer_counts(max_words: int):
-    """A shard's bitmaps and its frequent pairs -> its phrases of 3 to max_words words and their counts there."""
-
-    def run(bitmaps: pa.Table, pairs: pa.Table) -> pa.Table:
-        ids, lengths, sums = ([np.zeros(0, np.int64)] for _ in range(3))
-        if bitmaps.num_rows and pairs.num_rows:
-            shard = opened(bitmaps)
-            a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-            order = np.lexsort((b, a))
-            live = Pairs(a[order], b[order])
-            for word, byte, bits in shard.batches():
+    """A shard's bitmaps, words and frequent pairs -> its phrases of 3 to max_words words and their counts there."""
+
+    def run(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
+        phrases, lengths, sums = ([np.zeros(0, np.int64)] for _ in range(3))
+        if bitmaps.num_rows and lists.num_rows:
+            shard, ids, pairs = opened(bitmaps, lists)
+            live = np.sort(np.searchsorted(ids, pairs.column("a").to_numpy()) * len(ids) + np.searchsorted(ids, pairs.column("b").to_numpy()))
+            for word, byte, bits in shard.batches() if len(live) else ():
                 starts, number = np.unique(word, return_inverse=True)
-                nodes = starts[:, None]  # the words of each node's phrase
+                nodes = starts[:, None].astype(np.int64)  # the words of each node's phrase
                 for n in range(2, max_words + 1):
                     node, by, byte, bits = shard.extended(number, byte, bits)
-                    keep = live.has(nodes[node, -1], by)
+                    key = nodes[node, -1] * len(ids) + by
+                    keep = live[np.minimum(np.searchsorted(live, key), len(live) - 1)] == key
                     node, by, byte, bits = node[keep], by[keep], byte[keep], bits[keep]
                     if not len(node):
                         break
                     parents, ends, ones, number = counted((node, by), bits)
                     nodes = np.column_stack((nodes[parents], ends))
                     if n >= 3:
-                        ids.append(nodes.ravel())
+                        phrases.append(ids[nodes].ravel())
                         lengths.append(np.full(len(nodes), n, np.int64))
                         sums.append(ones)
         offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
-        phrases = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
-        return pa.table({"ids": phrases, "ones": np.concatenate(sums)})
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(phrases)))
+        return pa.table({"ids": found, "ones": np.concatenate(sums)})
 
     return run
 
 
-class Pairs:
-    """Sorted pairs of ids, for lookup."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.names, number = np.unique(np.concatenate((a, b)), return_inverse=True)
-        self.keys = number[: len(a)] * len(self.names) + number[len(a) :]
-
-    def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = (np.minimum(np.searchsorted(self.names, v), len(self.names) - 1) for v in (a, b))
-        key = x * len(self.names) + y
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return (self.names[x] == a) & (self.names[y] == b) & (self.keys[at] == key)
-
-
 def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lowest-scoring cut of each candidate, in whole numbers of any size; of equal scores the first.
 
@@ -253,24 +275,40 @@ def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- jobs
 
 
+def frequent_words(totals: DataFrame, min_count: int) -> DataFrame:
+    """lang, word, a and id (dense numbers) of the words of this count."""
+    words = materialise(totals.where(F.col("a") >= min_count).withColumn("at", F.monotonically_increasing_id()), "words-numbered")
+    part = F.shiftright("at", 33)  # the number holds its partition, and the place there
+    sizes = words.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))  # a row for each partition
+    numbered = words.withColumn("part", part).join(F.broadcast(bases), "part")
+    return materialise(numbered.select("lang", "word", "a", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id")), "frequent-words")
+
+
 def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """words: lang, word, id, a; sizes: lang, n; phrases: ids, a of all phrases of 1 to max_words words with a >= min_count."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bitmaps = materialise(map_texts_in_batches(texts, bitmap_rows(shard_words), BITMAPS), "word-bitmaps")
-    totals = materialise(bitmaps.groupBy("lang", "word").agg(F.sum("ones").alias("a")), "word-totals")
+    shards = materialise(map_texts_in_batches(texts, shard_rows(shard_words), SHARDS), "shards")
+    heard, bitmaps = shards.where("word is not null"), shards.where("word is null").select("shard", "bitmaps")
+    totals = materialise(heard.groupBy("lang", "word").agg(F.sum("ones").alias("a")), "word-totals")
     sizes = totals.groupBy("lang").agg(F.sum("a").alias("n"))
-    words = materialise(totals.where(F.col("a") >= min_count).withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    known = bitmaps.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "places", "bits")
-    known = materialise(known, "frequent-bitmaps")
-    release(bitmaps)
-    by_shard = materialise(known.groupBy("shard").applyInArrow(pair_counts, "shard long, a long, b long, ones long"), "shard-pairs")
+    words = frequent_words(totals, min_count)
+    here = maybe_among(heard.select("shard", "lang", "word", "local"), words, ("lang", "word")).join(words, ["lang", "word"])
+    lists = materialise(here.select("shard", "local", F.col("id").alias("a"), F.lit(None).cast("long").alias("b")), "shard-words")
+    by_shard = bitmaps.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(pair_counts, "shard long, a long, b long, ones long")
+    by_shard = materialise(by_shard, "shard-pairs")
+    free_shuffles(docs.sparkSession)
     pairs = by_shard.groupBy("a", "b").agg(F.sum("ones").alias("ones")).where(F.col("ones") >= min_count)
     pairs = materialise(pairs, "frequent-pairs")
+    free_shuffles(docs.sparkSession)
     singles = words.select(F.array("id").alias("ids"), "a")
     phrases = singles.unionByName(pairs.select(F.array("a", "b").alias("ids"), F.col("ones").alias("a"))) if max_words > 1 else singles
     if max_words > 2:
-        there = maybe_among(by_shard, pairs, ("a", "b")).join(pairs.select("a", "b"), ["a", "b"]).select("shard", "a", "b")
-        longer = known.groupBy("shard").cogroup(there.groupBy("shard")).applyInArrow(longer_counts(max_words), "ids array<long>, ones long")
+        live = maybe_among(by_shard, pairs, ("a", "b")).join(pairs.select("a", "b"), ["a", "b"])
+        live = materialise(lists.unionByName(live.select("shard", F.lit(None).cast("int").alias("local"), "a", "b")), "shard-lists")
+        release(by_shard)
+        longer = bitmaps.groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(longer_counts(max_words), "ids array<long>, ones long")
         longer = longer.groupBy("ids").agg(F.sum("ones").alias("a")).where(F.col("a") >= min_count)
         phrases = phrases.unionByName(longer)
     return words, sizes, materialise(phrases, "phrase-counts")

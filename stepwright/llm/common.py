@@ -187,8 +187,13 @@ def release(*tables: DataFrame) -> None:
     """
     for table in tables:
         delete_folder(table.sparkSession, table.scratch)
+    free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files go that no plan needs any more, see release."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_scratch(spark: SparkSession, keep: str | None = None) -> None:
