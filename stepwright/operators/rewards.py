@@ -164,3 +164,34 @@ def perturb(records: DataFrame, steps: str, banks: dict[str, str], weights: dict
         .withColumn(steps, F.concat(F.slice(steps, F.lit(1), F.col("perturbation_pos")), F.array(text), F.slice(steps, F.col("perturbation_pos") + 1, F.size(steps))))
         .withColumn("incorrect_mask", F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: (i == F.col("perturbation_pos")).cast("int")))
     )
+
+
+def gold_support(logits: DataFrame, ks: list[int], keys: tuple[str, ...] = ("record_id", "pos")) -> DataFrame:
+    """Per position: gold_logp, gold_rank (from 1; of equal logits the smaller token first), mass_above
+    (probability of the tokens before gold) and mass_<k>, that of the k first tokens.
+
+    Tokens are compared with gold's own logit in one aggregate, without an order of the vocabulary;
+    only the largest of ks tokens of a position are ever ordered. Null logits are no tokens; without
+    gold its columns are null. Where gold is marked more than once, its best token counts.
+    """
+    keys = list(keys)
+    rows = logits.where("logit is not null").select(*keys, F.col("logit").cast("double").alias("logit"), "token_id", F.coalesce("is_gold", F.lit(False)).alias("is_gold"))
+    best = F.max(F.when(F.col("is_gold"), F.struct("logit", (-F.col("token_id")).alias("__token"))))
+    tops = rows.groupBy(*keys).agg(F.max("logit").alias("__top"), best.alias("__gold"))
+    e = F.exp(F.col("logit") - F.col("__top"))
+    above = F.struct("logit", (-F.col("token_id")).alias("__token")) > F.col("__gold")
+    whole = rows.join(tops, keys).groupBy(*keys).agg(
+        F.sum(e).alias("__sum"), F.count_if(above).alias("__above"), F.coalesce(F.sum(F.when(above, e)), F.lit(0.0)).alias("__mass"),
+        F.first("__top").alias("__top"), F.first("__gold").alias("__gold"),
+    )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("logit"), "token_id"))
+    first = rows.withColumn("__place", place).where(F.col("__place") <= max(ks)).join(tops.drop("__gold"), keys)
+    masses = first.groupBy(*keys).agg(*[F.sum(F.when(F.col("__place") <= k, e)).alias(f"__m{k}") for k in ks])
+    known = lambda c: F.when(F.col("__gold").isNotNull(), c)
+    return whole.join(masses, keys).select(
+        *keys,
+        (F.col("__gold.logit") - F.col("__top") - F.log("__sum")).alias("gold_logp"),
+        known(F.col("__above") + 1).alias("gold_rank"),
+        known(F.col("__mass") / F.col("__sum")).alias("mass_above"),
+        *[(F.col(f"__m{k}") / F.col("__sum")).alias(f"mass_{k}") for k in ks],
+    )

@@ -97,3 +97,23 @@ def repeated_steps(steps: DataFrame, record: str, order: str, text: str) -> Data
 def shapes_of(df: DataFrame, candidates: dict[str, list[str]]) -> dict[str, str | None]:
     """For each role the first of its candidate names that the table has as a column."""
     return {role: next((n for n in names if n in df.columns), None) for role, names in candidates.items()}
+
+
+def split_flat(flat: DataFrame, lengths: DataFrame, record: str = "record_id", position: str = "pos", value: str = "value", part: str = "part", n: str = "n") -> DataFrame:
+    """record, part, idx and value: a flat row of values cut into parts of given lengths, as relations.
+
+    flat: record, position (from 0) and value; lengths: record, part (in order) and n. Each part takes
+    the n values after those of the parts before it; parts beyond the values get what is left, values
+    beyond the parts are left out, and parts of no length, or of null or a negative one, have no rows.
+    Running offsets tell each part its positions, so the work is linear in values and parts.
+    """
+    size = F.greatest(F.coalesce(F.col(n), F.lit(0)), F.lit(0)).cast("long")
+    upto = Window.partitionBy(record).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = lengths.select(record, part, size.alias("__n")).withColumn("__end", F.sum("__n").over(upto)).where("__n > 0")
+    # no more positions of a part than there are values: a length may be wrong by any amount
+    ends = flat.groupBy(record).agg((F.max(position) + 1).alias("__size"))
+    first = F.col("__end") - F.col("__n")
+    parts = parts.join(ends, record).withColumn("__last", F.least("__end", "__size") - 1).where(F.col("__last") >= first)
+    spread = parts.select(record, part, first.alias("__first"), F.explode(F.sequence(first, F.col("__last"))).alias(position))
+    values = flat.select(record, F.col(position).cast("long").alias(position), value)
+    return spread.join(values, [record, position]).select(record, part, (F.col(position) - F.col("__first")).cast("int").alias("idx"), value)

@@ -10,7 +10,7 @@ from stepwright.functions import records as R
 from stepwright.functions import text as X
 from stepwright.operators import contributions as K
 from stepwright.operators import merge as M
-from stepwright.operators import metrics, normalize, rewards, select, stats, steps
+from stepwright.operators import metrics, normalize, rewards, scoring, select, stats, steps
 from stepwright.plans import views as V
 from stepwright.plans.queries import logprobs, query, rounded
 from stepwright.plans.views import table
@@ -422,3 +422,36 @@ def questions_of_raw(spark, sf_dir):
     kind = F.col("p_partkey") % 4
     tail = F.when(kind == 0, F.lit(" Step 1: a <<1+1=2>>")).when(kind == 1, F.lit("\nThe answer is: 3")).when(kind == 2, F.lit(" ки Step 1: b")).otherwise(F.lit(" <<3*4=12>> left"))
     return table(spark, sf_dir, "part").select("p_partkey", X.question_of(F.concat(F.col("p_name"), F.lit(" how many?"), tail)).alias("question"))
+
+
+# -- scoring boundary, ragged parts, support -----------------------------------------------------
+
+
+@query("""WITH r AS (SELECT DISTINCT coalesce(text, '') AS prompt, coalesce(role, '') AS target FROM conversations), s AS (SELECT DISTINCT coalesce(text, '') AS prompt, coalesce(role, '') AS target FROM conversations WHERE conv_id % 3 = 0)
+    SELECT md5(prompt) AS prompt, target FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.prompt = r.prompt AND s.target = r.target)""")
+def missing_requests(spark, sf_dir):
+    """Prompts and targets without a stored result, each once; a third of the conversations has results."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("prompt"), F.col("role").alias("target"))
+    stored = rows.where("conv_id % 3 = 0").select(scoring.request_digest(F.col("prompt"), F.col("target"), "model-a").alias("digest"))
+    return scoring.missing_requests(rows, stored, "model-a").select(F.md5("prompt").alias("prompt"), "target")
+
+
+@query("""WITH l AS (SELECT record_id, step_idx AS part, CASE WHEN step_idx % 3 = 2 THEN 0 ELSE CAST(quantity AS BIGINT) % 3 END AS n FROM li), e AS (SELECT *, sum(n) OVER (PARTITION BY record_id ORDER BY part) AS e FROM l)
+    SELECT li.record_id, e.part, CAST(li.step_idx - (e - n) AS INTEGER) AS idx, li.price AS value FROM li JOIN e ON li.record_id = e.record_id AND li.step_idx >= e - n AND li.step_idx < e""", "li")
+def ragged_split(spark, sf_dir):
+    """Scores of an order in one row, cut into parts of 0 to 2 of them; lengths may miss the row's end."""
+    rows = V.line_steps(spark, sf_dir)
+    lengths = rows.select("record_id", F.col("step_idx").alias("part"), F.when(F.col("step_idx") % 3 == 2, 0).otherwise(F.col("quantity").cast("long") % 3).alias("n"))
+    return steps.split_flat(rows.select("record_id", F.col("step_idx").alias("pos"), F.col("price").alias("value")), lengths)
+
+
+@query("""WITH t AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS token_id, CAST(unnest(embedding) AS DOUBLE) * 10 AS logit FROM embeddings),
+    p AS (SELECT *, token_id = vec_id % 70 AS is_gold, exp(logit - max(logit) OVER w) AS e, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS place FROM t WINDOW w AS (PARTITION BY vec_id)),
+    q AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p, max(CASE WHEN is_gold THEN place END) OVER (PARTITION BY vec_id) AS g FROM p)
+    SELECT vec_id AS record_id, 0 AS pos, round(ln(sum(p) FILTER (is_gold)), 6) AS gold_logp, max(g) AS gold_rank, CASE WHEN max(g) IS NOT NULL THEN round(coalesce(sum(p) FILTER (place < g), 0), 6) END AS mass_above,
+    round(sum(p) FILTER (place <= 1), 6) AS mass_1, round(sum(p) FILTER (place <= 8), 6) AS mass_8 FROM q GROUP BY 1""")
+def gold_support(spark, sf_dir):
+    """Rank of gold and the mass before it; for some rows gold is no token at all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.lit(0).alias("pos"), F.posexplode("embedding").alias("token_id", "x"))
+    rows = rows.select("record_id", "pos", "token_id", (F.col("x").cast("double") * 10).alias("logit"), (F.col("token_id") == F.col("record_id") % 70).alias("is_gold"))
+    return rounded(rewards.gold_support(rows, [1, 8]))
