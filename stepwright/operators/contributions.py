@@ -21,13 +21,15 @@ def neighbours(values: DataFrame, how: str, value: str) -> DataFrame:
     """values (CONTEXT and others) as rows of a step: before and after, without and with the step.
 
     how: sequential (the prefix up to the step against the one before it), marginal (the step alone
-    against no step) or loo (all steps against all others). One pass over windows of a record.
+    against no step) or loo (all steps against all others). One pass over windows of a record; what has
+    nothing to be held against is null.
     """
     others = [c for c in values.columns if c not in (*CONTEXT, value)]
     kind, at = F.col("context_kind"), F.col("context_idx")
     if how == "sequential":
         rows = values.where("context_kind in ('base', 'prefix')").withColumn("step_idx", F.when(kind == "base", -1).otherwise(at))
-        before = F.lag(value).over(Window.partitionBy("record_id", *others).orderBy("step_idx"))
+        along = Window.partitionBy("record_id", *others).orderBy("step_idx")
+        before = F.when(F.lag("step_idx").over(along) == F.col("step_idx") - 1, F.lag(value).over(along))
         return rows.withColumn("before", before).where("step_idx >= 0").select("record_id", *others, "step_idx", "before", F.col(value).alias("after"))
     single, whole = {"marginal": ("single", "base"), "loo": ("without", "full")}[how]
     rows = values.where(kind.isin(single, whole))

@@ -26,7 +26,8 @@ def robust_scale(df: DataFrame, value: str = "value", keys: list[str] = []) -> D
     first = quantiles(rows, "v", [0.25, 0.5, 0.75], keys)
     beside = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731  without keys one row
     centred = beside(rows, first.select(*keys, "q")).select(*keys, F.abs(F.col("v") - F.col("q")[1]).alias("v"))
-    mads = quantiles(centred, "v", [0.5], keys).select(*keys, F.col("q")[0].alias("mad"))
+    most = None if keys else first.first()["n"]
+    mads = quantiles(centred, "v", [0.5], keys, most=most).select(*keys, F.col("q")[0].alias("mad"))
     spread = beside(beside(first, mads), rows.groupBy(*keys).agg(F.stddev_samp("v").alias("sd")))
     mad, iqr, sd = 1.4826 * F.col("mad"), 0.7413 * (F.col("q")[2] - F.col("q")[0]), F.coalesce("sd", F.lit(0.0))
     tiny = 1e-12
@@ -79,13 +80,12 @@ def fit_winsor(df: DataFrame, value: str = "value", low: float = 0.01, high: flo
     """lo and hi (quantiles), med and scale (1.4826 MAD) of the values cut to them."""
     v = F.col(value).cast("double")
     rows = df.where(finite(v)).select(v.alias("v"))
-    cut = rows.crossJoin(F.broadcast(quantiles(rows, "v", [low, high]).select("q"))).select(
-        F.least(F.greatest("v", F.col("q")[0]), F.col("q")[1]).alias("v"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")
-    )
-    median = quantiles(cut, "v", [0.5]).select(F.col("q")[0].alias("med"))
-    centred = cut.crossJoin(F.broadcast(median)).select(F.abs(F.col("v") - F.col("med")).alias("v"))
-    mad = quantiles(centred, "v", [0.5]).select(F.greatest(1.4826 * F.col("q")[0], F.lit(1e-12)).alias("scale"))
-    return cut.agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")).crossJoin(median).crossJoin(mad)
+    n, ends = quantiles(rows, "v", [low, high]).first()
+    lo, hi = (F.lit(x) for x in ends)
+    cut = rows.select(F.least(F.greatest("v", lo), hi).alias("v"))
+    med = F.lit(quantiles(cut, "v", [0.5], most=n).first()["q"][0])
+    mad = quantiles(cut.select(F.abs(F.col("v") - med).alias("v")), "v", [0.5], most=n)
+    return mad.select(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), med.cast("double").alias("med"), F.greatest(1.4826 * F.col("q")[0], F.lit(1e-12)).alias("scale"))
 
 
 def winsor_z(v: Column, temperature: float = 1.0, squash: str | None = "sigmoid") -> Column:

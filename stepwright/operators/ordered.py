@@ -64,23 +64,25 @@ def running(df: DataFrame, order: str, sums: list[str], buckets: int | None = No
     )
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = [], few: int = FEW_VALUES) -> DataFrame:  # noqa: B006
+def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = [], few: int = FEW_VALUES, most: int | None = None) -> DataFrame:  # noqa: B006
     """keys, n and q: exact quantiles of the value (not null) per key, between two values by their
     distance; without keys one row, null and 0 for no values.
 
     Keys with more than few values in all are never held by a task: values are counted, and each
-    quantile's two neighbours are read off the running counts. The result, a row per key, is
-    computed at once, so that what is built on it does not repeat the work; keys are meant to be few.
+    quantile's two neighbours are read off the running counts. most: values of the largest key, if that
+    is known; it is counted otherwise. Without keys the one row is computed at once, so that what is
+    built on it does not repeat the work; a table of keys stays a plan.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most is None:
+        most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= few:
         found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("__v", shares).alias("q"))
         none = F.array(*[F.lit(None).cast("double")] * len(shares))
         found = found.withColumn("q", F.coalesce("q", none))
     else:
         found = counted_quantiles(rows, shares, keys)
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    return found if keys else df.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def counted_quantiles(rows: DataFrame, shares: list[float], keys: list[str]) -> DataFrame:

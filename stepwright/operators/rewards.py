@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.columns import numbers_to, safe_div
+from stepwright.operators.contributions import neighbours
 
 
 def monte_carlo(rollouts: DataFrame, correct: str = "correct", keys: tuple[str, ...] = ("record_id", "step_idx")) -> DataFrame:
@@ -43,39 +44,27 @@ def pooled_logprob(logprob: DataFrame, normalize: bool = False) -> DataFrame:
     return by_target.groupBy("record_id", "context_kind", "context_idx", "target_kind").agg(F.avg("lp").alias("lp"))
 
 
-def _contrast(later: DataFrame, earlier: DataFrame, on: list[str], weight: float) -> DataFrame:
-    """Gain of gold less weight times the gain of negatives, per record and step."""
-    gain = later.join(earlier.withColumnRenamed("lp", "lp0"), [*on, "target_kind"]).withColumn("gain", F.col("lp") - F.col("lp0"))
-    part = lambda kind: F.max(F.when(F.col("target_kind") == kind, F.col("gain")))
-    rows = gain.groupBy("record_id", "step_idx").agg(part("gold").alias("gold"), part("neg").alias("neg"))
+def _contrast(logprob: DataFrame, how: str, weight: float, normalize: bool) -> DataFrame:
+    """Gain of gold less weight times the gain of negatives, per record and step; how as in neighbours."""
+    both = neighbours(pooled_logprob(logprob, normalize), how, "lp").where("before is not null and after is not null")
+    part = lambda kind: F.max(F.when(F.col("target_kind") == kind, F.col("after") - F.col("before")))
+    rows = both.groupBy("record_id", "step_idx").agg(part("gold").alias("gold"), part("neg").alias("neg"))
     return rows.withColumn("reward", F.col("gold") - weight * F.coalesce("neg", F.lit(0.0)))
 
 
 def sequential_contrast(logprob: DataFrame, weight: float = 1.0, normalize: bool = False) -> DataFrame:
     """What each step adds to the prefix before it. Base stands for the empty prefix."""
-    lp = pooled_logprob(logprob, normalize)
-    prefixes = lp.where("context_kind in ('base', 'prefix')").select(
-        "record_id", "target_kind", "lp", F.when(F.col("context_kind") == "base", -1).otherwise(F.col("context_idx")).alias("step_idx")
-    )
-    later = prefixes.where("step_idx >= 0")
-    earlier = prefixes.withColumn("step_idx", F.col("step_idx") + 1)
-    return _contrast(later, earlier, ["record_id", "step_idx"], weight)
+    return _contrast(logprob, "sequential", weight, normalize)
 
 
 def marginal_contrast(logprob: DataFrame, weight: float = 1.0, normalize: bool = False) -> DataFrame:
     """What each step alone adds to the base context."""
-    lp = pooled_logprob(logprob, normalize)
-    single = lp.where("context_kind = 'single'").select("record_id", "target_kind", "lp", F.col("context_idx").alias("step_idx"))
-    return _contrast(single, lp.where("context_kind = 'base'").select("record_id", "target_kind", "lp"), ["record_id"], weight)
+    return _contrast(logprob, "marginal", weight, normalize)
 
 
 def leave_one_out_contrast(logprob: DataFrame, weight: float = 1.0, normalize: bool = False) -> DataFrame:
     """What the full solution loses without each step."""
-    lp = pooled_logprob(logprob, normalize)
-    without = lp.where("context_kind = 'without'").select("record_id", "target_kind", "lp", F.col("context_idx").alias("step_idx"))
-    full = lp.where("context_kind = 'full'").select("record_id", "target_kind", "lp")
-    steps = without.select("record_id", "target_kind", "step_idx").join(full, ["record_id", "target_kind"])
-    return _contrast(steps, without, ["record_id", "step_idx"], weight)
+    return _contrast(logprob, "loo", weight, normalize)
 
 
 def permutation_orders(steps: DataFrame, permutations: int, seed: int = 0) -> DataFrame:
@@ -91,11 +80,10 @@ def shapley(orders: DataFrame, perm_logprob: DataFrame) -> DataFrame:
     perm_logprob: record_id, perm, pos, lp, where pos -1 is the empty context and pos p the first
     p + 1 steps of the order.
     """
-    lp = perm_logprob.select("record_id", "perm", "pos", "lp")
-    gains = orders.join(lp, ["record_id", "perm", "pos"]).join(
-        lp.select("record_id", "perm", (F.col("pos") + 1).alias("pos"), F.col("lp").alias("lp0")), ["record_id", "perm", "pos"]
-    )
-    return gains.groupBy("record_id", "step_idx").agg(F.avg(F.col("lp") - F.col("lp0")).alias("shapley"))
+    along = Window.partitionBy("record_id", "perm").orderBy("pos")
+    before = F.when(F.lag("pos").over(along) == F.col("pos") - 1, F.lag("lp").over(along))
+    gains = perm_logprob.select("record_id", "perm", "pos", (F.col("lp") - before).alias("gain")).where("gain is not null")
+    return orders.join(gains, ["record_id", "perm", "pos"]).groupBy("record_id", "step_idx").agg(F.avg("gain").alias("shapley"))
 
 
 def truncated_support(logits: DataFrame, top_k: int, top_p: float, keys: tuple[str, ...] = ("record_id", "pos"), cap: int = 3096) -> DataFrame:
