@@ -14,6 +14,7 @@ from stepwright.operators import metrics, normalize, rewards, scoring, select, s
 from stepwright.plans import views as V
 from stepwright.plans.queries import logprobs, query, rounded
 from stepwright.plans.views import table
+from stepwright.sources.catalogue import variant_text
 
 # -- record fields -----------------------------------------------------------------------------
 
@@ -455,3 +456,18 @@ def gold_support(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.lit(0).alias("pos"), F.posexplode("embedding").alias("token_id", "x"))
     rows = rows.select("record_id", "pos", "token_id", (F.col("x").cast("double") * 10).alias("logit"), (F.col("token_id") == F.col("record_id") % 70).alias("is_gold"))
     return rounded(rewards.gold_support(rows, [1, 8]))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_name WHEN 2 THEN p_name WHEN 3 THEN p_brand WHEN 4 THEN p_name WHEN 5 THEN p_brand WHEN 6 THEN p_name ELSE '' END AS answer FROM part""")
+def variant_answers(spark, sf_dir):
+    """Numbers, texts, lists, lists spelled in a text, objects in lists, objects in objects and nulls,
+    as VARIANT values and without Python."""
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_partkey") % 8
+    shown = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    value = (
+        F.when(kind == 0, F.col("p_size").cast("string")).when(kind == 1, F.to_json(F.array(brand, name, F.lit(" "))))
+        .when(kind == 2, F.to_json(F.array(F.concat(F.lit("['"), brand, F.lit("', '"), name, F.lit("']"))))).when(kind == 3, shown(text=brand, value=name))
+        .when(kind == 4, shown(other=brand, multiple=F.array(brand, name))).when(kind == 5, F.concat(F.lit("["), shown(other=name), F.lit(","), shown(latex=brand), F.lit("]")))
+        .when(kind == 6, shown(content=F.struct(F.array(name).alias("answer"))))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", variant_text(F.try_parse_json(value)).alias("answer"))

@@ -92,27 +92,6 @@ def wrong_answers(df: DataFrame, path: str, correct: str = "correct") -> None:
     write_lines(df.where(~F.coalesce(F.col(correct), F.lit(False))), path)
 
 
-#: Benchmarks by name: the field that holds question, answer and choices. Fixed values.
-BENCHMARKS = {
-    "gsm8k": {"question": "question", "answer": "answer"},
-    "math": {"question": "problem", "answer": "answer"},
-    "omni": {"question": "problem", "answer": "answer"},
-    "olympiad": {"question": "question", "answer": "final_answer"},
-    "aime": {"question": "problem", "answer": "answer"},
-    "mmlu": {"question": "question", "answer": "answer", "choices": "choices"},
-}
-
-
-def canonical_fields(df: DataFrame, benchmark: str) -> DataFrame:
-    """df with question, answer (and choices) beside its own columns."""
-    return df.withColumns({new: F.col(old) for new, old in BENCHMARKS[benchmark].items() if new != old})
-
-
-def read_benchmark(spark: SparkSession, name: str, folder: str) -> DataFrame:
-    """A benchmark kept as Parquet under folder/name, with canonical fields."""
-    return canonical_fields(spark.read.parquet(f"{folder}/{name}"), name)
-
-
 def output_tag(path: str, containers: tuple[str, ...] = ("checkpoints", "final", "best")) -> str:
     """A name for outputs from a model's path, past folders that only contain it."""
     parts = [p for p in re.split(r"[/\\]+", path) if p and p not in containers and not re.fullmatch(r"checkpoint-\d+", p)]
