@@ -67,22 +67,18 @@ def variant_text(answer: Column, depth: int = DEPTH) -> Column:
     if depth == 0:
         return blank
     kind = F.schema_of_variant(answer)
-    inner = lambda v: variant_text(v, depth - 1)
-    last = lambda texts: F.coalesce(F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(-1)), blank)
-    first = lambda texts: F.coalesce(F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1)), blank)
-    elements = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    fields = F.try_variant_get(answer, "$", "map<string,variant>")
-    options = first(F.transform(F.array(*map(F.lit, ANSWER_KEYS)), lambda k: inner(F.try_element_at(fields, k))))
-    choices = F.try_element_at(elements(F.try_element_at(fields, F.lit("multiple"))), F.lit(-1))
+    fields, elements = F.try_variant_get(answer, "$", "map<string,variant>"), F.try_variant_get(answer, "$", "array<variant>")
+    choices = F.try_variant_get(F.try_element_at(fields, F.lit("multiple")), "$", "array<variant>")
+    options = F.transform(F.array(*map(F.lit, ANSWER_KEYS)), lambda k: F.try_element_at(fields, k))
+    is_list, is_object = (F.startswith(kind, F.lit(k)) for k in ("ARRAY", "OBJECT"))
+    # what may hold the text, in order; the expression goes down one level once
+    inside = F.when(is_list, F.reverse(elements)).when(is_object, F.concat(options, F.array(F.try_element_at(choices, F.lit(-1)))))
+    found = F.try_element_at(F.filter(F.transform(inside, lambda v: variant_text(v, depth - 1)), lambda t: t != ""), F.lit(1))
     text = F.regexp_replace(F.try_variant_get(answer, "$", "string"), r"(?U)\A\s+|\s+\z", "")
     listed = F.from_json(F.when(F.regexp_like(text, F.lit(r"(?s)^\[.*\]$")), text), "array<string>", {"allowSingleQuotes": "true"})
     spelled = F.regexp_replace(F.try_element_at(listed, F.lit(-1)), r"(?U)\A\s+|\s+\z", "")
-    return (
-        F.when(answer.isNull() | F.is_variant_null(answer), blank)
-        .when(F.startswith(kind, F.lit("ARRAY")), last(F.transform(elements(answer), inner)))
-        .when(F.startswith(kind, F.lit("OBJECT")), F.when(options != "", options).otherwise(F.coalesce(inner(choices), blank)))
-        .otherwise(F.coalesce(spelled, text, blank))
-    )
+    nothing = answer.isNull() | F.is_variant_null(answer)
+    return F.when(nothing, blank).when(is_list | is_object, F.coalesce(found, blank)).otherwise(F.coalesce(spelled, text, blank))
 
 
 def tables_of(folder: str, split: str, configs: str) -> list[tuple[str, str]]:
