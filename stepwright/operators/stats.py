@@ -220,6 +220,17 @@ def switch_mix(records: DataFrame, n_steps: str, switches: list[int]) -> DataFra
     return rows.withColumns({"before_share": safe_div(F.col("before"), F.col("total")), "after_share": safe_div(F.col("after"), F.col("total"))})
 
 
+def profile_filter(events: DataFrame, tag: str = "tag", prefix: str | None = None, contains: str | None = None, **fields: str) -> DataFrame:
+    """Records whose tag begins with prefix, whose tag holds contains, and whose fields (columns, or
+    entries of the column meta) have these values."""
+    rows = events if prefix is None else events.where(F.startswith(tag, F.lit(prefix)))
+    rows = rows if contains is None else rows.where(F.contains(tag, F.lit(contains)))
+    for name, value in fields.items():
+        field = F.col(name) if name in events.columns else F.try_element_at("meta", F.lit(name))
+        rows = rows.where(field == F.lit(value))
+    return rows
+
+
 def profile_rollup(events: DataFrame, tag: str = "tag") -> DataFrame:
     """Per tag: calls, prompts, samples (prompts times n), seconds, tokens, peak memory, tokens a second."""
     return events.groupBy(tag).agg(

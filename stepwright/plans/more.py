@@ -471,3 +471,15 @@ def variant_answers(spark, sf_dir):
         .when(kind == 6, shown(content=F.struct(F.array(name).alias("answer"))))
     )
     return table(spark, sf_dir, "part").select("p_partkey", variant_text(F.try_parse_json(value)).alias("answer"))
+
+
+@query("""WITH p AS (SELECT event_type AS tag, value AS wall_s, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE (event_type LIKE 'c%' OR event_type LIKE 'p%') AND event_type LIKE '%c%' AND user_id % 2 = 1)
+    SELECT tag, count(*) AS calls, count(*) AS prompts, CAST(4 * count(*) AS BIGINT) AS samples, round(sum(wall_s), 4) AS wall_s, CAST(sum(k) AS BIGINT) AS tokens, round(max(wall_s), 4) AS peak_mem_gb, round(sum(k) / sum(wall_s), 4) AS tokens_per_s FROM p GROUP BY 1""")
+def profile_filtered(spark, sf_dir):
+    """Costs of the records with given beginnings, parts and fields of their tags."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("tag"), F.lit(1).alias("num_prompts"), F.lit(4).alias("n"), F.col("value").alias("wall_s"), F.from_json("props", "k long")["k"].alias("gen_tokens"),
+        F.col("value").alias("peak_mem_gb"), F.create_map(F.lit("side"), F.when(F.col("user_id") % 2 == 1, "odd").otherwise("even")).alias("meta"),
+    )
+    parts = [stats.profile_filter(rows, prefix=p, contains="c", side="odd") for p in ("c", "p")]
+    return rounded(stats.profile_rollup(parts[0].unionByName(parts[1])), 4)
