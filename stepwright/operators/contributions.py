@@ -82,6 +82,19 @@ def support_sweep(logits: DataFrame, configs: DataFrame, keys: tuple[str, ...] =
     return held.groupBy("config", *keys).agg(F.count(F.lit(1)).alias("support"), F.sum("p").alias("covered"), F.coalesce(F.log(gold / F.sum("e")), F.lit(float("-inf"))).alias("logp"))
 
 
+def entropy_shapley(orders: DataFrame, perm_entropy: DataFrame) -> DataFrame:
+    """record_id, step_idx and reward: by how many bits each step lowers the answer's entropy beyond
+    what stands before it, on average over the orders.
+
+    orders: record_id, perm, pos, step_idx. perm_entropy: record_id, perm, pos and h_bits, where pos -1 is
+    the empty context and pos p the first p + 1 steps of the order; a place without both has no part.
+    """
+    along = Window.partitionBy("record_id", "perm").orderBy("pos")
+    before = F.when(F.lag("pos").over(along) == F.col("pos") - 1, F.lag("h_bits").over(along))
+    gains = perm_entropy.select("record_id", "perm", "pos", (before - F.col("h_bits")).alias("gain")).where("gain is not null")
+    return orders.join(gains, ["record_id", "perm", "pos"]).groupBy("record_id", "step_idx").agg(F.avg("gain").alias("reward"))
+
+
 def prompt_grid(records: DataFrame, templates: DataFrame, kinds: tuple[str, ...] = ("base", "prefix", "single", "without", "full"), joint: str = "\n") -> DataFrame:
     """Every prompt and target that a scorer is asked for: record, template, context and target.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwright.functions.text import squeeze_spaces
 from stepwright.operators.match import near_texts, record_key, unique_by
-from stepwright.operators.rewards import unit_draw
+from stepwright.operators.rewards import elementwise_sum, unit_draw
 
 
 def keyed(records: DataFrame, question: str = "question", steps: str = "steps") -> DataFrame:
@@ -112,3 +112,18 @@ def gold_index(sources: list[tuple[str, DataFrame, Column, Column]]) -> DataFram
         rows = rows.unionByName(part)
     rows = rows.where("question != '' and answer != ''")
     return unique_by(rows, ["source", "question"], [F.col("__table"), F.col("answer")], "first").drop("__table")
+
+
+def sum_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, alpha: float = 1.0, strict: bool = False, order: str | None = None) -> DataFrame:
+    """left with reward, a + alpha * b element by element, for the rows whose keys right has too.
+
+    The first row of right in order counts for a key (any, if no order is named). Both arrays stay as
+    raw_<a> and raw_<b>. Of unlike lengths the common part is taken; strict leaves such rows out. Null
+    arrays, and null keys, have no partner.
+    """
+    one = unique_by(right, keys, [F.col(order)], "first") if order else right.dropDuplicates(keys)
+    other = one.select(*keys, F.col(b).alias(f"raw_{b}")).where(F.col(f"raw_{b}").isNotNull())
+    rows = left.withColumnRenamed(a, f"raw_{a}").where(F.col(f"raw_{a}").isNotNull()).join(other, keys)
+    if strict:
+        rows = rows.where(F.size(f"raw_{a}") == F.size(f"raw_{b}"))
+    return rows.withColumn("reward", elementwise_sum(F.col(f"raw_{a}"), F.col(f"raw_{b}"), alpha))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.columns import numbers_to, safe_div
+from stepwright.functions.text import renumber
 from stepwright.operators.contributions import neighbours
 
 
@@ -133,10 +134,11 @@ def elementwise_sum(a: Column, b: Column, alpha: float = 1.0) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x + alpha * y)
 
 
-def perturb(records: DataFrame, steps: str, banks: dict[str, str], weights: dict[str, float], seed: int, *ids: str) -> DataFrame:
+def perturb(records: DataFrame, steps: str, banks: dict[str, str], weights: dict[str, float], seed: int, *ids: str, numbered: bool = False) -> DataFrame:
     """records with one inserted step: kind drawn by weights, text from banks, place by hash.
 
-    Adds perturbation, perturbation_pos and incorrect_mask; steps holds the longer array.
+    Adds perturbation, perturbation_pos and incorrect_mask; steps holds the longer array, and with
+    numbered its steps begin with their new places.
     """
     u = F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 30)) / F.lit(float(1 << 30))
     total, upto, kind = sum(weights.values()), 0.0, None
@@ -150,6 +152,7 @@ def perturb(records: DataFrame, steps: str, banks: dict[str, str], weights: dict
         records.withColumn("perturbation", kind)
         .withColumn("perturbation_pos", place)
         .withColumn(steps, F.concat(F.slice(steps, F.lit(1), F.col("perturbation_pos")), F.array(text), F.slice(steps, F.col("perturbation_pos") + 1, F.size(steps))))
+        .withColumn(steps, renumber(F.col(steps)) if numbered else F.col(steps))
         .withColumn("incorrect_mask", F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: (i == F.col("perturbation_pos")).cast("int")))
     )
 

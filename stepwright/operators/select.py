@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.operators.normalize import softmax_weights
+from stepwright.operators.ordered import running
 
 
 def best_of_n(candidates: DataFrame, question: str, index: str, score: str) -> DataFrame:
@@ -68,6 +69,17 @@ def dev_budget(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def row_range(df: DataFrame, order: str, start: int, stop: int | None = None) -> DataFrame:
+    """The rows from place start (from 0) up to stop in the order of a column without repeats, null last.
+
+    Places are running counts over parts of the order, so no task sorts or takes all rows.
+    """
+    held = df.withColumn("__one", F.lit(1))
+    placed = running(held.where(F.col(order).isNotNull()), order, ["__one"]).withColumn("__place", F.col("cum___one") - 1)
+    inside = placed.where((F.col("__place") >= start) & (F.lit(True) if stop is None else F.col("__place") < stop))
+    return inside.select(*df.columns)
+
+
 def shard(df: DataFrame, shards: int, number: int, *order: str) -> DataFrame:
     """The rows of one of shards contiguous slices of equal length in the given order.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions import answers as A
 from stepwright.functions import records as R
 from stepwright.functions import text as X
+from stepwright.operators import analysis
 from stepwright.operators import contributions as K
 from stepwright.operators import merge as M
 from stepwright.operators import metrics, normalize, rewards, scoring, select, stats, steps
@@ -483,3 +484,46 @@ def profile_filtered(spark, sf_dir):
     )
     parts = [stats.profile_filter(rows, prefix=p, contains="c", side="odd") for p in ("c", "p")]
     return rounded(stats.profile_rollup(parts[0].unionByName(parts[1])), 4)
+
+
+# -- joined sums, ranges, Shapley values of entropies, the analysis ------------------------------
+
+
+@query("""WITH o AS (SELECT record_id, step_idx, quantity, perm, sum(quantity) OVER (PARTITION BY record_id, perm ORDER BY md5('3:' || perm || ':' || record_id || ':' || step_idx), step_idx) AS upto FROM li, (SELECT unnest(range(4)) AS perm))
+    SELECT record_id, step_idx, round(avg(1 / sqrt(1 + upto - quantity) - 1 / sqrt(1 + upto)), 6) AS reward FROM o GROUP BY 1, 2""", "li")
+def entropy_shapley(spark, sf_dir):
+    """Sampled orders over entropies that fall as steps are added."""
+    rows = V.line_steps(spark, sf_dir).select("record_id", "step_idx", "quantity")
+    orders = rewards.permutation_orders(rows, 4, 3)
+    w = Window.partitionBy("record_id", "perm").orderBy("pos")
+    upto = orders.join(rows, ["record_id", "step_idx"]).select("record_id", "perm", "pos", (1 / F.sqrt(1 + F.sum("quantity").over(w))).alias("h_bits"))
+    empty = orders.where("pos = 0").select("record_id", "perm", F.lit(-1).alias("pos"), F.lit(1.0).alias("h_bits"))
+    return rounded(K.entropy_shapley(orders, upto.unionByName(empty)))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_custkey % 3 + 1 AS n, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey AS k, o_custkey % 4 + 1 AS n, o_totalprice AS p FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT a.k AS order_key, CAST(least(a.n, b.n) AS INTEGER) AS n, round(list_sum(list_transform(range(least(a.n, b.n)), lambda i: (a.p + i) + 0.5 * (b.p * i))), 4) AS total FROM a JOIN b USING (k)""")
+def sum_join(spark, sf_dir):
+    """Rewards of two tables added element by element, where both have the order."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    side = lambda m, n, f, name: table(spark, sf_dir, "orders").where(key % m == 0).select(key.alias("order_key"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("o_custkey") % n), f).alias(name))
+    rows = M.sum_join(side(2, 3, lambda i: price + i, "base"), side(3, 4, lambda i: price * i, "extra"), ["order_key"], "base", "extra", 0.5)
+    return rounded(rows.select("order_key", F.size("reward").alias("n"), F.aggregate("reward", F.lit(0.0), lambda a, v: a + v).alias("total")), 4)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 700 OFFSET 123")
+def row_range(spark, sf_dir):
+    return select.row_range(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 123, 823)
+
+
+@query("""WITH m AS (SELECT record_id, step_idx, error, unnest(['price', 'discount']) AS metric, unnest([price, discount]) AS value FROM li WHERE abs(price) <= 40000), a AS (SELECT metric, 1 - error AS label, value FROM m),
+    r AS (SELECT metric, label, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rank FROM a),
+    s AS (SELECT metric, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label <> 1) AS n_neg, sum(rank) FILTER (label = 1) AS ranks FROM r GROUP BY 1), u AS (SELECT *, (ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) AS auc FROM s),
+    e AS (SELECT metric, (avg(value) FILTER (label = 1) - avg(value) FILTER (label <> 1)) / (sqrt(((count(*) FILTER (label = 1) - 1) * var_samp(value) FILTER (label = 1) + (count(*) FILTER (label <> 1) - 1) * var_samp(value) FILTER (label <> 1)) / (count(*) - 2)) + 1e-12) AS d FROM a GROUP BY 1)
+    SELECT metric, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(greatest(auc, 1 - auc), 6) AS auc, auc < 0.5 AS flipped, round(2 * auc - 1, 6) AS cliff_delta, round(d, 6) AS cohen_d FROM u JOIN e USING (metric)""", "li")
+def auc_summary(spark, sf_dir):
+    """The figures of each metric in its better direction, from the whole analysis."""
+    rows = V.line_metrics(spark, sf_dir).where("metric <> 'price' OR abs(value) <= 40000")
+    price = V.line_steps(spark, sf_dir).where("abs(price) <= 40000").select("record_id", "step_idx")
+    rows = rows.join(price, ["record_id", "step_idx"])
+    return rounded(analysis.analysis_tables(rows, ["price", "discount"])["auc_summary"].select("metric", "n_pos", "n_neg", "auc", "flipped", "cliff_delta", "cohen_d"))

@@ -79,6 +79,23 @@ def write_lines(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def write_array(df: DataFrame, path: str, order: str) -> None:
+    """One JSON array in the order of a column, in parts: the files of the folder, joined in the order of
+    their names, are the array. Many tasks write; none holds more than its range.
+    """
+    body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    lines = df.select(F.col(order).alias("at"), body.alias("value")).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    lines = lines.select(F.lit(1).alias("group"), "at", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    first = lines.agg(F.min(F.struct("at", "value")).alias("b")).first()["b"]
+    kind = df.schema[order].dataType
+    marks = df.sparkSession.createDataFrame([(0, "[", 1), (2, "]", 1)], "group int, value string, copy long").withColumn("at", F.lit(None).cast(kind))
+    rows = marks.unionByName(lines).repartitionByRange("group", "at", "value", "copy").sortWithinPartitions("group", "at", "value", "copy")
+    # all records but the first have the comma that ends the one before
+    is_first = F.lit(True) if first is None else F.col("at").eqNullSafe(F.lit(first["at"]).cast(kind)) & (F.col("value") == first["value"]) & (F.col("copy") == 1)
+    comma = F.when((F.col("group") == 1) & ~is_first, ",").otherwise("")
+    rows.select(F.concat(comma, "value")).write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
