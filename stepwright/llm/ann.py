@@ -8,9 +8,10 @@ asked for. The entries of the visited cells are then ranked by their exact dista
 
 Equal vectors are one entry with their smallest ids (k + 1 of them can matter, no more), and equal
 queries are searched once, so copies add no work. An entry is held once. The cells of one centroid
-of the first half lie together, cut into slices by a hash where they are many; a query is sent
-once to each slice of a row of cells that it visits. Where many queries visit a row they are dealt
-into chunks, each of which meets the row's entries by itself, so one task holds a slice and a chunk.
+of the first half are dealt to slices by the centroid of the second half, and a cell larger than a
+slice is dealt by a hash to slices of its own; a query is sent once to each slice that holds a cell
+which it visits, and to no other. Where many queries visit a row of cells they are dealt into chunks,
+each of which meets the row's entries by itself, so one task holds a slice and a chunk.
 
 The centroids are fitted on a bounded sample (max_fit vectors, the first by a seeded hash); every
 vector is indexed. What is broadcast: the centroids and the cells' sizes, both bounded by the
@@ -165,13 +166,38 @@ def entries_needed(index: DataFrame, asked: DataFrame, centres, sizes: np.ndarra
     return int(np.quantile(needed, recall, method="higher")) if needed else 1
 
 
-def visits_of(asked: DataFrame, centres, sizes: np.ndarray, slices: np.ndarray, wanted: int) -> DataFrame:
-    """Per query and visited row of cells: asked, v, row, slice and cols, the cells to look at."""
-    spread = asked.sparkSession.sparkContext.broadcast((sizes, slices))
+class Slices:
+    """Where entries lie: the slices of a row of cells, numbered from 0, and those of each large cell,
+    numbered -1 - col."""
+
+    def __init__(self, sizes: np.ndarray, size: int):
+        self.parts = np.maximum(1, -(-sizes // size))  # of each cell
+        small = np.where(self.parts == 1, sizes, 0).sum(axis=1)
+        self.slices = np.maximum(1, -(-small // size))  # of each row
+
+    def of_entries(self, rows: np.ndarray, cols: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slice and part of entries with these hashes."""
+        parts = self.parts[rows, cols]
+        return np.where(parts == 1, cols % self.slices[rows], -1 - cols), spots % parts
+
+    def of_cells(self, row: int, cols: list[int]) -> dict[tuple[int, int], list[int]]:
+        """The cells of a row by the slice and part that hold them, each part of a large cell."""
+        found: dict[tuple[int, int], list[int]] = {}
+        for c in cols:
+            if self.parts[row, c] == 1:
+                found.setdefault((c % int(self.slices[row]), 0), []).append(c)
+            else:
+                found |= {(-1 - c, p): [c] for p in range(self.parts[row, c])}
+        return found
+
+
+def visits_of(asked: DataFrame, centres, sizes: np.ndarray, slices, wanted: int) -> DataFrame:
+    """Per query and slice that holds cells which it visits: asked, v, row, slice, part and cols, these cells."""
+    spread = asked.sparkSession.sparkContext.broadcast(sizes)
 
     def walk(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, second = centres.value
-        sizes, slices = spread.value
+        sizes = spread.value
         for pdf in found:
             if not len(pdf):
                 continue
@@ -182,10 +208,23 @@ def visits_of(asked: DataFrame, centres, sizes: np.ndarray, slices: np.ndarray,
                 rows: dict[int, list[int]] = {}
                 for cell in cells_in_order(left[at], right[at], sizes, wanted):
                     rows.setdefault(cell // len(second), []).append(cell % len(second))
-                out += [(pdf["asked"].iloc[at], pdf["v"].iloc[at], r, s, c) for r, c in rows.items() for s in range(slices[r])]
-            yield pd.DataFrame(out, columns=["asked", "v", "row", "slice", "cols"])
+                for r, visited in rows.items():
+                    out += [(pdf["asked"].iloc[at], pdf["v"].iloc[at], r, s, p, c) for (s, p), c in slices.value.of_cells(r, visited).items()]
+            yield pd.DataFrame(out, columns=["asked", "v", "row", "slice", "part", "cols"])
+
+    return asked.repartition("asked").mapInPandas(walk, "asked long, v array<double>, row int, slice int, part int, cols array<int>")
+
+
+def sliced_index(index: DataFrame, slices) -> DataFrame:
+    """index with slice and part of each entry."""
+
+    def place(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            where = slices.value.of_entries(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["spot"].to_numpy())
+            yield pdf.drop(columns="spot").assign(slice=where[0].astype(np.int32), part=where[1].astype(np.int32))
 
-    return asked.repartition("asked").mapInPandas(walk, "asked long, v array<double>, row int, slice int, cols array<int>")
+    spotted = index.withColumn("spot", F.pmod(F.xxhash64("v"), F.lit(1 << 31)))
+    return spotted.mapInPandas(place, "v array<double>, ids array<long>, row int, col int, slice int, part int")
 
 
 def search(
@@ -228,16 +267,15 @@ def search(
     sizes = np.zeros(grid, np.int64)
     for row, col, size in index.groupBy("row", "col").count().collect():  # at most max_centroids squared
         sizes[row, col] = size
-    slices = np.maximum(1, -(-sizes.sum(axis=1) // slice_size))
+    slices = spark.sparkContext.broadcast(Slices(sizes, slice_size))
     wanted = max(least, entries_needed(index, asked, centres, sizes.ravel(), k, recall, trials))
     visits = materialise(visits_of(asked, centres, sizes.ravel(), slices, wanted), "ann-visits")
-    chunks = np.ones(len(slices), np.int64)
-    for row, most in visits.groupBy("row", "slice").count().groupBy("row").agg(F.max("count")).collect():  # at most max_centroids
+    chunks = np.ones(len(sizes), np.int64)
+    for row, most in visits.groupBy("row", "slice", "part").count().groupBy("row").agg(F.max("count")).collect():  # at most max_centroids
         chunks[row] = -(-most // chunk_size)
     by_row = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("row") + 1)
     visits = visits.withColumn("chunk", F.pmod(F.xxhash64("asked"), by_row(chunks)).cast("int"))
-    slice_of = F.pmod(F.xxhash64("v"), by_row(slices)).cast("int")
-    sliced = index.withColumn("slice", slice_of).withColumn("chunk", F.explode(F.sequence(F.lit(0), (by_row(chunks) - 1).cast("int"))))
+    sliced = sliced_index(index, slices).withColumn("chunk", F.explode(F.sequence(F.lit(0), (by_row(chunks) - 1).cast("int"))))
 
     def rerank(wanting: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -255,7 +293,7 @@ def search(
                 found += [(asked_no, i, s) for s, i in sorted(near)[: k + 1]]
         return pd.DataFrame(found, columns=["asked", "vec_id", "score"])
 
-    keys = ["row", "slice", "chunk"]
+    keys = ["row", "slice", "part", "chunk"]
     hits = visits.groupBy(keys).cogroup(sliced.groupBy(keys)).applyInPandas(rerank, "asked long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))
     hits = materialise(hits.withColumn("place", best).where(F.col("place") <= k + 1).drop("place"), "ann-hits")

@@ -186,3 +186,33 @@ def test_files_are_split_at_members(spark, tmp_path, most):
     got, parts = read_all(tmp_path / "w", partition_bytes=str(most))
     assert sorted(r["record_id"] for r in got) == sorted(f"<urn:page:{i}>" for i in range(120)) and len(parts) > 5
     assert all(b - a <= most for p in parts for _, a, b in p.ranges)
+
+
+def test_slices_of_cells():
+    """Each entry lies in exactly one of the slices to which a query of its cell is sent; others hold none of its cells."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 30, (7, 9))
+    sizes[2, 4], sizes[5, 0] = 900, 101
+    slices = ann.Slices(sizes, 50)
+    rows, cols = np.nonzero(sizes)
+    at = np.repeat(np.arange(len(rows)), sizes[rows, cols])
+    spots = rng.integers(0, 1 << 31, len(at))
+    found = list(zip(rows[at].tolist(), *(x.tolist() for x in slices.of_entries(rows[at], cols[at], spots))))
+    held = {}
+    for key in found:
+        held[key] = held.get(key, 0) + 1
+    assert max(held.values()) <= 120  # of 900 in the largest cell
+    for r, c, key in zip(rows[at].tolist(), cols[at].tolist(), found):
+        sent = slices.of_cells(r, [c])
+        assert key[1:] in sent and all(v == [c] for v in sent.values()) and len(sent) == max(1, -(-sizes[r, c] // 50))
+
+
+def test_hot_cell_gives_the_same_neighbours(spark):
+    """A third of all vectors in one cell, dealt to slices of 40 entries and to one slice alone."""
+    rng = np.random.default_rng(6)
+    spread = rng.normal(size=(900, 8))
+    tight = rng.normal(0, 0.01, (450, 8)) + 3
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate((spread, tight)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    search = lambda size: {tuple(r) for r in ann.search(df, F.col("vec_id") % 50 == 0, least=200, per_cell=10, slice_size=size, chunk_size=8).collect()}
+    assert search(40) == search(100_000)
