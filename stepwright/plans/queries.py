@@ -727,7 +727,10 @@ def anti_resume(spark, sf_dir):
     return match.unfinished(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
-@query()
+@query("""WITH p AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, s_name AS a, c_name AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+    m AS (SELECT *, list_transform(range(1, length(b) + 1), lambda j: CAST(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = b[j] THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT)) AS masks FROM p),
+    l AS (SELECT left_id, right_id, 2.0::DOUBLE * bit_count(list_reduce(list_prepend(0::BIGINT, masks), lambda r, x: (r | x) & ~((r | x) - ((r << 1) | 1)))) / (length(a) + length(b)) AS similarity FROM m)
+    SELECT left_id, right_id, round(similarity, 6) AS similarity FROM l WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1""")
 def fuzzy_merge(spark, sf_dir):
     """Suppliers and customers of a nation whose names are alike; the best customer of each."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
