@@ -10,7 +10,9 @@ the counts in the corpus. A phrase is extended depth first, first words in batch
 Counts never grow as a phrase does, so words below the threshold leave the bitmaps first, and only
 pairs that reach it over all shards are extended further. Both decisions are joins: nothing that
 grows with the vocabulary is broadcast. A shard's bitmaps travel as one row, with the list of what
-still counts in the shard beside it, and a task holds one shard.
+still counts in the shard beside it, and a task holds one shard. Counts of pairs travel by tiles, the
+pairs of 2**TILE first words in a row, and are summed over FAN shards at a time, so that neither a
+common word nor the number of shards makes a large group.
 
 Defined cases: a null text is empty; a null lang is `und`, one language with rows that say so; a
 text without words gives nothing; repeated rows each count; a document longer than a shard is cut
@@ -37,11 +39,15 @@ READ_AS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", "abcdefg
 SHARD_WORDS = 1 << 21
 #: Entries that one batch of first words may expand to.
 BATCH = 1 << 20
-#: Parts in which a language's candidates are ranked before the parts' best are ranked together.
-RANK_PARTS = 64
+#: Bits of a first word's id within a tile of pairs, and shards whose tiles are summed at once.
+TILE, FAN = 7, 16
+#: Parts in which a language's candidates are ranked, each time the best of the parts before.
+RANK_PARTS = (64, 8, 1)
 
 #: A row for each word of a shard with its number there and its count, and one with the shard's bitmaps.
 SHARDS = "shard long, lang string, word string, local int, ones long, bitmaps binary"
+#: Pairs of a shard, or of several, in a tile.
+TILES = "shard long, tile long, data binary"
 HEAD = struct.Struct("<QQQ")
 
 
@@ -145,6 +151,36 @@ def counted(pair: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> tuple[np.n
     return a[first], b[first], ones, number
 
 
+def tile_bytes(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> bytes:
+    """Pairs of one tile, in order, and their counts."""
+    raw = (a & ((1 << TILE) - 1)).astype(np.uint8).tobytes() + np.diff(b.astype("<u8"), prepend=np.uint64(0)).tobytes() + ones.astype("<u8").tobytes()
+    return HEAD.pack(len(a), len(raw), 0) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def tile_pairs(tile: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second ids and counts."""
+    n, size, _ = HEAD.unpack_from(data)
+    raw = pa.decompress(pa.py_buffer(data)[HEAD.size :], decompressed_size=size, codec="zstd")
+    low, gaps, ones = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, "<u8", n, n), np.frombuffer(raw, "<u8", n, 9 * n)
+    return (tile << TILE) + low.astype(np.int64), np.cumsum(gaps, dtype=np.uint64).astype(np.int64), ones.astype(np.int64)
+
+
+def tiled(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Sorted pairs by tile."""
+    tile = a >> TILE
+    starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))) if len(a) else []
+    ends = [*starts[1:], len(a)]
+    return [int(tile[i]) for i in starts], [tile_bytes(a[i:j], b[i:j], ones[i:j]) for i, j in zip(starts, ends)]
+
+
+def summed(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, in order, with the sum of its counts."""
+    order = np.lexsort((b, a))
+    a, b, ones = a[order], b[order], ones[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.add.reduceat(ones, first) if len(first) else ones[:0]
+
+
 # -- tasks
 
 
@@ -204,18 +240,18 @@ def shard_rows(shard_words: int):
 def opened(bitmaps: pa.Table, lists: pa.Table) -> tuple[Shard, np.ndarray, pa.Table]:
     """The shard with the words that count, their ids by number (ascending), and the rest of lists.
 
-    lists: local and id of words; rows without local are pairs of ids.
+    lists: local and id of words; rows without local are tiles of pairs.
     """
     import pyarrow.compute as pc
 
     words = lists.filter(pc.is_valid(lists.column("local")))
-    local, ids = words.column("local").to_numpy(), words.column("a").to_numpy()
+    local, ids = words.column("local").to_numpy(), words.column("id").to_numpy()
     order = np.argsort(ids)
     return Shard(*unpressed(bitmaps.column("bitmaps")[0].as_py(), local[order])), ids[order], lists.filter(pc.is_null(lists.column("local")))
 
 
 def pair_counts(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
-    """The pairs of a shard and their counts there."""
+    """The pairs of a shard and their counts there, by tile."""
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
     if bitmaps.num_rows and lists.num_rows:
         shard, ids, _ = opened(bitmaps, lists)
@@ -223,9 +259,55 @@ def pair_counts(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
             node, by, _, both = shard.extended(word, byte, bits)
             a, b, ones, _ = counted((node, by), both)
             found.append((ids[a], ids[b], ones))
-    a, b, ones = (np.concatenate([x[i] for x in found]) for i in range(3))
+    tiles, data = tiled(*(np.concatenate([x[i] for x in found]) for i in range(3)))
     number = bitmaps.column("shard")[0].as_py() if bitmaps.num_rows else 0
-    return pa.table({"shard": np.full(len(a), number, np.int64), "a": a, "b": b, "ones": ones})
+    return pa.table({"shard": np.full(len(tiles), number, np.int64), "tile": pa.array(tiles, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def tile_sum(table: pa.Table) -> pa.Table:
+    """Tiles of several shards as one, which counts as a shard of their group's number."""
+    tile = table.column("tile")[0].as_py()
+    parts = [tile_pairs(tile, d.as_py()) for d in table.column("data")]
+    data = tile_bytes(*summed(*(np.concatenate([x[i] for x in parts]) for i in range(3))))
+    return pa.table({"shard": pa.array([table.column("group")[0].as_py()], pa.int64()), "tile": pa.array([tile], pa.int64()), "data": pa.array([data], pa.binary())})
+
+
+def frequent_tiles(min_count: int):
+    """Summed tiles -> those with only the pairs of this count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiles, kept = [], []
+            for tile, data in zip(batch.column("tile").to_pylist(), batch.column("data")):
+                a, b, ones = tile_pairs(tile, data.as_py())
+                keep = ones >= min_count
+                if keep.any():
+                    tiles.append(tile)
+                    kept.append(tile_bytes(a[keep], b[keep], ones[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(kept, pa.binary())], ["tile", "often"])
+
+    return run
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles of frequent pairs -> a row for each pair."""
+    for batch in batches:
+        for tile, data in zip(batch.column("tile").to_pylist(), batch.column("often")):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in tile_pairs(tile, data.as_py())], ["a", "b", "ones"])
+
+
+def live_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's tiles beside those of frequent pairs -> the shard's frequent pairs."""
+    for batch in batches:
+        out = []
+        for tile, mine, often in zip(batch.column("tile").to_pylist(), batch.column("data"), batch.column("often")):
+            (a, b, ones), (x, y, _) = tile_pairs(tile, mine.as_py()), tile_pairs(tile, often.as_py())
+            names = np.unique(y)
+            at = np.minimum(np.searchsorted(names, b), len(names) - 1)
+            keys, wanted = a * len(names) + at, x * len(names) + np.searchsorted(names, y)  # ascending, as the pairs are
+            keep = (names[at] == b) & (wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys)
+            out.append(tile_bytes(a[keep], b[keep], ones[keep]))
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("tile"), pa.array(out, pa.binary())], ["shard", "tile", "data"])
 
 
 def longer_counts(max_words: int):
@@ -234,8 +316,10 @@ def longer_counts(max_words: int):
     def run(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
         phrases, lengths, sums = ([np.zeros(0, np.int64)] for _ in range(3))
         if bitmaps.num_rows and lists.num_rows:
-            shard, ids, pairs = opened(bitmaps, lists)
-            live = np.sort(np.searchsorted(ids, pairs.column("a").to_numpy()) * len(ids) + np.searchsorted(ids, pairs.column("b").to_numpy()))
+            shard, ids, tiles = opened(bitmaps, lists)
+            pairs = [tile_pairs(t, d.as_py())[:2] for t, d in zip(tiles.column("id").to_pylist(), tiles.column("data"))]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in pairs)]) for i in (0, 1))
+            live = np.sort(np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b))
             for word, byte, bits in shard.batches() if len(live) else ():
                 starts, number = np.unique(word, return_inverse=True)
                 nodes = starts[:, None].astype(np.int64)  # the words of each node's phrase
@@ -286,6 +370,16 @@ def frequent_words(totals: DataFrame, min_count: int) -> DataFrame:
     return materialise(numbered.select("lang", "word", "a", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id")), "frequent-words")
 
 
+def summed_tiles(by_shard: DataFrame) -> DataFrame:
+    """by_shard with one row for each tile: the sums over all shards, FAN of them at a time."""
+    shards = by_shard.select("shard").distinct().count()
+    while shards > 1:
+        shards = -(-shards // FAN)
+        group = F.pmod(F.xxhash64("shard"), F.lit(shards)).alias("group")
+        by_shard = by_shard.select("tile", "data", group).groupBy("tile", "group").applyInArrow(tile_sum, TILES)
+    return by_shard
+
+
 def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """words: lang, word, id, a; sizes: lang, n; phrases: ids, a of all phrases of 1 to max_words words with a >= min_count."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
@@ -295,18 +389,19 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words:
     sizes = totals.groupBy("lang").agg(F.sum("a").alias("n"))
     words = frequent_words(totals, min_count)
     here = maybe_among(heard.select("shard", "lang", "word", "local"), words, ("lang", "word")).join(words, ["lang", "word"])
-    lists = materialise(here.select("shard", "local", F.col("id").alias("a"), F.lit(None).cast("long").alias("b")), "shard-words")
-    by_shard = bitmaps.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(pair_counts, "shard long, a long, b long, ones long")
+    lists = materialise(here.select("shard", "local", "id", F.lit(None).cast("binary").alias("data")), "shard-words")
+    by_shard = bitmaps.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(pair_counts, TILES)
     by_shard = materialise(by_shard, "shard-pairs")
     free_shuffles(docs.sparkSession)
-    pairs = by_shard.groupBy("a", "b").agg(F.sum("ones").alias("ones")).where(F.col("ones") >= min_count)
-    pairs = materialise(pairs, "frequent-pairs")
+    often = materialise(summed_tiles(by_shard).mapInArrow(frequent_tiles(min_count), "tile long, often binary"), "frequent-pairs")
     free_shuffles(docs.sparkSession)
-    singles = words.select(F.array("id").alias("ids"), "a")
-    phrases = singles.unionByName(pairs.select(F.array("a", "b").alias("ids"), F.col("ones").alias("a"))) if max_words > 1 else singles
+    phrases = words.select(F.array("id").alias("ids"), "a")
+    if max_words > 1:
+        pairs = often.mapInArrow(pair_rows, "a long, b long, ones long")
+        phrases = phrases.unionByName(pairs.select(F.array("a", "b").alias("ids"), F.col("ones").alias("a")))
     if max_words > 2:
-        live = maybe_among(by_shard, pairs, ("a", "b")).join(pairs.select("a", "b"), ["a", "b"])
-        live = materialise(lists.unionByName(live.select("shard", F.lit(None).cast("int").alias("local"), "a", "b")), "shard-lists")
+        live = by_shard.join(often, "tile").mapInArrow(live_tiles, TILES)
+        live = materialise(lists.unionByName(live.select("shard", F.lit(None).cast("int").alias("local"), F.col("tile").alias("id"), "data")), "shard-lists")
         release(by_shard)
         longer = bitmaps.groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(longer_counts(max_words), "ids array<long>, ones long")
         longer = longer.groupBy("ids").agg(F.sum("ones").alias("a")).where(F.col("a") >= min_count)
@@ -347,7 +442,7 @@ def _collocations(docs: DataFrame, min_count: int, max_words: int, cover_percent
     named = named.groupBy("ids", "a", "l", "r", "score", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("parts"))
     named = named.select("lang", F.array_join("parts.word", " ").alias("phrase"), "a", "l", "r", "score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
-    named = named.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
-    ranked = named.where(F.col("place") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    return ranked.where(F.col("rank") <= top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    for parts in RANK_PARTS:
+        named = named.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    return named.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
