@@ -99,7 +99,7 @@ def test_queries_match_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "conversations"):
+    for table in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.SQL[name])
