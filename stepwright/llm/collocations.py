@@ -141,7 +141,8 @@ class Shard:
 
 def counted(pair: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The entries' pairs once each, their popcounts summed, and each entry's number among them."""
-    order = np.lexsort((pair[1], pair[0]))
+    span = int(pair[1].max(initial=0)) + 1
+    order = np.argsort(pair[0].astype(np.int64) * span + pair[1])  # nodes and words have small numbers
     a, b = pair[0][order], pair[1][order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
     first = np.flatnonzero(new)
