@@ -68,15 +68,19 @@ def numeric_equal(a: Column, b: Column) -> Column:
 def reduced(num: Column, den: Column) -> Column:
     """num/den in lowest terms with a positive denominator, as text; null for a zero denominator.
 
-    Euclid's algorithm in 92 steps, the most that 64-bit numbers need, which stand still once they
-    are done.
+    Euclid's algorithm, in as many steps as the digits of the smaller number can need (five for each,
+    and two where nothing is left to do), which stand still once they are done.
     """
+    return F.get(F.transform(F.array(F.struct(num.alias("num"), den.alias("den"))), lambda x: _lowest(x["num"], x["den"])), 0)
+
+
+def _lowest(num: Column, den: Column) -> Column:
     start = F.struct(F.abs(num).alias("a"), F.abs(den).alias("b"))
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(s["a"], s["b"])).alias("b"))
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["a"]
+    steps = 5 * F.length(F.least(F.abs(num), F.abs(den)).cast("string")) + 2
     sign = F.when(den < 0, -1).otherwise(1)
-    d = F.greatest(gcd, F.lit(1))
-    return F.when(den != 0, F.concat((sign * num / d).cast("long").cast("string"), F.lit("/"), (F.abs(den) / d).cast("long").cast("string")))
+    shown = lambda d: F.concat((sign * num / d).cast("long").cast("string"), F.lit("/"), (F.abs(den) / d).cast("long").cast("string"))
+    return F.when(den != 0, F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: shown(F.greatest(s["a"], F.lit(1)))))
 
 
 def canonical_key(text: Column) -> Column:
@@ -85,7 +89,11 @@ def canonical_key(text: Column) -> Column:
     A number may lack its whole part. A fraction over zero is no number, nor is what stands under a root.
     """
     t = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)^.*answer\s+is\s*:", ""), r"[$,]", ""))
-    t = F.replace(t, F.lit("\u2212"), F.lit("-"))
+    # the cleaned text is an element of an array, so that it is made once and not at each place that reads it
+    return F.get(F.transform(F.array(F.replace(t, F.lit("\u2212"), F.lit("-"))), _key_of_cleaned), 0)
+
+
+def _key_of_cleaned(t: Column) -> Column:
     pick = lambda pattern, i: F.regexp_extract(t, pattern, i).try_cast("long")
     latex = r"\\d?frac\{\s*(-?\d+)\s*\}\{\s*(-?\d+)\s*\}"
     plain = r"(?<![\d.])(-?\d+)\s*/\s*(\d+)"

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwright.functions.answers import canonical_key
+from stepwright.operators.ordered import dealt
+
+#: Records whose variants are made by one task.
+RECORDS_IN_TASK = 20_000
 
 
 def number_variants(answer: Column) -> Column:
@@ -39,13 +43,14 @@ def wrong_answers(records: DataFrame, gold: str, sampled: str | None, most: int,
 
     Nothing that equals the gold or an earlier one by value stays; answers are at most 32 characters.
     """
+    # dealt before its variants are made: a small file is one task, but most of the work is done here
+    records = dealt(records.select(record, *dict.fromkeys(c for c in (gold, sampled) if c)), RECORDS_IN_TASK, record)
     g = F.col(gold)
-    found = F.concat(
-        F.transform(F.coalesce(F.col(sampled), F.array().cast("array<string>")), lambda a: F.struct(F.lit(0).alias("source"), a.alias("negative"))) if sampled else F.array().cast("array<struct<source:int,negative:string>>"),
-        F.transform(F.concat(fraction_variants(g), root_variants(g), number_variants(g)), lambda a: F.struct(F.lit(1).alias("source"), a.alias("negative"))),
-    )
-    rows = records.select(record, canonical_key(g).alias("gold_key"), F.explode(found).alias("f")).select(record, "gold_key", "f.source", F.trim("f.negative").alias("negative"))
-    rows = rows.where((F.col("negative") != "") & (F.length("negative") <= 32)).withColumn("key", canonical_key(F.col("negative"))).where("key != gold_key")
+    made = lambda source, answers: F.transform(answers, lambda a: F.struct(F.lit(source).alias("source"), F.trim(a).alias("negative"), canonical_key(F.trim(a)).alias("key")))
+    variants = made(1, F.concat(fraction_variants(g), root_variants(g), number_variants(g)))
+    found = F.concat(made(0, F.coalesce(F.col(sampled), F.array().cast("array<string>"))), variants) if sampled else variants
+    rows = records.select(record, canonical_key(g).alias("gold_key"), F.explode(found).alias("f")).select(record, "gold_key", "f.*")
+    rows = rows.where((F.col("negative") != "") & (F.length("negative") <= 32) & (F.col("key") != F.col("gold_key")))
     order = [F.asc("source"), F.md5(F.concat_ws(":", F.lit(seed), record, "negative")), F.asc("negative")]
     first = F.row_number().over(Window.partitionBy(record, "key").orderBy(*order))
     rank = F.row_number().over(Window.partitionBy(record).orderBy(*order))

@@ -11,6 +11,12 @@ ROWS_IN_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 16, 256
 FEW_VALUES = 1_000_000
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by its keys into as many partitions as hold about so many rows each, so that a task's
+    memory stays as the table grows. Windows and groups over these keys and others need no other shuffle."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def bucket_of(value: Column, bounds: list[float]) -> Column:
     """Number of bounds (ascending) below the value, by halving: a few comparisons for each row."""
 
