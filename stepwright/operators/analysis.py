@@ -39,11 +39,21 @@ def curve_figures(steps: DataFrame, metric: str) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # of one row each
 
 
+def counted_rows(steps: DataFrame, metrics: list[str], abs_max: float | None = None) -> DataFrame:
+    bound = F.lit(True) if abs_max is None else F.abs("value") <= abs_max
+    return steps.where(finite(F.col("value").cast("double")) & bound & F.col("metric").isin(*metrics))
+
+
+def auc_summary(steps: DataFrame, metrics: list[str], abs_max: float | None = None) -> DataFrame:
+    """curve_figures of every metric; steps need only metric, value and correct."""
+    rows = counted_rows(steps, metrics, abs_max)
+    return reduce(DataFrame.unionByName, [curve_figures(rows, m) for m in metrics])
+
+
 def analysis_tables(steps: DataFrame, metrics: list[str], abs_max: float | None = None) -> dict[str, DataFrame]:
     """Tables of the analysis: global_summary, per_sample_summary, per_step_index_summary,
     correlation_matrix_global, correlations_per_sample and auc_summary."""
-    bound = F.lit(True) if abs_max is None else F.abs("value") <= abs_max
-    rows = steps.where(finite(F.col("value").cast("double")) & bound & F.col("metric").isin(*metrics))
+    rows = counted_rows(steps, metrics, abs_max)
     wide = S.pivoted(rows, metrics)
     return {
         "global_summary": S.summary(rows, "value", ["metric"]),
@@ -51,7 +61,7 @@ def analysis_tables(steps: DataFrame, metrics: list[str], abs_max: float | None
         "per_step_index_summary": S.summary(rows, "value", ["step_idx", "metric"]),
         "correlation_matrix_global": S.correlation_matrix(wide, metrics),
         "correlations_per_sample": S.correlation_matrix(wide, metrics, ["record_id"]),
-        "auc_summary": reduce(DataFrame.unionByName, [curve_figures(rows, m) for m in metrics]),
+        "auc_summary": auc_summary(steps, metrics, abs_max),
     }
 
 

@@ -82,6 +82,22 @@ def support_sweep(logits: DataFrame, configs: DataFrame, keys: tuple[str, ...] =
     return held.groupBy("config", *keys).agg(F.count(F.lit(1)).alias("support"), F.sum("p").alias("covered"), F.coalesce(F.log(gold / F.sum("e")), F.lit(float("-inf"))).alias("logp"))
 
 
+def order_gains(orders: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """record_id, step_idx and gain: by how much the value at each place of an order is above the place before.
+
+    orders: record_id, perm, pos, step_idx; values: record_id, perm, pos and the value, both with a row for
+    a place. They are laid over each other and grouped, not joined, so tables that are dealt by record stay
+    where they are.
+    """
+    place = ["record_id", "perm", "pos"]
+    steps = orders.select(*place, "step_idx", F.lit(None).cast(values.schema[value].dataType).alias("value"))
+    both = steps.unionByName(values.select(*place, F.lit(None).cast(orders.schema["step_idx"].dataType).alias("step_idx"), F.col(value).alias("value")))
+    rows = both.groupBy(*place).agg(F.max("step_idx").alias("step_idx"), F.max("value").alias("value"))
+    along = Window.partitionBy("record_id", "perm").orderBy("pos")
+    before = F.when(F.lag("pos").over(along) == F.col("pos") - 1, F.lag("value").over(along))
+    return rows.withColumn("gain", F.col("value") - before).where("gain is not null and step_idx is not null").select("record_id", "step_idx", "gain")
+
+
 def entropy_shapley(orders: DataFrame, perm_entropy: DataFrame) -> DataFrame:
     """record_id, step_idx and reward: by how many bits each step lowers the answer's entropy beyond
     what stands before it, on average over the orders.
@@ -89,10 +105,8 @@ def entropy_shapley(orders: DataFrame, perm_entropy: DataFrame) -> DataFrame:
     orders: record_id, perm, pos, step_idx. perm_entropy: record_id, perm, pos and h_bits, where pos -1 is
     the empty context and pos p the first p + 1 steps of the order; a place without both has no part.
     """
-    along = Window.partitionBy("record_id", "perm").orderBy("pos")
-    before = F.when(F.lag("pos").over(along) == F.col("pos") - 1, F.lag("h_bits").over(along))
-    gains = perm_entropy.select("record_id", "perm", "pos", (before - F.col("h_bits")).alias("gain")).where("gain is not null")
-    return orders.join(gains, ["record_id", "perm", "pos"]).groupBy("record_id", "step_idx").agg(F.avg("gain").alias("reward"))
+    rows = order_gains(orders, perm_entropy, "h_bits")
+    return rows.groupBy("record_id", "step_idx").agg((-F.avg("gain")).alias("reward"))
 
 
 def prompt_grid(records: DataFrame, templates: DataFrame, kinds: tuple[str, ...] = ("base", "prefix", "single", "without", "full"), joint: str = "\n") -> DataFrame:

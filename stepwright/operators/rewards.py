@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stepwright.functions.columns import numbers_to, safe_div
 from stepwright.functions.text import renumber
-from stepwright.operators.contributions import neighbours
+from stepwright.operators.contributions import neighbours, order_gains
 
 
 def monte_carlo(rollouts: DataFrame, correct: str = "correct", keys: tuple[str, ...] = ("record_id", "step_idx")) -> DataFrame:
@@ -68,9 +68,9 @@ def leave_one_out_contrast(logprob: DataFrame, weight: float = 1.0, normalize: b
     return _contrast(logprob, "loo", weight, normalize)
 
 
-def permutation_orders(steps: DataFrame, permutations: int, seed: int = 0) -> DataFrame:
-    """record_id, perm, pos, step_idx: seeded orders of each record's steps."""
-    rows = steps.select("record_id", "step_idx").distinct().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+def permutation_orders(steps: DataFrame, permutations: int, seed: int = 0, *keep: str) -> DataFrame:
+    """record_id, perm, pos, step_idx and the columns to keep: seeded orders of each record's steps."""
+    rows = steps.select("record_id", "step_idx", *keep).dropDuplicates(["record_id", "step_idx"]).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = Window.partitionBy("record_id", "perm").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "perm", "record_id", "step_idx")), "step_idx")
     return rows.withColumn("pos", F.row_number().over(order) - 1)
 
@@ -81,10 +81,8 @@ def shapley(orders: DataFrame, perm_logprob: DataFrame) -> DataFrame:
     perm_logprob: record_id, perm, pos, lp, where pos -1 is the empty context and pos p the first
     p + 1 steps of the order.
     """
-    along = Window.partitionBy("record_id", "perm").orderBy("pos")
-    before = F.when(F.lag("pos").over(along) == F.col("pos") - 1, F.lag("lp").over(along))
-    gains = perm_logprob.select("record_id", "perm", "pos", (F.col("lp") - before).alias("gain")).where("gain is not null")
-    return orders.join(gains, ["record_id", "perm", "pos"]).groupBy("record_id", "step_idx").agg(F.avg("gain").alias("shapley"))
+    rows = order_gains(orders, perm_logprob, "lp")
+    return rows.groupBy("record_id", "step_idx").agg(F.avg("gain").alias("shapley"))
 
 
 def truncated_support(logits: DataFrame, top_k: int, top_p: float, keys: tuple[str, ...] = ("record_id", "pos"), cap: int = 3096) -> DataFrame:

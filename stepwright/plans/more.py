@@ -347,7 +347,7 @@ def dev_budget(spark, sf_dir):
     d AS (SELECT *, (u - c0) ** 2 + 3 * (v - r0) ** 2 >= (u - c1 - 0.5) ** 2 + 3 * (v - r1 - 0.5) ** 2 AS shifted FROM c)
     SELECT CAST(CASE WHEN shifted THEN c1 ELSE c0 END AS BIGINT) AS "column", CAST(CASE WHEN shifted THEN r1 ELSE r0 END AS BIGINT) AS "row", shifted, count(*) AS n FROM d GROUP BY 1, 2, 3""", "li")
 def hexagon_counts(spark, sf_dir):
-    return stats.hexagon_counts(V.line_steps(spark, sf_dir), "quantity", "price", 20)
+    return stats.hexagon_counts(V.line_values(spark, sf_dir), "quantity", "price", 20)
 
 
 # -- canonical answers -------------------------------------------------------------------------
@@ -494,9 +494,9 @@ def profile_filtered(spark, sf_dir):
 def entropy_shapley(spark, sf_dir):
     """Sampled orders over entropies that fall as steps are added."""
     rows = V.line_steps(spark, sf_dir).select("record_id", "step_idx", "quantity")
-    orders = rewards.permutation_orders(rows, 4, 3)
+    orders = rewards.permutation_orders(rows, 4, 3, "quantity")
     w = Window.partitionBy("record_id", "perm").orderBy("pos")
-    upto = orders.join(rows, ["record_id", "step_idx"]).select("record_id", "perm", "pos", (1 / F.sqrt(1 + F.sum("quantity").over(w))).alias("h_bits"))
+    upto = orders.select("record_id", "perm", "pos", (1 / F.sqrt(1 + F.sum("quantity").over(w))).alias("h_bits"))
     empty = orders.where("pos = 0").select("record_id", "perm", F.lit(-1).alias("pos"), F.lit(1.0).alias("h_bits"))
     return rounded(K.entropy_shapley(orders, upto.unionByName(empty)))
 
@@ -522,8 +522,6 @@ def row_range(spark, sf_dir):
     e AS (SELECT metric, (avg(value) FILTER (label = 1) - avg(value) FILTER (label <> 1)) / (sqrt(((count(*) FILTER (label = 1) - 1) * var_samp(value) FILTER (label = 1) + (count(*) FILTER (label <> 1) - 1) * var_samp(value) FILTER (label <> 1)) / (count(*) - 2)) + 1e-12) AS d FROM a GROUP BY 1)
     SELECT metric, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(greatest(auc, 1 - auc), 6) AS auc, auc < 0.5 AS flipped, round(2 * auc - 1, 6) AS cliff_delta, round(d, 6) AS cohen_d FROM u JOIN e USING (metric)""", "li")
 def auc_summary(spark, sf_dir):
-    """The figures of each metric in its better direction, from the whole analysis."""
-    rows = V.line_metrics(spark, sf_dir).where("metric <> 'price' OR abs(value) <= 40000")
-    price = V.line_steps(spark, sf_dir).where("abs(price) <= 40000").select("record_id", "step_idx")
-    rows = rows.join(price, ["record_id", "step_idx"])
-    return rounded(analysis.analysis_tables(rows, ["price", "discount"])["auc_summary"].select("metric", "n_pos", "n_neg", "auc", "flipped", "cliff_delta", "cohen_d"))
+    """The figures of each metric in its better direction, as the analysis has them."""
+    rows = V.in_long_form(V.line_values(spark, sf_dir).where("abs(price) <= 40000"))
+    return rounded(analysis.auc_summary(rows, ["price", "discount"]).select("metric", "n_pos", "n_neg", "auc", "flipped", "cliff_delta", "cohen_d"))

@@ -91,7 +91,7 @@ SUMMARY = """count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v),
 
 @query(f"SELECT metric, {SUMMARY} FROM (SELECT metric, v FROM li UNPIVOT (v FOR metric IN (price, quantity, discount, tax))) GROUP BY 1", "li")
 def global_summary(spark, sf_dir):
-    return rounded(stats.summary(V.line_metrics(spark, sf_dir), keys=["metric"]).withColumn("var", F.round("var", 3)))
+    return rounded(stats.summary(V.in_long_form(V.line_values(spark, sf_dir)), keys=["metric"]).withColumn("var", F.round("var", 3)))
 
 
 @query(f"SELECT record_id, {SUMMARY} FROM (SELECT record_id, value AS v FROM ev) GROUP BY 1", "ev")
@@ -118,7 +118,7 @@ RECORD_R = """rr AS (SELECT record_id, count(*) AS n, covar_pop(price, quantity)
 
 @query(f"WITH {RECORD_R} SELECT record_id, n, 'price' AS a, 'quantity' AS b, round(r, 6) AS r FROM rr", "li")
 def per_sample_corr(spark, sf_dir):
-    return rounded(stats.correlation_matrix(V.line_steps(spark, sf_dir), ["price", "quantity"], ["record_id"]))
+    return rounded(stats.correlation_matrix(V.line_values(spark, sf_dir), ["price", "quantity"], ["record_id"]))
 
 
 @query("""SELECT step_idx, count(*) AS n, 'price' AS a, 'quantity' AS b,
@@ -130,7 +130,7 @@ def per_step_pearson(spark, sf_dir):
 @query(f"""WITH {RECORD_R}, z AS (SELECT sum((n - 3) * atanh(r)) / sum(n - 3) AS z, sum(n - 3) AS w, count(*) AS n_records FROM rr WHERE n >= 4 AND abs(r) < 1)
     SELECT n_records, round(tanh(z), 6) AS r, round(tanh(z - 1.959963984540054 / sqrt(w)), 6) AS low, round(tanh(z + 1.959963984540054 / sqrt(w)), 6) AS high FROM z""", "li")
 def fisher_meta(spark, sf_dir):
-    return rounded(stats.meta_correlation(stats.correlation_matrix(V.line_steps(spark, sf_dir), ["price", "quantity"], ["record_id"])))
+    return rounded(stats.meta_correlation(stats.correlation_matrix(V.line_values(spark, sf_dir), ["price", "quantity"], ["record_id"])))
 
 
 @query("""WITH c AS (SELECT step_idx, count(*) AS n, corr(price, quantity) AS r FROM li GROUP BY 1 HAVING count(*) > 3)
@@ -145,13 +145,13 @@ def fisher_intervals(spark, sf_dir):
     round(avg(CASE WHEN r > 0.3::DOUBLE THEN 1.0 ELSE 0 END), 6) AS above_3, round(avg(CASE WHEN r > 0.5::DOUBLE THEN 1.0 ELSE 0 END), 6) AS above_5,
     round(avg(CASE WHEN r > 0.7::DOUBLE THEN 1.0 ELSE 0 END), 6) AS above_7 FROM rr WHERE r IS NOT NULL""", "li")
 def correlation_summary(spark, sf_dir):
-    return rounded(stats.correlation_summary(stats.correlation_matrix(V.line_steps(spark, sf_dir), ["price", "quantity"], ["record_id"])))
+    return rounded(stats.correlation_summary(stats.correlation_matrix(V.line_values(spark, sf_dir), ["price", "quantity"], ["record_id"])))
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS x,
     rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2.0 AS y FROM li) SELECT round(corr(x, y), 6) AS rho FROM r""", "li")
 def spearman(spark, sf_dir):
-    return rounded(stats.spearman(V.line_steps(spark, sf_dir), "price", "quantity"))
+    return rounded(stats.spearman(V.line_values(spark, sf_dir), "price", "quantity"))
 
 
 @query("""WITH r AS (SELECT row_number() OVER () AS i, score, label FROM lab WHERE score IS NOT NULL AND label IS NOT NULL),
@@ -254,7 +254,7 @@ def winsor_z_sigmoid(spark, sf_dir):
     a AS (SELECT *, greatest(-50, least(50, (ln(phi / (1 - phi)) - ln(plo / (1 - plo))) / (hi - lo))) AS a FROM c)
     SELECT round(a, 6) AS a, round(greatest(-50, least(50, ln(plo / (1 - plo)) - a * lo)), 6) AS b FROM a""", "li")
 def quantile_sigmoid_calibration(spark, sf_dir):
-    rows = V.line_steps(spark, sf_dir).groupBy("record_id").agg((F.avg("discount") * 5).alias("anchor"), F.avg("tax").alias("other"))
+    rows = V.line_values(spark, sf_dir).groupBy("record_id").agg((F.avg("discount") * 5).alias("anchor"), F.avg("tax").alias("other"))
     return rounded(normalize.fit_quantile_match(rows.select(F.col("anchor").alias("value")), rows.select(F.col("other").alias("value"))))
 
 
@@ -367,7 +367,7 @@ TUNE = """q AS (SELECT {k} quantile_cont(price, 0.01) AS lo, quantile_cont(price
 
 @query("WITH src AS (SELECT price, error FROM li), " + TUNE.format(k="", g="", tk="", on="ON true", part=""), "li")
 def tune_error_f1(spark, sf_dir):
-    return rounded(metrics.tune_error_f1(V.line_steps(spark, sf_dir), "price", "error"))
+    return rounded(metrics.tune_error_f1(V.line_values(spark, sf_dir), "price", "error"))
 
 
 CATEGORY = "src AS (SELECT o_orderpriority, price, error FROM li JOIN orders ON record_id = o_orderkey)"
@@ -375,7 +375,7 @@ CATEGORY = "src AS (SELECT o_orderpriority, price, error FROM li JOIN orders ON
 
 def categories(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_orderpriority")
-    return V.line_steps(spark, sf_dir).join(orders, "record_id")
+    return V.line_values(spark, sf_dir).join(orders, "record_id")
 
 
 @query(f"WITH {CATEGORY}, " + TUNE.format(k="o_orderpriority,", g="GROUP BY 1", tk="o_orderpriority,", on="USING (o_orderpriority)", part="PARTITION BY o_orderpriority"), "li")
@@ -445,7 +445,7 @@ def confusion(spark, sf_dir):
 
 @query("""SELECT CAST(least(floor(discount * 10 * 11), 10) AS INTEGER) AS bin, round(avg(discount * 10), 6) AS confidence, round(avg(error), 6) AS observed, count(*) AS n FROM li GROUP BY 1""", "li")
 def calibration_bins(spark, sf_dir):
-    return rounded(metrics.calibration_bins(V.line_steps(spark, sf_dir).withColumn("p", F.col("discount") * 10), "p", "error"))
+    return rounded(metrics.calibration_bins(V.line_values(spark, sf_dir).withColumn("p", F.col("discount") * 10), "p", "error"))
 
 
 @query("""WITH e AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20 AS w FROM ev), b AS (SELECT error, CAST(least(floor((value - lo) / w), 19) AS INTEGER) AS bin, lo, w FROM ev, e),
@@ -469,7 +469,7 @@ def per_seq_ap(spark, sf_dir):
 @query("""WITH e AS (SELECT min(quantity) AS lo, (max(quantity) - min(quantity)) / 10 AS w FROM li)
     SELECT CAST(least(floor((quantity - lo) / w), 9) AS INTEGER) AS bin, round(median(price), 6) AS median, count(*) AS n FROM li, e GROUP BY 1""", "li")
 def running_median(spark, sf_dir):
-    return rounded(stats.running_median(V.line_steps(spark, sf_dir), "quantity", "price", 10))
+    return rounded(stats.running_median(V.line_values(spark, sf_dir), "quantity", "price", 10))
 
 
 @query("""WITH w AS (SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label <> 1) AS n_neg FROM lab), v AS (SELECT *, n_neg / n_pos AS pos_weight, n_pos / (n_pos + n_neg) AS share FROM w),
@@ -603,9 +603,9 @@ def shapley_values(spark, sf_dir):
     from pyspark.sql import Window
 
     rows = V.line_steps(spark, sf_dir).select("record_id", "step_idx", "quantity")
-    orders = rewards.permutation_orders(rows, 4, 3)
+    orders = rewards.permutation_orders(rows, 4, 3, "quantity")
     w = Window.partitionBy("record_id", "perm").orderBy("pos")
-    upto = orders.join(rows, ["record_id", "step_idx"]).select("record_id", "perm", "pos", F.sqrt(F.sum("quantity").over(w)).alias("lp"))
+    upto = orders.select("record_id", "perm", "pos", F.sqrt(F.sum("quantity").over(w)).alias("lp"))
     empty = orders.where("pos = 0").select("record_id", "perm", F.lit(-1).alias("pos"), F.lit(0.0).alias("lp"))
     return rounded(rewards.shapley(orders, upto.unionByName(empty)))
 
@@ -706,7 +706,7 @@ GREEDY = """WITH RECURSIVE c AS (SELECT o_orderpriority, o_orderkey AS record_id
 @query(GREEDY)
 def greedy_balance(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_orderpriority")
-    counted = V.line_steps(spark, sf_dir).groupBy("record_id").agg(F.sum(1 - F.col("error")).alias("plus"), F.sum("error").alias("minus"))
+    counted = V.line_values(spark, sf_dir).groupBy("record_id").agg(F.sum(1 - F.col("error")).alias("plus"), F.sum("error").alias("minus"))
     return select.greedy_balance(counted.join(orders, "record_id"), "o_orderpriority", "record_id", "plus", "minus", 50)
 
 

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepwright.operators.ordered import dealt
+
+#: Lines of orders that one task holds.
+LINES_IN_TASK = 100_000
+LINE_FIELDS = [
+    "l_extendedprice AS price", "l_quantity AS quantity", "l_discount AS discount", "l_tax AS tax", "int(l_returnflag = 'R') AS error", "l_returnflag AS answer",
+]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 SQL_VIEWS = {
@@ -31,19 +38,29 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_id (order), step_idx, price, quantity, discount, tax, error (returned), answer."""
+    """record_id (order), step_idx, price, quantity, discount, tax, error (returned), answer.
+
+    Lines are dealt by order into partitions by their number, which all that goes by record keeps.
+    """
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("record_id"), place.alias("step_idx"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
-        F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_returnflag") == "R").cast("int").alias("error"),
-        F.col("l_returnflag").alias("answer"),
-    )
+    lines = dealt(table(spark, sf_dir, "lineitem"), LINES_IN_TASK, "l_orderkey").withColumn("step_idx", place)
+    return lines.selectExpr("l_orderkey AS record_id", "step_idx", *LINE_FIELDS)
+
+
+def line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_steps without step_idx, for what needs no order of a record's lines: nothing is shuffled."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS record_id", *LINE_FIELDS)
+
+
+def in_long_form(lines: DataFrame) -> DataFrame:
+    """record_id, step_idx (if the lines have it), metric, value, correct."""
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("price", "quantity", "discount", "tax")])
+    return lines.select(*[c for c in ("record_id", "step_idx") if c in lines.columns], (1 - F.col("error")).alias("correct"), F.inline(cells))
 
 
 def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_steps in long form: record_id, step_idx, metric, value, correct."""
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("price", "quantity", "discount", "tax")])
-    return line_steps(spark, sf_dir).select("record_id", "step_idx", (1 - F.col("error")).alias("correct"), F.inline(cells))
+    return in_long_form(line_steps(spark, sf_dir))
 
 
 def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Steps that have to grow no faster than their tables: partitions, pairs compared, shuffles."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stepwright.functions.answers import canonical_key, reduced
 from stepwright.operators import match, negatives
+from stepwright.plans import more, queries  # noqa: F401
+from stepwright.plans import views as V
 
 
 def plan(df):
@@ -40,3 +43,30 @@ def test_small_blocks_make_no_grams(spark, monkeypatch):
     got = match.near_texts(*frames, 0.95).collect()
     assert sorted((r["block"], r["left_text"]) for r in got) == sorted([(b, word(b)) for b in range(0, 30, 2)] + [(99, word(i)) for i in range(20)])
     assert {r["block"] for r in made[0].collect()} == {99}
+
+
+BY_RECORD = ["loo_delta", "sequential_delta", "marginal_delta", "contrastive_normalized", "contrast_terms", "entropy_loo", "entropy_sequential", "entropy_shapley", "shapley_values", "weighted_majority"]
+
+
+@pytest.mark.parametrize("name", BY_RECORD)
+def test_lines_are_dealt_once_by_their_number(spark, monkeypatch, name):
+    """Only the lines themselves are shuffled, to as many tasks as they need."""
+    monkeypatch.setattr(V, "LINES_IN_TASK", 1000)
+    shown = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    cuts = [line for line in shown.splitlines() if "Exchange" in line]
+    assert cuts and all("REPARTITION_BY_NUM" in c and "l_orderkey" in c for c in cuts)
+
+
+def test_places_without_both_have_no_gain(spark):
+    from stepwright.operators.rewards import shapley
+
+    orders = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 1, 6), (1, 0, 2, 7), (2, 0, 0, 5)], "record_id long, perm int, pos int, step_idx int")
+    values = spark.createDataFrame([(1, 0, -1, 1.0), (1, 0, 0, 3.0), (1, 0, 2, 4.0), (1, 0, 3, 9.0), (2, 0, 0, 1.0)], "record_id long, perm int, pos int, lp double")
+    assert [tuple(r) for r in shapley(orders, values).collect()] == [(1, 5, 2.0)]
+
+
+@pytest.mark.parametrize("name", ["auc_summary", "category_tuning", "tune_error_f1", "global_summary"])
+def test_lines_without_order_are_not_dealt(spark, name):
+    """What needs no place of a line neither ranks nor deals the lines, nor joins them to themselves."""
+    shown = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "l_linenumber" not in shown and "REPARTITION_BY_NUM" not in shown
