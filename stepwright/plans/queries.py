@@ -735,8 +735,7 @@ def fuzzy_merge(spark, sf_dir):
     """Suppliers and customers of a nation whose names are alike; the best customer of each."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    pairs = match.similar_pairs(s, c, "nation", "name", 0.6)
-    return rounded(match.best_similar(pairs, ["left_id"], "right_id").select("left_id", "right_id", "similarity"))
+    return rounded(match.best_partners(s, c, "nation", "name", "id", 0.6).select("left_id", "right_id", "similarity"))
 
 
 @query("""WITH q AS (SELECT c_custkey AS record_id, c_mktsegment AS task, c_mktsegment AS question FROM customer), i AS (SELECT 'a' AS source, 'BUILDING' AS question, 'x' AS answer UNION ALL SELECT 'b', 'BUILDING', 'y' UNION ALL SELECT 'b', 'MACHINERY', 'z')

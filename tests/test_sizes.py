@@ -70,3 +70,15 @@ def test_lines_without_order_are_not_dealt(spark, name):
     """What needs no place of a line neither ranks nor deals the lines, nor joins them to themselves."""
     shown = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "l_linenumber" not in shown and "REPARTITION_BY_NUM" not in shown
+
+
+def test_copies_do_not_multiply_pairs(spark, monkeypatch):
+    """The best partners are those of all pairs, and of equal texts one pair goes on to be ranked."""
+    left = spark.createDataFrame([(i, i % 2, f"Supplier#{i % 6:03}") for i in range(24)], "id long, b int, t string")
+    right = spark.createDataFrame([(i, i % 2, f"Supplied#{i % 10:03}") for i in range(40, 0, -1)] + [(99, None, "Supplied#001"), (98, 1, None)], "id long, b int, t string")
+    want = match.best_similar(match.similar_pairs(left, right, "b", "t", 0.6), ["left_id"], "right_id")
+    ranked, rank = [], match.best_similar
+    monkeypatch.setattr(match, "best_similar", lambda pairs, *a: (ranked.append(pairs), rank(pairs, *a))[1])
+    got = match.best_partners(left, right, "b", "t", "id", 0.6)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 24
+    assert ranked[0].count() == 2 * 3 * 5  # of 480 pairs of rows
