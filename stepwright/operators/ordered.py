@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 ROWS_IN_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 16, 256
 #: Values of one key that a task may hold to find their quantiles.
 FEW_VALUES = 1_000_000
+#: Approximate quantiles are off by 1 / RANK_STEPS of the rows at most; values within SLACK of a share's rank, several times that, are counted singly.
+RANK_STEPS = 10_000
+SLACK = 4 / RANK_STEPS
+#: Keys up to which what is known of each is computed at once and broadcast.
+FEW_KEYS = 10_000
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
@@ -74,8 +79,8 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] =
     """keys, n and q: exact quantiles of the value (not null) per key, between two values by their
     distance; without keys one row, null and 0 for no values.
 
-    Keys with more than few values in all are never held by a task: values are counted, and each
-    quantile's two neighbours are read off the running counts. most: values of the largest key, if that
+    Keys with more than few values in all are never held by a task: of their values only those near
+    the quantiles are counted singly, see counted_quantiles. most: values of the largest key, if that
     is known; it is counted otherwise. Without keys the one row is computed at once, so that what is
     built on it does not repeat the work; a table of keys stays a plan.
     """
@@ -91,20 +96,46 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] =
     return found if keys else df.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
+def at_hand(df: DataFrame) -> DataFrame:
+    """df, computed once and broadcast to what it is joined with, if its rows are few (FEW_KEYS); else df, as it is."""
+    found = df.limit(FEW_KEYS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= FEW_KEYS else df
+
+
 def counted_quantiles(rows: DataFrame, shares: list[float], keys: list[str]) -> DataFrame:
-    """quantiles of __v by running counts of its different values."""
-    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    cum = running(counts, "__v", ["__c"], keys=keys)
+    """quantiles of __v in two passes over the rows, of which hardly any are shuffled.
+
+    The first finds, by approximate quantiles, between which values each share's neighbours lie; the
+    second counts the values there singly and those between such ranges together. The neighbours
+    are read off the running counts, in which a task holds one range. Keys of few rows are one range.
+    """
     names = [f"__k{i}" for i in range(len(keys))]
-    totals = counts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"))
-    same = F.lit(True)
-    for k, n in zip(keys, names):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    placed = cum.join(totals, same).drop(*names) if keys else cum.crossJoin(F.broadcast(totals))
-    cells = []
+
+    def beside(df: DataFrame, other: DataFrame, *also: str) -> DataFrame:
+        same = F.lit(True)
+        for k, n in zip([*keys, *also], [*names, *(f"{c}_" for c in also)]):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        return df.join(other, same).drop(*names, *(f"{c}_" for c in also)) if keys or also else df.crossJoin(other)
+
+    around = [min(1.0, max(0.0, s + d)) for d in (-SLACK, SLACK) for s in shares]
+    ends = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", around, RANK_STEPS).alias("__b"))
+    v, whole, among, passed = F.col("__v"), F.col("__n") * SLACK < 2, F.lit(False), F.lit(0)
+    for i in range(len(shares)):
+        low, high = F.col("__b")[i], F.col("__b")[len(shares) + i]
+        among, passed = among | ((low <= v) & (v <= high)), passed + (high < v).cast("int")
+    ranged = beside(rows, at_hand(ends)).select(*keys, "__n", "__v", (whole | among).alias("__in"), F.when(whole, 0).otherwise(passed).alias("__part"))
+    counts = ranged.groupBy(*keys, "__n", "__in", "__part", F.when(F.col("__in"), v).alias("__cell")).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__low"))
+    # ranges do not overlap, so their totals add up in the order of their least values
+    totals = counts.groupBy(*keys, "__in", "__part").agg(F.sum("__c").alias("__t"), F.min("__low").alias("__first"))
+    earlier = Window.partitionBy(*keys).orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("__in").alias("__in_"), F.col("__part").alias("__part_"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
+    upto = Window.partitionBy(*keys, "__in", "__part").orderBy("__low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = beside(counts.withColumn("__s", F.sum("__c").over(upto)), bases, "__in", "__part").withColumn("__upto", F.col("__base") + F.col("__s"))
+    cells, n = [], F.max("__n")
     for share in shares:
         place = F.lit(share) * (F.col("__n") - 1)
-        at = lambda i: F.max(F.when((F.col("cum___c") - F.col("__c") <= i) & (i < F.col("cum___c")), F.col("__v")))
-        low, high, place = at(F.floor(place)), at(F.ceil(place)), F.lit(share) * (F.max("__n") - 1)
-        cells.append(low + (place - F.floor(place)) * (high - low))
-    return placed.groupBy(*keys).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n"), F.array(*cells).alias("q"))
+        at = lambda i: F.max(F.when(F.col("__in") & (F.col("__upto") - F.col("__c") <= i) & (i < F.col("__upto")), F.col("__low")))
+        low, high, place = at(F.floor(place)), at(F.ceil(place)), F.lit(share) * (n - 1)
+        found = low + (place - F.floor(place)) * (high - low)
+        cells.append(F.when(n > 0, F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its range")).cast("double"))))
+    return placed.groupBy(*keys).agg(F.coalesce(n, F.lit(0)).alias("n"), F.array(*cells).alias("q"))

@@ -1,10 +1,12 @@
 """Steps that have to grow no faster than their tables: partitions, pairs compared, shuffles."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stepwright.functions.answers import canonical_key, reduced
-from stepwright.operators import match, negatives
+from stepwright.operators import match, metrics, negatives
+from stepwright.operators.ordered import quantiles
 from stepwright.plans import more, queries  # noqa: F401
 from stepwright.plans import views as V
 
@@ -82,3 +84,34 @@ def test_copies_do_not_multiply_pairs(spark, monkeypatch):
     got = match.best_partners(left, right, "b", "t", "id", 0.6)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 24
     assert ranked[0].count() == 2 * 3 * 5  # of 480 pairs of rows
+
+
+def shuffled_rows(spark):
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    nothing = jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(nothing(), False, False, gateway.new_array(jvm.double, 0), nothing())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_tuning_shuffles_hardly_any_rows(spark, keys):
+    """Of all different values only those near the two quantiles are shuffled, and no row goes to its key's task."""
+    rows = spark.range(0, 40_000, 1, 4).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 40_009 + 0.25).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("e"))
+    known = shuffled_rows(spark)
+    best = metrics.tune_error_f1(rows, "s", "e", keys=keys).collect()
+    assert len(best) == 2 ** len(keys)
+    assert sum(n for stage, n in shuffled_rows(spark).items() if stage not in known) < 8_000
+
+
+def test_quantiles_of_ranges(spark):
+    """Exact for large keys and small ones, many ties, shares at and beside the ends, null keys and one value."""
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(0, 1, 30_000), 2: np.repeat(rng.normal(0, 1, 3), 7_000), 3: rng.normal(0, 1, 5), 4: np.ones(1), None: rng.integers(0, 40, 12_000).astype(float)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k int, v double").repartition(5)
+    shares = [0.0, 0.0001, 0.01, 0.25, 0.2501, 0.5, 0.999, 1.0]
+    got = {r["k"]: r for r in quantiles(rows, "v", shares, ["k"], few=10).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        assert got[k]["n"] == len(vs) and np.allclose(got[k]["q"], np.quantile(vs, shares), rtol=0, atol=1e-12)
+    one = quantiles(rows, "v", shares, few=10).first()
+    assert np.allclose(one["q"], np.quantile(np.concatenate(list(values.values())), shares), rtol=0, atol=1e-12)
