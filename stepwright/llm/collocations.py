@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from stepwright.llm.common import free_shuffles, map_texts_in_batches, materialise, maybe_among, release, settle
 
-#: A-Z in lower case, borders of pieces as a line's end, and tabs as blanks.
-READ_AS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", "abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
+#: Bytes of UTF-8: A-Z in lower case, borders of pieces as a line's end, and tabs as blanks; so split() parts a piece at blanks only.
+READ_AS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Words of a shard: bounds what a task holds. Counts do not depend on it.
 SHARD_WORDS = 1 << 21
 #: Entries that one batch of first words may expand to.
@@ -188,11 +188,11 @@ def summed(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray,
 class Numbers(dict):
     """Words of a language with their numbers in the shard; new ones join names."""
 
-    def __init__(self, lang: str, names: list[tuple[str, str]]):
+    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
         super().__init__()
         self.lang, self.names = lang, names
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.names)
         self.names.append((self.lang, word))
         return number
@@ -201,7 +201,7 @@ class Numbers(dict):
 def shard_rows(shard_words: int):
     """Batches of lang, text -> the rows of the task's shards."""
 
-    def rows(shard: int, names: list[tuple[str, str]], marks: list[int]) -> Iterator[pa.RecordBatch]:
+    def rows(shard: int, names: list[tuple[str, bytes]], marks: list[int]) -> Iterator[pa.RecordBatch]:
         found = np.asarray(marks, np.int32)
         at = np.flatnonzero(found >= 0)
         keys = found[at]
@@ -220,8 +220,8 @@ def shard_rows(shard_words: int):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 known = numbers.get(lang)
-                for piece in (text or "").translate(READ_AS).split("\n"):
-                    words = [w for w in piece.split(" ") if w]
+                for piece in (text or "").encode().translate(READ_AS).split(b"\n"):
+                    words = piece.split()
                     if not words:
                         continue
                     if known is None:
@@ -424,8 +424,9 @@ def _collocations(docs: DataFrame, min_count: int, max_words: int, cover_percent
     words, sizes, phrases = phrase_counts(docs, min_count, max_words, shard_words)
     long = phrases.where(F.size("ids") > 1)
     cuts = long.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
-    cuts = cuts.select("ids", "a", "k", F.slice("ids", 1, F.col("k")).alias("left"), F.slice("ids", F.col("k") + 1, F.size("ids") - F.col("k")).alias("right"))
-    cuts = cuts.join(phrases.select(F.col("ids").alias("left"), F.col("a").alias("l")), "left")
+    # the rest is cut off after the first join, so that a phrase travels with one of its parts at a time
+    cuts = cuts.withColumn("left", F.slice("ids", 1, F.col("k"))).join(phrases.select(F.col("ids").alias("left"), F.col("a").alias("l")), "left")
+    cuts = cuts.select("ids", "a", "k", "l", F.slice("ids", F.col("k") + 1, F.size("ids") - F.col("k")).alias("right"))
     cuts = cuts.join(phrases.select(F.col("ids").alias("right"), F.col("a").alias("r")), "right")
     cuts = cuts.groupBy("ids", "a").agg(F.collect_list(F.struct("k", "l", "r")).alias("cuts"))
     best = cuts.mapInArrow(scored, "ids array<long>, a long, l long, r long, score long")

@@ -220,3 +220,11 @@ def test_intervals_hold_and_prune():
     scored = hn.dual_search(anchors, own, np.arange(n + 1), np.full(n, ends.max), best, tree, number, number, True)
     leaves = sum(not c for c in tree.children) * sum(not c for c in anchors.children)
     assert 0 < scored < leaves / 4
+
+
+def test_words_are_split_at_blanks_only(spark):
+    """Letters beyond A-Z keep their case, and other separators of Unicode stay within words."""
+    texts = ["É\x1cA B É\x1cA B", "ÉTÉ\tÉTÉ  ÉTÉ. x\x85y  X\x85y"]
+    docs = spark.createDataFrame([("fr", t) for t in texts * 10], "lang string, text string")
+    got = {r["phrase"]: (r["a"], r["n"]) for r in co.collocations(docs, 10, 2).collect()}
+    assert got == {"É\x1ca b É\x1ca b": (10, 70), "ÉtÉ ÉtÉ": (20, 70), " x\x85y  x\x85y": (10, 70)}
