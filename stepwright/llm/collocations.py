@@ -12,7 +12,10 @@ pairs that reach it over all shards are extended further. Both decisions are joi
 grows with the vocabulary is broadcast. A shard's bitmaps travel as one row, with the list of what
 still counts in the shard beside it, and a task holds one shard. Counts of pairs travel by tiles, the
 pairs of 2**TILE first words in a row, and are summed over FAN shards at a time, so that neither a
-common word nor the number of shards makes a large group.
+common word nor the number of shards makes a large group. Longer phrases travel by tiles as well, but
+by a hash of all their words into about as many tiles as there are shards: a tile then holds about what
+a shard does, and a phrase comes once from each shard. All of them, the shards' lists too, are sorted, and
+gaps go by planes of bytes before they are compressed. What a step leaves goes once the next has its own.
 
 Defined cases: a null text is empty; a null lang is `und`, one language with rows that say so; a
 text without words gives nothing; repeated rows each count; a document longer than a shard is cut
@@ -48,7 +51,13 @@ RANK_PARTS = (64, 8, 1)
 SHARDS = "shard long, lang string, word string, local int, ones long, bitmaps binary"
 #: Pairs of a shard, or of several, in a tile.
 TILES = "shard long, tile long, data binary"
-HEAD = struct.Struct("<QQQ")
+#: The tile of a shard's list of words, which is no tile of pairs.
+WORDS = -1
+#: Longer phrases of a shard in a tile of those of n words.
+PHRASES = "n int, tile long, data binary"
+HEAD, COUNT = struct.Struct("<QQQ"), struct.Struct("<I")
+#: Mixes the ids of a phrase.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 # -- compressed bitmaps
@@ -64,12 +73,24 @@ def packed(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], byte[first], bits
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of all values, then the next, of width bytes each: like bytes together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T).tobytes()
+
+
+def from_planes(raw: bytes, n: int, width: int, at: int, kind: str) -> np.ndarray:
+    """The n values whose planes begin at this byte of raw."""
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.view(kind).ravel()
+
+
 def pressed(keys: np.ndarray, byte: np.ndarray, bits: np.ndarray, n_keys: int) -> bytes:
     """Bitmaps of keys 0 to n_keys - 1 as bytes: entries of each key, gaps between byte numbers, bytes."""
     gaps = np.diff(byte, prepend=0)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     gaps[first] = byte[first]
-    raw = np.bincount(keys, minlength=n_keys).astype("<u4").tobytes() + gaps.astype("<u4").tobytes() + bits.tobytes()
+    raw = planes(np.bincount(keys, minlength=n_keys).astype("<u4"), 4) + planes(gaps.astype("<u4"), 4) + bits.tobytes()
     return HEAD.pack(n_keys, len(keys), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -77,8 +98,8 @@ def unpressed(data: bytes, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Bitmaps of the chosen keys, numbered by their order in chosen."""
     n_keys, n, size = HEAD.unpack_from(data)
     raw = pa.decompress(pa.py_buffer(data)[HEAD.size :], decompressed_size=size, codec="zstd")
-    sizes = np.frombuffer(raw, "<u4", n_keys).astype(np.int64)
-    total = np.cumsum(np.frombuffer(raw, "<u4", n, 4 * n_keys), dtype=np.int64)
+    sizes = from_planes(raw, n_keys, 4, 0, "<u4").astype(np.int64)
+    total = np.cumsum(from_planes(raw, n, 4, 4 * n_keys, "<u4"), dtype=np.int64)
     ends = np.cumsum(sizes)
     before = np.where(ends > sizes, total[np.maximum(ends - sizes, 1) - 1], 0)  # the sum of gaps of the keys before
     number = np.full(n_keys, -1, np.int32)
@@ -152,18 +173,47 @@ def counted(pair: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> tuple[np.n
     return a[first], b[first], ones, number
 
 
-def tile_bytes(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> bytes:
+def tile_bytes(keys: list[np.ndarray], ones: np.ndarray) -> bytes:
+    """Rows of whole numbers from 0 on, sorted by the columns of keys, and a number for each.
+
+    A column holds gaps to the row before while the columns before it stay the same, else values.
+    """
+    columns, same = [], np.ones(len(ones), bool)
+    for key in keys:
+        gaps = np.diff(key, prepend=0)
+        columns.append(np.where(same, gaps, key))
+        same &= gaps == 0
+    columns.append(ones)
+    widths = [(int(c.max(initial=0)).bit_length() + 7) // 8 for c in columns]
+    raw = b"".join(planes(c.astype("<i8"), w) for c, w in zip(columns, widths))
+    return COUNT.pack(len(ones)) + bytes(widths) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def tile_rows(data: bytes, n_keys: int) -> list[np.ndarray]:
+    """The columns of keys and the numbers."""
+    (n,) = COUNT.unpack_from(data)
+    widths = data[COUNT.size : COUNT.size + n_keys + 1]
+    raw = pa.decompress(pa.py_buffer(data)[COUNT.size + n_keys + 1 :], decompressed_size=n * sum(widths), codec="zstd")
+    starts = np.cumsum([0, *widths]) * n
+    columns = [from_planes(raw, n, w, int(at), "<i8") for w, at in zip(widths, starts)]
+    same, row = np.ones(n, bool), np.arange(n)
+    for i, gaps in enumerate(columns[:-1]):
+        begin = np.maximum.accumulate(np.where(same, 0, row))
+        total = np.cumsum(gaps)
+        columns[i] = total - (total - gaps)[begin]
+        same &= gaps == 0
+    return columns
+
+
+def pair_bytes(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> bytes:
     """Pairs of one tile, in order, and their counts."""
-    raw = (a & ((1 << TILE) - 1)).astype(np.uint8).tobytes() + np.diff(b.astype("<u8"), prepend=np.uint64(0)).tobytes() + ones.astype("<u8").tobytes()
-    return HEAD.pack(len(a), len(raw), 0) + pa.compress(raw, codec="zstd", asbytes=True)
+    return tile_bytes([a & ((1 << TILE) - 1), b], ones)
 
 
 def tile_pairs(tile: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and second ids and counts."""
-    n, size, _ = HEAD.unpack_from(data)
-    raw = pa.decompress(pa.py_buffer(data)[HEAD.size :], decompressed_size=size, codec="zstd")
-    low, gaps, ones = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, "<u8", n, n), np.frombuffer(raw, "<u8", n, 9 * n)
-    return (tile << TILE) + low.astype(np.int64), np.cumsum(gaps, dtype=np.uint64).astype(np.int64), ones.astype(np.int64)
+    low, b, ones = tile_rows(data, 2)
+    return (tile << TILE) + low, b, ones
 
 
 def tiled(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -171,15 +221,19 @@ def tiled(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> tuple[list[int], li
     tile = a >> TILE
     starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))) if len(a) else []
     ends = [*starts[1:], len(a)]
-    return [int(tile[i]) for i in starts], [tile_bytes(a[i:j], b[i:j], ones[i:j]) for i, j in zip(starts, ends)]
+    return [int(tile[i]) for i in starts], [pair_bytes(a[i:j], b[i:j], ones[i:j]) for i, j in zip(starts, ends)]
 
 
-def summed(a: np.ndarray, b: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each pair once, in order, with the sum of its counts."""
-    order = np.lexsort((b, a))
-    a, b, ones = a[order], b[order], ones[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-    return a[first], b[first], np.add.reduceat(ones, first) if len(first) else ones[:0]
+def summed(keys: list[np.ndarray], ones: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each row of keys once, in order, with the sum of its counts."""
+    order = np.lexsort(keys[::-1])
+    keys, ones = [k[order] for k in keys], ones[order]
+    new = np.zeros(len(ones), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.add.reduceat(ones, first) if len(first) else ones[:0]
 
 
 # -- tasks
@@ -238,29 +292,27 @@ def shard_rows(shard_words: int):
     return run
 
 
-def opened(bitmaps: pa.Table, lists: pa.Table) -> tuple[Shard, np.ndarray, pa.Table]:
-    """The shard with the words that count, their ids by number (ascending), and the rest of lists.
-
-    lists: local and id of words; rows without local are tiles of pairs.
-    """
-    import pyarrow.compute as pc
-
-    words = lists.filter(pc.is_valid(lists.column("local")))
-    local, ids = words.column("local").to_numpy(), words.column("id").to_numpy()
-    order = np.argsort(ids)
-    return Shard(*unpressed(bitmaps.column("bitmaps")[0].as_py(), local[order])), ids[order], lists.filter(pc.is_null(lists.column("local")))
+def opened(bitmaps: pa.Table, local: np.ndarray) -> Shard:
+    """The shard with the words that count: their numbers in the shard, in the order of their ids."""
+    return Shard(*unpressed(bitmaps.column("bitmaps")[0].as_py(), local))
 
 
 def pair_counts(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
-    """The pairs of a shard and their counts there, by tile."""
+    """The pairs of a shard and their counts there, by tile, and its list of words (local, id)."""
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    tiles, data = [], []
     if bitmaps.num_rows and lists.num_rows:
-        shard, ids, _ = opened(bitmaps, lists)
+        local, ids = (lists.column(c).to_numpy().astype(np.int64) for c in ("local", "id"))
+        order = np.argsort(ids)
+        local, ids = local[order], ids[order]
+        tiles, data = [WORDS], [tile_bytes([ids], local)]
+        shard = opened(bitmaps, local)
         for word, byte, bits in shard.batches():
             node, by, _, both = shard.extended(word, byte, bits)
             a, b, ones, _ = counted((node, by), both)
             found.append((ids[a], ids[b], ones))
-    tiles, data = tiled(*(np.concatenate([x[i] for x in found]) for i in range(3)))
+    more = tiled(*(np.concatenate([x[i] for x in found]) for i in range(3)))
+    tiles, data = tiles + more[0], data + more[1]
     number = bitmaps.column("shard")[0].as_py() if bitmaps.num_rows else 0
     return pa.table({"shard": np.full(len(tiles), number, np.int64), "tile": pa.array(tiles, pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -268,8 +320,9 @@ def pair_counts(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
 def tile_sum(table: pa.Table) -> pa.Table:
     """Tiles of several shards as one, which counts as a shard of their group's number."""
     tile = table.column("tile")[0].as_py()
-    parts = [tile_pairs(tile, d.as_py()) for d in table.column("data")]
-    data = tile_bytes(*summed(*(np.concatenate([x[i] for x in parts]) for i in range(3))))
+    parts = [tile_rows(d.as_py(), 2) for d in table.column("data")]
+    low, b, ones = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    data = tile_bytes(*summed([low, b], ones))
     return pa.table({"shard": pa.array([table.column("group")[0].as_py()], pa.int64()), "tile": pa.array([tile], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
@@ -284,7 +337,7 @@ def frequent_tiles(min_count: int):
                 keep = ones >= min_count
                 if keep.any():
                     tiles.append(tile)
-                    kept.append(tile_bytes(a[keep], b[keep], ones[keep]))
+                    kept.append(pair_bytes(a[keep], b[keep], ones[keep]))
             yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(kept, pa.binary())], ["tile", "often"])
 
     return run
@@ -298,28 +351,52 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def live_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's tiles beside those of frequent pairs -> the shard's frequent pairs."""
+    """A shard's tiles beside those of frequent pairs -> the shard's frequent pairs, without their counts."""
+    last = None
     for batch in batches:
-        out = []
-        for tile, mine, often in zip(batch.column("tile").to_pylist(), batch.column("data"), batch.column("often")):
-            (a, b, ones), (x, y, _) = tile_pairs(tile, mine.as_py()), tile_pairs(tile, often.as_py())
-            names = np.unique(y)
+        shards, tiles, out = [], [], []
+        for shard, tile, mine, often in zip(batch.column("shard").to_pylist(), batch.column("tile").to_pylist(), batch.column("data"), batch.column("often")):
+            if tile != last:  # the join brings a tile's rows together
+                x, y, _ = tile_pairs(tile, often.as_py())
+                names = np.unique(y)
+                wanted, last = x * len(names) + np.searchsorted(names, y), tile  # ascending, as the pairs are
+            a, b, _ = tile_pairs(tile, mine.as_py())
             at = np.minimum(np.searchsorted(names, b), len(names) - 1)
-            keys, wanted = a * len(names) + at, x * len(names) + np.searchsorted(names, y)  # ascending, as the pairs are
+            keys = a * len(names) + at
             keep = (names[at] == b) & (wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys)
-            out.append(tile_bytes(a[keep], b[keep], ones[keep]))
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("tile"), pa.array(out, pa.binary())], ["shard", "tile", "data"])
-
-
-def longer_counts(max_words: int):
-    """A shard's bitmaps, words and frequent pairs -> its phrases of 3 to max_words words and their counts there."""
+            if keep.any():
+                shards.append(shard)
+                tiles.append(tile)
+                out.append(pair_bytes(a[keep], b[keep], np.zeros(keep.sum(), np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(tiles, pa.int64()), pa.array(out, pa.binary())], ["shard", "tile", "data"])
+
+
+def phrase_tiles(ids: list[np.ndarray], ones: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
+    """Sorted phrases by tile, of 2**bits tiles: a column of ids for each of their words."""
+    mixed = np.zeros(len(ones), np.uint64)
+    for column in ids:
+        mixed = (mixed ^ column.astype(np.uint64)) * MIX
+        mixed ^= mixed >> np.uint64(32)
+    tile = (mixed * MIX >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(tile, kind="stable")
+    ids, ones, tile = [c[order] for c in ids], ones[order], tile[order]
+    starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))) if len(tile) else []
+    ends = [*starts[1:], len(tile)]
+    return [int(tile[i]) for i in starts], [tile_bytes([c[i:j] for c in ids], ones[i:j]) for i, j in zip(starts, ends)]
+
+
+def longer_counts(max_words: int, tile_bits: int):
+    """A shard's bitmaps, words and frequent pairs -> its phrases of 3 to max_words words and their counts there, by tile."""
 
     def run(bitmaps: pa.Table, lists: pa.Table) -> pa.Table:
-        phrases, lengths, sums = ([np.zeros(0, np.int64)] for _ in range(3))
-        if bitmaps.num_rows and lists.num_rows:
-            shard, ids, tiles = opened(bitmaps, lists)
-            pairs = [tile_pairs(t, d.as_py())[:2] for t, d in zip(tiles.column("id").to_pylist(), tiles.column("data"))]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in pairs)]) for i in (0, 1))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in range(3, max_words + 1)}
+        of = dict(zip(lists.column("tile").to_pylist(), lists.column("data").to_pylist()))
+        words = of.pop(WORDS, None)
+        if bitmaps.num_rows and words and of:
+            ids, local = tile_rows(words, 1)
+            shard = opened(bitmaps, local)
+            pairs = [tile_pairs(t, d)[:2] for t, d in of.items()]
+            a, b = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
             live = np.sort(np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b))
             for word, byte, bits in shard.batches() if len(live) else ():
                 starts, number = np.unique(word, return_inverse=True)
@@ -334,12 +411,30 @@ def longer_counts(max_words: int):
                     parents, ends, ones, number = counted((node, by), bits)
                     nodes = np.column_stack((nodes[parents], ends))
                     if n >= 3:
-                        phrases.append(ids[nodes].ravel())
-                        lengths.append(np.full(len(nodes), n, np.int64))
-                        sums.append(ones)
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
-        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(phrases)))
-        return pa.table({"ids": found, "ones": np.concatenate(sums)})
+                        found[n].append((ids[nodes], ones))  # in order, as ids ascend with their numbers
+        sizes, tiles, data = [], [], []
+        for n, parts in found.items():
+            if parts:
+                phrases, ones = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+                more = phrase_tiles(list(phrases.T), ones, tile_bits)
+                sizes, tiles, data = sizes + [n] * len(more[0]), tiles + more[0], data + more[1]
+        return pa.table({"n": pa.array(sizes, pa.int32()), "tile": pa.array(tiles, pa.int64()), "data": pa.array(data, pa.binary())})
+
+    return run
+
+
+def phrase_sums(min_count: int):
+    """A tile of phrases from all shards -> ids and a of those with this count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        parts = [tile_rows(d.as_py(), n) for d in table.column("data")]
+        columns = [np.concatenate([x[i] for x in parts]) for i in range(n + 1)]
+        ids, ones = summed(columns[:-1], columns[-1])
+        keep = ones >= min_count
+        flat = np.column_stack([c[keep] for c in ids]).ravel()
+        offsets = np.arange(keep.sum() + 1, dtype=np.int32) * n
+        return pa.table({"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), "a": ones[keep]})
 
     return run
 
@@ -368,12 +463,13 @@ def frequent_words(totals: DataFrame, min_count: int) -> DataFrame:
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))  # a row for each partition
     numbered = words.withColumn("part", part).join(F.broadcast(bases), "part")
-    return materialise(numbered.select("lang", "word", "a", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id")), "frequent-words")
+    numbered = materialise(numbered.select("lang", "word", "a", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id")), "frequent-words")
+    release(words)
+    return numbered
 
 
-def summed_tiles(by_shard: DataFrame) -> DataFrame:
-    """by_shard with one row for each tile: the sums over all shards, FAN of them at a time."""
-    shards = by_shard.select("shard").distinct().count()
+def summed_tiles(by_shard: DataFrame, shards: int) -> DataFrame:
+    """by_shard, tiles of so many shards, with one row for each tile: the sums over all shards, FAN of them at a time."""
     while shards > 1:
         shards = -(-shards // FAN)
         group = F.pmod(F.xxhash64("shard"), F.lit(shards)).alias("group")
@@ -383,30 +479,43 @@ def summed_tiles(by_shard: DataFrame) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """words: lang, word, id, a; sizes: lang, n; phrases: ids, a of all phrases of 1 to max_words words with a >= min_count."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     shards = materialise(map_texts_in_batches(texts, shard_rows(shard_words), SHARDS), "shards")
-    heard, bitmaps = shards.where("word is not null"), shards.where("word is null").select("shard", "bitmaps")
+    heard = shards.where("word is not null")
     totals = materialise(heard.groupBy("lang", "word").agg(F.sum("ones").alias("a")), "word-totals")
-    sizes = totals.groupBy("lang").agg(F.sum("a").alias("n"))
+    free_shuffles(spark)
+    sizes = materialise(totals.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
     words = frequent_words(totals, min_count)
+    release(totals)
     here = maybe_among(heard.select("shard", "lang", "word", "local"), words, ("lang", "word")).join(words, ["lang", "word"])
-    lists = materialise(here.select("shard", "local", "id", F.lit(None).cast("binary").alias("data")), "shard-words")
-    by_shard = bitmaps.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(pair_counts, TILES)
-    by_shard = materialise(by_shard, "shard-pairs")
-    free_shuffles(docs.sparkSession)
-    often = materialise(summed_tiles(by_shard).mapInArrow(frequent_tiles(min_count), "tile long, often binary"), "frequent-pairs")
-    free_shuffles(docs.sparkSession)
+    lists = materialise(here.select("shard", "local", "id"), "shard-words")
+    free_shuffles(spark)
+    # a table of its own, so that the words of all shards can go
+    bitmaps = materialise(shards.where("word is null").select("shard", "bitmaps"), "shard-bitmaps")
+    release(shards)
+    n_shards = bitmaps.count()
+    by_shard = materialise(bitmaps.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(pair_counts, TILES), "shard-pairs")
+    release(lists)
+    tiles = by_shard.where(F.col("tile") != WORDS)
+    often = materialise(summed_tiles(tiles, n_shards).mapInArrow(frequent_tiles(min_count), "tile long, often binary"), "frequent-pairs")
+    free_shuffles(spark)
     phrases = words.select(F.array("id").alias("ids"), "a")
     if max_words > 1:
         pairs = often.mapInArrow(pair_rows, "a long, b long, ones long")
         phrases = phrases.unionByName(pairs.select(F.array("a", "b").alias("ids"), F.col("ones").alias("a")))
     if max_words > 2:
-        live = by_shard.join(often, "tile").mapInArrow(live_tiles, TILES)
-        live = materialise(lists.unionByName(live.select("shard", F.lit(None).cast("int").alias("local"), F.col("tile").alias("id"), "data")), "shard-lists")
+        live = tiles.join(often, "tile").mapInArrow(live_tiles, TILES)
+        live = materialise(by_shard.where(F.col("tile") == WORDS).unionByName(live), "shard-lists")
         release(by_shard)
-        longer = bitmaps.groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(longer_counts(max_words), "ids array<long>, ones long")
-        longer = longer.groupBy("ids").agg(F.sum("ones").alias("a")).where(F.col("a") >= min_count)
+        tile_bits = max(1, n_shards.bit_length())
+        longer = bitmaps.groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(longer_counts(max_words, tile_bits), PHRASES)
+        longer = longer.groupBy("n", "tile").applyInArrow(phrase_sums(min_count), "ids array<long>, a long")
         phrases = phrases.unionByName(longer)
+        phrases = materialise(phrases, "phrase-counts")
+        release(live, bitmaps)
+        return words, sizes, phrases
+    release(by_shard, bitmaps)
     return words, sizes, materialise(phrases, "phrase-counts")
 
 

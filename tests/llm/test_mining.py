@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import odd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from stepwright.llm import collocations as co
 from stepwright.llm import decontaminate as de
 from stepwright.llm import hard_negatives as hn
+from stepwright.llm.common import scratch_root
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -85,6 +87,34 @@ def test_bitmaps_shift_and_count():
     assert positions(*co.shifted(key, byte, bits)[1:]) == (at + 1).tolist()
 
 
+@pytest.mark.parametrize("n_words", [2, 3, 4])
+def test_tiles_are_whole_and_small(n_words):
+    """Sorted phrases and counts come back from their tiles, empty ones too, in a few bytes each."""
+    rng = np.random.default_rng(n_words)
+    for n in (0, 1, 2, 20_000):
+        keys = [rng.integers(0, high, n) for high in (40, 400_000, 3, 70_000)[:n_words]]
+        keys, ones = co.summed(keys, rng.integers(1, 400, n))
+        for numbers in (ones, np.zeros_like(ones)):
+            for got, column in zip(co.tile_rows(co.tile_bytes(keys, numbers), n_words), [*keys, numbers], strict=True):
+                assert got.tolist() == column.tolist()
+        tiles, data = co.phrase_tiles(keys, ones, 3)
+        parts = [co.tile_rows(d, n_words) for d in data]
+        rows = sorted(r for p in parts for r in zip(*(c.tolist() for c in p)))
+        assert rows == sorted(zip(*(c.tolist() for c in [*keys, ones]))) and len(set(tiles)) == len(tiles)
+        assert n < 20_000 or sum(map(len, data)) < (2 + 3 * n_words) * len(ones)
+
+
+def test_shards_do_not_stay(spark):
+    """Once phrases are counted nothing of the shards is left in the shared folder."""
+    here = Path(scratch_root(spark).removeprefix("file:").replace("//", "/")) / "stepwright" / spark.sparkContext.applicationId
+    names = lambda: {p.name for p in here.glob("*")}
+    before = names()
+    docs = spark.createDataFrame([("en", "a b c d")] * 30, "lang string, text string")
+    words, sizes, phrases = co.phrase_counts(docs, 10, 3, 50)
+    assert not [x for x in names() - before if x.startswith(("shard", "word-totals", "words-numbered"))]
+    assert (words.count(), sizes.first()["n"], phrases.count()) == (4, 120, 9)
+
+
 # -- decontamination
 
 
