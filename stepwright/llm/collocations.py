@@ -482,7 +482,7 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     shards = materialise(map_texts_in_batches(texts, shard_rows(shard_words), SHARDS), "shards")
-    heard = shards.where("word is not null")
+    heard, bitmaps = shards.where("word is not null"), shards.where("word is null").select("shard", "bitmaps")
     totals = materialise(heard.groupBy("lang", "word").agg(F.sum("ones").alias("a")), "word-totals")
     free_shuffles(spark)
     sizes = materialise(totals.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
@@ -491,9 +491,6 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words:
     here = maybe_among(heard.select("shard", "lang", "word", "local"), words, ("lang", "word")).join(words, ["lang", "word"])
     lists = materialise(here.select("shard", "local", "id"), "shard-words")
     free_shuffles(spark)
-    # a table of its own, so that the words of all shards can go
-    bitmaps = materialise(shards.where("word is null").select("shard", "bitmaps"), "shard-bitmaps")
-    release(shards)
     n_shards = bitmaps.count()
     by_shard = materialise(bitmaps.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(pair_counts, TILES), "shard-pairs")
     release(lists)
@@ -513,9 +510,9 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, shard_words:
         longer = longer.groupBy("n", "tile").applyInArrow(phrase_sums(min_count), "ids array<long>, a long")
         phrases = phrases.unionByName(longer)
         phrases = materialise(phrases, "phrase-counts")
-        release(live, bitmaps)
+        release(live, shards)
         return words, sizes, phrases
-    release(by_shard, bitmaps)
+    release(by_shard, shards)
     return words, sizes, materialise(phrases, "phrase-counts")
 
 
