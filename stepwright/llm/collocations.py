@@ -15,7 +15,7 @@ pairs of 2**TILE first words in a row, and are summed over FAN shards at a time,
 common word nor the number of shards makes a large group. Longer phrases travel by tiles as well, but
 by a hash of all their words into about as many tiles as there are shards: a tile then holds about what
 a shard does, and a phrase comes once from each shard. All of them, the shards' lists too, are sorted, and
-gaps go by planes of bytes before they are compressed. What a step leaves goes once the next has its own.
+gaps go by planes of bytes before they are compressed. Only the shards stay until phrases are counted.
 
 Defined cases: a null text is empty; a null lang is `und`, one language with rows that say so; a
 text without words gives nothing; repeated rows each count; a document longer than a shard is cut
