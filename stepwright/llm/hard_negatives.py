@@ -9,8 +9,8 @@ so whole groups of anchors go at once; pairs of leaves are scored exactly. Each
 best of each anchor on, and the best of all shards are theirs.
 
 Two searches run: the positives (same label, best first), then for each positive the negatives
-(other label, in the interval that its score sets, best first). Candidates' trees are split by
-label first, so a node of one label is left at once where it cannot count.
+(other label, in the interval that its score sets, best first). Trees are split by label first,
+so nodes whose labels cannot count for each other are left at once.
 
 Vectors are whole numbers and products are exact: in doubles while no sum can pass 2**53, else
 in 64-bit integers.
@@ -52,7 +52,8 @@ NEGATIVES = "anchor long, anchor_id long, place int, positive_id long, negative_
 class Tree:
     """Nodes over vectors: members' range, box, ball and label (None where they differ).
 
-    Nodes are split by label, then at the median of the axis of the widest spread.
+    Nodes are split by label, then at the median of the axis of the widest spread. A leaf has
+    several labels only if it has less than a quarter of LEAF for each of them.
     """
 
     def __init__(self, vectors: np.ndarray, labels: np.ndarray):
@@ -86,15 +87,15 @@ class Tree:
             self.children.append(())
             pure = bool((y == y[0]).all())
             self.label.append(int(y[0]) if pure else None)
-            if b - a <= LEAF:
+            borders = a + np.flatnonzero(y[1:] != y[:-1]) + 1  # of a mixed node, whose rows are in the order of labels
+            if b - a <= LEAF and (pure or 4 * (b - a) < LEAF * (len(borders) + 1)):
                 continue
             if pure:
                 axis = int((high - low).argmax())
                 middle = (b - a) // 2
                 self.order[a:b] = rows[np.argpartition(v[:, axis], middle)]
                 cut = a + middle
-            else:  # the border between labels that is nearest to the middle; the rows are in their order
-                borders = a + np.flatnonzero(y[1:] != y[:-1]) + 1
+            else:  # the border between labels that is nearest to the middle
                 cut = int(borders[np.abs(borders - (a + b) // 2).argmin()])
             todo += [(cut, b, me), (a, cut, me)]
         return 0
@@ -162,7 +163,10 @@ def dual_search(
         if first == last:
             continue
         label, other = anchors.label[i], rows.label[j]
-        if label is not None and other is not None and (label == other) != same:
+        if same:  # members are in the order of labels, so the ends tell which labels a node may have
+            if anchors.labels[b - 1] < rows.labels[c] or rows.labels[d - 1] < anchors.labels[a]:
+                continue
+        elif label is not None and label == other:
             continue
         low, high = product_bounds(anchors, i, rows, np.array([j]))
         if high[0] < best.least[first:last].min() or low[0] > most[first:last].max():

@@ -252,6 +252,21 @@ def test_intervals_hold_and_prune():
     assert 0 < scored < leaves / 4
 
 
+def test_leaves_of_several_labels_meet_their_own_only():
+    """With labels of few rows each, leaves that share no label are not scored against each other."""
+    rng = np.random.default_rng(5)
+    v, y = np.floor(rng.normal(0, 200, (2000, 8))), np.arange(2000) // 5
+    tree, anchors = hn.Tree(v, y), hn.Tree(v[::5], y[::5])
+    number = tree.order
+    own = anchors.order * 5
+    best = hn.Best(4, [[] for _ in own], np.full(len(own), np.iinfo(np.int64).min))
+    scored = hn.dual_search(anchors, own, np.arange(len(own) + 1), np.full(len(own), np.iinfo(np.int64).max), best, tree, number, number, True)
+    assert 0 < scored <= sum(not c for c in tree.children) + sum(not c for c in anchors.children)
+    for n, row in enumerate(own.tolist()):
+        exact = sorted(((int(v[row] @ v[r]), -r) for r in range(row + 1, row + 5)), reverse=True)
+        assert best.rows(n) == [(s, -r) for s, r in exact]
+
+
 def test_words_are_split_at_blanks_only(spark):
     """Letters beyond A-Z keep their case, and other separators of Unicode stay within words."""
     texts = ["É\x1cA B É\x1cA B", "ÉTÉ\tÉTÉ  ÉTÉ. x\x85y  X\x85y"]
