@@ -26,6 +26,18 @@ def squeeze_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[\\s\u200b]+", " "))
 
 
+#: What squeeze_spaces changes in lines: white space but blanks and line ends, and blanks beside others or at an end.
+LOOSE = "[\t\u000b-\r\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]| (?=[ \n]|\\z)|(?<![^\n]) "
+
+
+def squeezed_lines(steps: Column) -> Column:
+    """squeeze_spaces of each step, a line each; steps that need none are told by one look at all of them."""
+    joined = F.array_join(steps, "\n", "")
+    ends = F.length(joined) - F.length(F.replace(joined, F.lit("\n"), F.lit("")))
+    tight = ~joined.rlike(LOOSE) & (ends < F.greatest(F.size(steps), F.lit(1)))
+    return F.when(tight, joined).otherwise(F.array_join(F.transform(steps, squeeze_spaces), "\n"))
+
+
 def question_of(text: Column) -> Column:
     """What stands before the first step, answer clause, step marker of raw text or calculation (`<<`)."""
     before = F.regexp_extract(clean_spaces(text), r"(?is)^(.*?)(?:\bstep\s*\d+\s*:|\bthe\s+answer\s+is\s*:|$)", 1)

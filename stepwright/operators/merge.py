@@ -5,15 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwright.functions.text import squeeze_spaces
-from stepwright.operators.match import near_texts, record_key, unique_by
+from stepwright.functions.text import squeeze_spaces, squeezed_lines
+from stepwright.operators.match import closest_udf, near_texts, record_key, unique_by
 from stepwright.operators.rewards import elementwise_sum, unit_draw
 
 
 def keyed(records: DataFrame, question: str = "question", steps: str = "steps") -> DataFrame:
-    """records with __key (question and steps), __q (question) and __text (steps), white space squeezed."""
-    text = F.array_join(F.transform(steps, squeeze_spaces), "\n")
-    return records.withColumns({"__key": record_key(F.col(question), F.col(steps)), "__q": squeeze_spaces(F.col(question)), "__text": text})
+    """records with __q (question) and __text (steps, a line each), white space squeezed."""
+    return records.withColumns({"__q": squeeze_spaces(F.col(question)), "__text": squeezed_lines(F.col(steps))})
+
+
+#: Solutions of a question that its records hold beside them, and buckets in which they are counted before.
+OTHERS_HELD, QUESTION_BUCKETS = 64, 1 << 16
+
+
+def crowded(theirs: DataFrame) -> DataFrame | None:
+    """__q of the questions with more than OTHERS_HELD rows, or None if there are none.
+
+    Rows are counted by buckets of questions first. A bucket that has hardly more than the others
+    is not looked into, so what a question may hold is that excess more.
+    """
+    bucket = F.pmod(F.xxhash64("__q"), F.lit(QUESTION_BUCKETS))
+    counts = {r[0]: r[1] for r in theirs.groupBy(bucket).count().collect()}
+    usual = sum(counts.values()) / QUESTION_BUCKETS
+    full = [b for b, n in counts.items() if n > OTHERS_HELD + usual + 6 * usual**0.5]
+    if not full:
+        return None
+    many = theirs.where(bucket.isin(full)).groupBy("__q").count().where(F.col("count") > OTHERS_HELD).select("__q")
+    return None if many.isEmpty() else many
+
+
+def partners_held(mine: DataFrame, theirs: DataFrame, order: str, least: float) -> DataFrame:
+    """mine (see keyed) with __reward and match of each row's partner, null without one.
+
+    Each question is gathered once and its solutions go to its records, which choose from them.
+    """
+    hashed = lambda df: df.withColumn("__h", F.xxhash64("__q"))  # noqa: E731  numbers are sorted faster than texts
+    row = F.struct(F.col(order).alias("place"), F.col("__text").alias("text"), F.col("__reward").alias("reward"))
+    held = hashed(theirs).groupBy("__h", "__q").agg(F.array_sort(F.collect_list(row)).alias("__held"))
+    rows = hashed(mine).join(held, ["__h", "__q"], "left")
+    rows = rows.withColumn("__exact", F.try_element_at(F.filter("__held", lambda h: h["text"].eqNullSafe(F.col("__text"))), F.lit(-1)))
+    exact = F.col("__exact").isNotNull()
+    asked = lambda c: F.when(~exact & F.col("__text").isNotNull(), c)
+    rows = rows.withColumn("__at", closest_udf("blocks", least)(asked(F.col("__text")), asked(F.transform("__held", lambda h: h["text"]))))
+    return rows.withColumns({
+        "__reward": F.when(exact, F.col("__exact.reward")).otherwise(F.get("__held", F.col("__at"))["reward"]),
+        "match": F.when(exact, "exact").when(F.col("__at").isNotNull(), "fuzzy"),
+    }).drop("__h", "__held", "__exact", "__at")
+
+
+def partners_joined(mine: DataFrame, theirs: DataFrame, record: str, order: str, least: float) -> DataFrame:
+    """As partners_held for questions with many solutions: no row holds another's."""
+    keyed_ = lambda df: df.withColumn("__key", F.sha2(F.to_json(F.struct("__q", "__text")), 256))
+    mine, theirs = keyed_(mine), keyed_(theirs)
+    last = unique_by(theirs, ["__key"], [F.col(order)], "last").select("__key", "__reward", F.lit("exact").alias("match"))
+    exact = mine.join(last, "__key", "left")
+    fuzzy = fuzzy_of(exact.where("match is null"), theirs, record, order, least).withColumnRenamed("__reward", "__near")
+    rows = exact.join(fuzzy, record, "left")
+    return rows.withColumns({
+        "__reward": F.coalesce("__reward", "__near"), "match": F.coalesce("match", F.when(F.col("similarity").isNotNull(), "fuzzy")),
+    }).drop("__key", "__near", "similarity")
+
+
+def partners(mine: DataFrame, theirs: DataFrame, record: str, order: str, least: float) -> DataFrame:
+    """mine with __reward and match: the last row of theirs in order with equal question and steps, else
+    the most similar of the same question."""
+    many = crowded(theirs)
+    if many is None:
+        return partners_held(mine, theirs, order, least)
+    rest = [df.join(many, "__q", "left_anti") for df in (mine, theirs)]
+    some = [df.join(many, "__q", "left_semi") for df in (mine, theirs)]
+    return partners_held(*rest, order, least).unionByName(partners_joined(*some, record, order, least))
 
 
 def fuzzy_of(missing: DataFrame, other: DataFrame, record: str, order: str, least: float) -> DataFrame:
@@ -49,17 +111,13 @@ def merge_records(
     """
     if lengths not in ("trim", "strict") or tail not in ("other", "uniform"):
         raise ValueError(f"unknown lengths {lengths!r} or tail {tail!r}")
-    mine, theirs = keyed(base), keyed(other.select("question", "steps", F.col(reward).alias("__reward"), order))
-    last = unique_by(theirs, ["__key"], [F.col(order)], "last").select("__key", "__reward", F.lit("exact").alias("match"))
-    exact = mine.join(last, "__key", "left")
-    fuzzy = fuzzy_of(exact.where("match is null"), theirs, record, order, least).withColumnRenamed("__reward", "__near")
-    rows = exact.join(fuzzy, record, "left")
-    rows = rows.withColumns({
-        "__reward": F.coalesce("__reward", "__near", F.array().cast(other.schema[reward].dataType)),
-        "match": F.coalesce("match", F.when(F.col("similarity").isNotNull(), "fuzzy"), F.lit("none")),
-        base_reward: F.coalesce(base_reward, F.array().cast(base.schema[base_reward].dataType)),
-    })
-    n_steps, n_base, n_other = F.greatest(F.size("steps"), F.lit(0)), F.size(base_reward), F.size("__reward")
+    mine, theirs = keyed(base), keyed(other.select("question", "steps", F.col(reward).alias("__reward"), order)).select("__q", "__text", "__reward", order)
+    nothing = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType))
+    # sizes are taken before rows are joined, so arrays that nobody asks for stay behind
+    mine = mine.withColumn(base_reward, nothing(base, base_reward)).withColumns({"__n_steps": F.greatest(F.size("steps"), F.lit(0)), "__n_base": F.size(base_reward)})
+    rows = partners(mine, theirs, record, order, least)
+    rows = rows.withColumns({"__reward": F.coalesce("__reward", F.array().cast(other.schema[reward].dataType)), "match": F.coalesce("match", F.lit("none"))})
+    n_steps, n_base, n_other = F.col("__n_steps"), F.col("__n_base"), F.size("__reward")
     none = F.col("match") == "none"
     kept = F.least(n_steps, n_base, F.when(none, switch_at).when(n_other > 0, n_other).otherwise(n_steps))
     rows = rows.withColumns({"n_kept": kept, "ragged": ~none & ((n_steps != n_base) | (n_base != n_other)), "trimmed": ~none & (kept != n_steps)})
@@ -73,7 +131,7 @@ def merge_records(
     merged = F.concat(head, rest)
     if lengths == "strict":
         merged = F.when(~F.col("ragged"), merged)
-    return rows.withColumn("step_reward", merged).withColumn("steps", F.slice("steps", F.lit(1), n)).drop("__key", "__q", "__text", "__reward", "__near", "similarity")
+    return rows.withColumn("step_reward", merged).withColumn("steps", F.slice("steps", F.lit(1), n)).select(record, *[c for c in base.columns if c != record], "match", "n_kept", "ragged", "trimmed", "step_reward")
 
 
 def merge_counts(base: DataFrame, merged: DataFrame) -> DataFrame:

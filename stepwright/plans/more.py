@@ -130,15 +130,15 @@ def two_sides(spark, sf_dir):
     """Records of orders and those of another labelling: every third is altered at its end, every
     seventh is missing, every eleventh has a reward too few; each also stands there as an older row,
     which an exact match passes over and a similar one takes first."""
-    text = F.transform(F.arrays_zip("quantity", "answer"), lambda p: F.concat_ws(" ", p["quantity"].cast("long").cast("string"), p["answer"]))
-    base = V.line_records(spark, sf_dir).select("record_id", F.concat(F.lit("order  "), F.col("record_id").cast("string")).alias("question"), text.alias("steps"), F.col("price").alias("base_reward"))
-    other = V.line_records(spark, sf_dir).select("record_id", F.concat(F.lit(" order "), F.col("record_id").cast("string")).alias("question"), text.alias("steps"), "quantity", "tax")
+    text = "concat_ws(' ', string(bigint(l_quantity)), l_returnflag) AS text"
+    records = V.line_records(spark, sf_dir, [*(f for f in V.LINE_FIELDS if f.endswith(("price", "quantity", "tax"))), text]).withColumnRenamed("text", "steps")
+    base = records.select("record_id", F.concat(F.lit("order  "), F.col("record_id").cast("string")).alias("question"), "steps", F.col("price").alias("base_reward"))
+    other = records.select("record_id", F.concat(F.lit(" order "), F.col("record_id").cast("string")).alias("question"), "steps", "quantity", "tax")
     last = F.concat(F.slice("steps", F.lit(1), F.size("steps") - 1), F.array(F.concat(F.element_at("steps", -1), F.lit("!"))))
     other = other.where("record_id % 7 <> 0").withColumn("steps", F.when(F.col("record_id") % 3 == 0, last).otherwise(F.col("steps")))
     fewer = F.when(F.col("record_id") % 11 == 0, F.slice("quantity", F.lit(1), F.size("quantity") - 1)).otherwise(F.col("quantity"))
-    other = other.select("question", "steps", fewer.alias("new"), F.col("tax").alias("old"), F.col("record_id").alias("at"))
-    older = other.select("question", "steps", F.col("old").alias("mi_loo"), (-F.col("at") - 1).alias("at"))
-    return base, other.select("question", "steps", F.col("new").alias("mi_loo"), "at").unionByName(older)
+    both = F.array(F.struct(fewer.alias("mi_loo"), F.col("record_id").alias("at")), F.struct(F.col("tax").alias("mi_loo"), (-F.col("record_id") - 1).alias("at")))
+    return base, other.select("question", "steps", F.inline(both))
 
 
 SIDES = """r AS (SELECT record_id, count(*) AS n, sum(length(CAST(CAST(quantity AS BIGINT) AS VARCHAR)) + 2) + count(*) - 1 AS chars FROM li GROUP BY 1),

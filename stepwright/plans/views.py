@@ -63,12 +63,16 @@ def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_long_form(line_steps(spark, sf_dir))
 
 
-def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with parallel arrays."""
-    from stepwright.operators.steps import records_from_steps
+def line_records(spark: SparkSession, sf_dir: str, fields: list[str] = LINE_FIELDS) -> DataFrame:
+    """One row per order with parallel arrays of these fields of its lines.
 
-    names = ("price", "quantity", "discount", "tax", "error", "answer")
-    return records_from_steps(line_steps(spark, sf_dir), "record_id", ["step_idx"], {n: F.col(n) for n in names})
+    The window that puts an order's lines in their order gathers them as well, beside the first of them.
+    """
+    along = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    gathered = F.collect_list(F.struct(*map(F.expr, fields))).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lines = dealt(table(spark, sf_dir, "lineitem"), LINES_IN_TASK, "l_orderkey")
+    first = lines.select(F.col("l_orderkey").alias("record_id"), gathered.alias("lines"), F.row_number().over(along).alias("place")).where("place = 1")
+    return first.select("record_id", *[F.col(f"lines.{n}").alias(n) for n in first.schema["lines"].dataType.elementType.names])
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
