@@ -42,7 +42,7 @@ def partners_held(mine: DataFrame, theirs: DataFrame, order: str, least: float)
     """
     hashed = lambda df: df.withColumn("__h", F.xxhash64("__q"))  # noqa: E731  numbers are sorted faster than texts
     row = F.struct(F.col(order).alias("place"), F.col("__text").alias("text"), F.col("__reward").alias("reward"))
-    held = hashed(theirs).groupBy("__h", "__q").agg(F.array_sort(F.collect_list(row)).alias("__held"))
+    held = hashed(theirs).groupBy("__h", "__q").agg(F.sort_array(F.collect_list(row)).alias("__held"))
     rows = hashed(mine).join(held, ["__h", "__q"], "left")
     rows = rows.withColumn("__exact", F.try_element_at(F.filter("__held", lambda h: h["text"].eqNullSafe(F.col("__text"))), F.lit(-1)))
     exact = F.col("__exact").isNotNull()

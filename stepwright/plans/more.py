@@ -137,8 +137,10 @@ def two_sides(spark, sf_dir):
     last = F.concat(F.slice("steps", F.lit(1), F.size("steps") - 1), F.array(F.concat(F.element_at("steps", -1), F.lit("!"))))
     other = other.where("record_id % 7 <> 0").withColumn("steps", F.when(F.col("record_id") % 3 == 0, last).otherwise(F.col("steps")))
     fewer = F.when(F.col("record_id") % 11 == 0, F.slice("quantity", F.lit(1), F.size("quantity") - 1)).otherwise(F.col("quantity"))
-    both = F.array(F.struct(fewer.alias("mi_loo"), F.col("record_id").alias("at")), F.struct(F.col("tax").alias("mi_loo"), (-F.col("record_id") - 1).alias("at")))
-    return base, other.select("question", "steps", F.inline(both))
+    # each row twice by a flag, so rows are counted without what they hold
+    new, at = F.col("new"), F.col("record_id")
+    other = other.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("new"))
+    return base, other.select("question", "steps", F.when(new, fewer).otherwise(F.col("tax")).alias("mi_loo"), F.when(new, at).otherwise(-at - 1).alias("at"))
 
 
 SIDES = """r AS (SELECT record_id, count(*) AS n, sum(length(CAST(CAST(quantity AS BIGINT) AS VARCHAR)) + 2) + count(*) - 1 AS chars FROM li GROUP BY 1),

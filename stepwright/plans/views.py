@@ -66,13 +66,12 @@ def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_records(spark: SparkSession, sf_dir: str, fields: list[str] = LINE_FIELDS) -> DataFrame:
     """One row per order with parallel arrays of these fields of its lines.
 
-    The window that puts an order's lines in their order gathers them as well, beside the first of them.
+    An order's lines are gathered as they come and sorted then, so who needs the orders only reads their keys.
     """
-    along = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    gathered = F.collect_list(F.struct(*map(F.expr, fields))).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lines = dealt(table(spark, sf_dir, "lineitem"), LINES_IN_TASK, "l_orderkey")
-    first = lines.select(F.col("l_orderkey").alias("record_id"), gathered.alias("lines"), F.row_number().over(along).alias("place")).where("place = 1")
-    return first.select("record_id", *[F.col(f"lines.{n}").alias(n) for n in first.schema["lines"].dataType.elementType.names])
+    row = F.struct(*LINE_ORDER, *map(F.expr, fields))
+    gathered = dealt(table(spark, sf_dir, "lineitem"), LINES_IN_TASK, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("lines"))
+    names = gathered.schema["lines"].dataType.elementType.names[len(LINE_ORDER) :]
+    return gathered.select(F.col("l_orderkey").alias("record_id"), *[F.col(f"lines.{n}").alias(n) for n in names])
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
